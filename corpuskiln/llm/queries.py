@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.llm import neardup, neighbours
+from corpuskiln.llm import neardup, neighbours, split
 from corpuskiln.tables import read
 
 
@@ -16,6 +16,34 @@ def _texts(spark: SparkSession, folder: str) -> DataFrame:
     return docs.unionByName(chunks)
 
 
+def _limit(spark: SparkSession, folder: str, use: str) -> tuple[int, int]:
+    row = read(spark, folder, "size_limits").filter(F.col("use_name") == use).select("max_tokens", "overlap_tokens").first()
+    return row["max_tokens"], row["overlap_tokens"]
+
+
+def _pieces(spark: SparkSession, folder: str, use: str) -> DataFrame:
+    return split.split_oversized(_texts(spark, folder), "text", *_limit(spark, folder, use))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Items that come out as more than one piece."""
+    return (
+        _pieces(spark, folder, "chunk")
+        .filter("piece.chunk_index = 1")
+        .select(F.col("kind").alias("item_kind"), F.col("id").alias("item_id"))
+        .distinct()
+    )
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of all docs and chunks under the smaller limit; a chunk's repeated rows give one set of pieces."""
+    return (
+        _pieces(spark, folder, "chunk_small")
+        .select("kind", "id", "piece.*")
+        .dropDuplicates(["kind", "id", "chunk_index"])
+    )
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.expanded_pairs(*neardup.near_duplicates(_texts(spark, folder), words=3, threshold=0.7, least=30))
 
@@ -29,4 +57,4 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.nearest_vectors(read(spark, folder, "chunks"), "chunk_id", "embedding", tables=5))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found}
