@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.llm import neardup, neighbours, split
+from corpuskiln.llm import mixing, neardup, neighbours, packing, split
 from corpuskiln.tables import read
 
 
@@ -57,4 +57,22 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.nearest_vectors(read(spark, folder, "chunks"), "chunk_id", "embedding", tables=5))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found}
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_containers(read(spark, folder, "documents"), "doc_id", "text", _limit(spark, folder, "container")[0])
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    capacity = _limit(spark, folder, "container_small")[0]
+    return packing.fill_report(packing.fill_containers(read(spark, folder, "documents"), "doc_id", "text", capacity), capacity)
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(read(spark, folder, "documents"), read(spark, folder, "mix_targets"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_report(p7_mixture(spark, folder), read(spark, folder, "mix_targets"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found,
+           "p6_containers": p6_containers, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_report": p7_report}
