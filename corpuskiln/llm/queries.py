@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.llm import mixing, neardup, neighbours, packing, split
+from corpuskiln.llm import mixing, mojibake, neardup, neighbours, packing, split
 from corpuskiln.tables import read
 
 
@@ -53,6 +53,19 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.grouped(*neardup.near_duplicates(_texts(spark, folder)))
 
 
+def _restored(spark: SparkSession, folder: str) -> DataFrame:
+    return mojibake.restore_encoding(read(spark, folder, "docs"), "doc_id", "content")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _restored(spark, folder).filter("garbled > 0").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The affected docs with their text put right as far as possible."""
+    return _restored(spark, folder).filter("garbled > 0").select(F.col("id").alias("doc_id"), "garbled", "lost", F.col("restored").alias("content"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.similar_pairs(neighbours.nearest_vectors(read(spark, folder, "chunks"), "chunk_id", "embedding", tables=5))
 
@@ -74,5 +87,5 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(p7_mixture(spark, folder), read(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p5_found": p5_found,
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found,
            "p6_containers": p6_containers, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_report": p7_report}
