@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.llm import mixing, mojibake, neardup, neighbours, packing, split
+from corpuskiln.llm import boilerplate, mixing, mojibake, neardup, neighbours, packing, split
 from corpuskiln.tables import read
 
 
@@ -53,6 +53,18 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.grouped(*neardup.near_duplicates(_texts(spark, folder)))
 
 
+def _bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return boilerplate.main_bodies(read(spark, folder, "docs").filter(F.col("metadata.file_type") == "html"), "doc_id", "content")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _bodies(spark, folder).select(F.col("id").alias("doc_id"), F.explode("outside").alias("line_no")).distinct()
+
+
+def p3_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    return _bodies(spark, folder).select(F.col("id").alias("doc_id"), "body")
+
+
 def _restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.restore_encoding(read(spark, folder, "docs"), "doc_id", "content")
 
@@ -87,5 +99,5 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(p7_mixture(spark, folder), read(spark, folder, "mix_targets"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found,
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found,
            "p6_containers": p6_containers, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_report": p7_report}
