@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuskiln.llm.mojibake import PAIRS, restore
+from corpuskiln.operators.sampling import hash_sample
+
 # Phrases that only stand outside the main body.
 PHRASES = re.compile(
     r"\b(?:we use (?:optional |third-party )?cookies|agree to our use of cookies|optional cookies|cookie (?:settings|policy)|partners process data|stores small files|trackers? (?:are|is) essential"
@@ -35,6 +38,7 @@ PHRASES = re.compile(
 )
 # Names under which pages list their sections.
 CONTENTS = re.compile(r"^(?:table of contents|contents|on this page|in this article|inhalt(?:sverzeichnis)?|auf dieser seite|sommaire|dans cet article|índice|contenido|en esta página|conteúdo|nesta página|spis treści|содержание|目次)\s*:?$", re.I)
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _SEPARATOR = re.compile(r"\s(?:[|»>/•·]|::|–|-)\s")
 _PARTS = re.compile(r"\s+(?:[|»>/•·]|::)\s+")
@@ -47,25 +51,45 @@ def _length(line: str) -> int:
     return len(line) + 2 * len(_WIDE.findall(line)) if not line.isascii() else len(line)
 
 
-def running(line: str) -> bool:
-    """Whether a line is running text: a sentence of some length and no known phrase."""
-    return _length(line) >= 60 and bool(_ENDS.search(line)) and not PHRASES.search(line)
+_ODD = re.compile("[ÃÂÐÑ├┬╨╤√ĂĹ]|â[€\x80-\x9f]|[РС][°-¿‚-•]")
+
+
+class Line(str):
+    """A line with its marks, worked out once."""
+
+    def __new__(cls, text: str):
+        if _ODD.search(text):  # read in a wrong encoding: its words are told by what they were
+            for pair in PAIRS[:12]:
+                fixed = _NOT_ASCII.sub(lambda m: restore(m[0], pair) or m[0], text)
+                if len(fixed) < len(text):
+                    text = fixed
+        self = super().__new__(cls, text)
+        self.length = _length(text)
+        self.ends = bool(_ENDS.search(text[-8:]))
+        self.phrase = self.length <= 500 and bool(PHRASES.search(text))
+        #: running text: a sentence of some length and no known phrase
+        self.running = self.length >= 60 and self.ends and not self.phrase
+        return self
+
+
+def page_lines(page: str) -> list[tuple[int, Line]]:
+    return [(k, Line(x.strip())) for k, x in enumerate(page.split("\n")) if x.strip()]
 
 
-def _shapes(line: str) -> list[str]:
-    n = _length(line)
+def _shapes(line: Line) -> list[str]:
+    n = line.length
     out = ["~len%d" % min(9, n.bit_length())]
-    if _ENDS.search(line):
+    if line.ends:
         out.append("~ends")
     if line[:1].islower():
         out.append("~low")
     if line[:1].isdigit():
         out.append("~digit")
-    if PHRASES.search(line):
+    if line.phrase:
         out.append("~phrase")
-    if k := len(_SEPARATOR.findall(line)):
+    if n < 500 and (k := len(_SEPARATOR.findall(line))):
         out.append("~parts%d" % min(k, 3))
-    if "," in line and not _ENDS.search(line) and n < 80:
+    if "," in line and not line.ends and n < 80:
         out.append("~list")
     if "#" in line:
         out.append("~hash")
@@ -163,7 +187,7 @@ def _contents(lines: list[str]) -> set[int]:
         out.add(k)
         for j in range(k + 1, len(lines)):
             bare = re.sub(r"^\d+(?:\.\d+)*\.?\s+", "", lines[j])
-            if _length(lines[j]) < 80 and (bare != lines[j] or bare in lines[j + 1 :]) and not running(lines[j]):
+            if lines[j].length < 80 and (bare != lines[j] or bare in lines[j + 1 :]) and not lines[j].running:
                 out.add(j)
             else:
                 break
@@ -174,14 +198,14 @@ def _labels(lines: list[str], scores: np.ndarray | None) -> np.ndarray:
     """1 content, 0 outside, -1 not used: by structure, and by the first weights in the second round."""
     n = len(lines)
     y = np.full(n, -1)
-    text = [k for k in range(1, n) if running(lines[k])]
+    text = [k for k in range(1, n) if lines[k].running]
     if not text:
         return y
     first, last = text[0], text[-1]
     top = _heading(lines)
     toc = _contents(lines)
     for k in range(1, n):
-        if k in toc or PHRASES.search(lines[k]):
+        if k in toc or lines[k].phrase:
             y[k] = 0
         elif k in text or k == top:
             y[k] = 1
@@ -195,7 +219,7 @@ def _labels(lines: list[str], scores: np.ndarray | None) -> np.ndarray:
 
 
 def train(pages: list[str]) -> Weights:
-    split = [[x.strip() for x in p.split("\n") if x.strip()] for p in pages]
+    split = [[x for _, x in page_lines(p)] for p in pages]
     seen: dict[str, int] = {}
     for lines in split:
         for w in {w.lower() for x in lines for w in _WORD.findall(x)}:
@@ -214,20 +238,20 @@ def train(pages: list[str]) -> Weights:
 
 def main_lines(page: str, model: Weights, below: float = -1.0) -> list[int]:
     """Numbers of the lines of the main body, from 0 over all lines of the page."""
-    numbered = [(k, x.strip()) for k, x in enumerate(page.split("\n")) if x.strip()]
+    numbered = page_lines(page)
     if not numbered:
         return []
     at0 = numbered[0][0] == 0
     lines = [x for _, x in numbered]
     s = model.scores(lines)
     toc, top, title = _contents(lines), _heading(lines), _title(lines)
-    text = [running(x) for x in lines]
+    text = [x.running for x in lines]
     for k, line in enumerate(lines):
-        parts = _PARTS.split(line)
-        if k in toc or PHRASES.search(line) or len(parts) > 2 and not _ENDS.search(line) or len(parts) > 1 and _same(parts[-1], title):
+        parts = _PARTS.split(line) if line.length < 500 else [line]
+        if k in toc or line.phrase or len(parts) > 2 and not line.ends or len(parts) > 1 and _same(parts[-1], title):
             s[k] = min(s[k], -4.0)
         elif text[k] and s[k] > 0:
-            s[k] += min(6.0, _length(line) / 60)  # its words count one by one
+            s[k] += min(6.0, line.length / 60)  # its words count one by one
     if at0:
         s[0] = -6.0  # the browser title
     # maximum-scoring run, by one scan; a break counts at most three
@@ -248,17 +272,16 @@ def main_lines(page: str, model: Weights, below: float = -1.0) -> list[int]:
     return [numbered[k][0] for k in inside if numbered[k][0] > 0]
 
 
-def main_bodies(df: DataFrame, id_col: str, text_col: str, sample_rows: int = 3000, sample_length: int = 30000) -> DataFrame:
+def main_bodies(df: DataFrame, id_col: str, text_col: str, sample_rows: int = 1500, sample_length: int = 30000) -> DataFrame:
     """(id, body, outside) for every page of ``df``: the lines of the main body joined by LF, and the numbers
     (from 0) of the non-blank lines outside it, line 0, the browser title, being neither.
 
-    The weights come from ``sample_rows`` pages of at most ``sample_length`` characters, chosen by a hash of the
-    text; every page is scored as a whole. A page without any line above zero has an empty body; null and empty
+    The weights come from ``sample_rows`` pages, chosen by a hash of the text, without those over ``sample_length`` characters; every page is scored as a whole. A page without any line above zero has an empty body; null and empty
     pages have an empty body and nothing outside. Repeated rows give equal results, an empty table an empty
     result; other columns of ``df`` are dropped.
     """
     pages = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sample = pages.filter(F.length("text") <= sample_length).select("text").orderBy(F.xxhash64("text")).limit(sample_rows)
+    sample = hash_sample(pages, F.col("text"), sample_rows).filter(F.length("text") <= sample_length).select("text")
     model = train([r["text"] for r in sample.collect()])
 
     @F.arrow_udf("struct<body:string,outside:array<int>>")
