@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuskiln.llm import boilerplate, mixing, mojibake, neardup, neighbours, packing, split
+from corpuskiln.llm import boilerplate, mixing, mojibake, neardup, neighbours, packing, residue, split
 from corpuskiln.tables import read
 
 
@@ -99,5 +99,21 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(p7_mixture(spark, folder), read(spark, folder, "mix_targets"))
 
 
+def _residue(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.find_residue(read(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _residue(spark, folder).filter("kind is not null").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents without residue, with their text."""
+    docs = read(spark, folder, "documents")
+    clean = _residue(spark, folder).filter("kind is null").select(F.col("id").alias("doc_id"))
+    return docs.join(clean, "doc_id", "left_semi")
+
+
 QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found,
-           "p6_containers": p6_containers, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_report": p7_report}
+           "p6_containers": p6_containers, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_report": p7_report,
+           "p8_found": p8_found, "p8_clean": p8_clean}
