@@ -21,8 +21,8 @@ def strip_lines(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits, in order."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-case runs of letters and digits, in order; a final sigma counts as any sigma."""
+    return F.filter(F.split(F.translate(F.lower(text), "ς", "σ"), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def not_blank(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """Keyword and vector search for whole sets of queries, and their fusion.
 
-A query set is bounded and goes to every executor as one broadcast row or a few; its size is checked. The
-collection is never shuffled: each row is scored where it is read, and only the best rows of each task and
-query move (the ranking window is cut on both sides of its shuffle).
+A query set is bounded and goes to every executor by broadcast after a check of its size. The texts and vectors
+of the collection are never shuffled: only counts of asked terms and scores move, and of the scores the best of
+each task and query (the ranking window is cut on both sides of its shuffle).
 """
 
 from __future__ import annotations
@@ -59,30 +59,23 @@ def keyword_search(
     ``queries`` has query_id and query. Scores are rounded to six places before they are compared. Texts without
     any term of the query are no hits; null texts count as empty.
     """
-    asked = small(queries.select("query_id", F.array_distinct(terms(F.coalesce("query", F.lit("")))).alias("asked")))
-    wanted = asked.select(F.explode("asked").alias("term")).agg(F.collect_set("term").alias("wanted"))
-    words = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("words")).withColumn("length", F.size("words"))
-    hits = (
-        words.join(F.broadcast(wanted))
-        .withColumn("hits", F.filter("words", lambda w: F.array_contains("wanted", w)))
-        .select("id", "length", "hits")
+    asked = small(queries.select("query_id", F.explode(F.array_distinct(terms(F.coalesce("query", F.lit(""))))).alias("term")), 50 * MAX_QUERIES)
+    words = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    totals = words.select(F.size("words").alias("length")).agg(F.count("*").alias("texts"), F.avg("length").alias("mean"))
+    # Only terms that are asked for leave their task, counted there once per text.
+    found = (
+        words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
+        .join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+        .groupBy("id", "length", "term")
+        .agg(F.count("*").alias("tf"))
     )
-    present = hits.filter(F.size("hits") > 0).select(F.explode(F.array_distinct("hits")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    totals = words.agg(F.count("*").alias("texts"), F.avg("length").alias("mean"))
-    idf = present.join(F.broadcast(totals)).select("term", F.log(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean")
-    weights = asked.select("query_id", F.explode("asked").alias("term")).join(idf, "term").groupBy("query_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "idf")))).alias("idf"), F.first("mean").alias("mean"))
-    scored = (
-        hits.filter(F.size("hits") > 0)
-        .join(small(weights))
-        .withColumn("found", F.array_sort(F.filter(F.array_distinct("hits"), lambda t: F.map_contains_key("idf", t))))
-        .filter(F.size("found") > 0)
+    idf = (
+        found.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals))
+        .select("term", "mean", F.log(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     )
-
-    def add(total: Column, term: Column) -> Column:
-        tf = F.size(F.filter("hits", lambda h: h == term)).cast("double")
-        return total + F.try_element_at("idf", term) * tf / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-
-    scored = scored.select("query_id", "id", F.round(F.aggregate("found", F.lit(0.0), add), 6).alias("score"))
+    weights = F.broadcast(asked.join(idf, "term"))
+    part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    scored = found.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return ranked(scored, [F.desc("score"), F.asc("id")], limit)
 
 

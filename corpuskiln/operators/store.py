@@ -87,7 +87,7 @@ def trace_rollup(traces: DataFrame) -> DataFrame:
         .agg(
             F.count("*").alias("runs"),
             F.count_if(~F.col("success")).alias("failures"),
-            F.round(F.avg(F.when(F.col("duration_ms") >= 0, F.col("duration_ms"))), 6).alias("mean_ms"),
+            F.round(F.avg(F.when(F.col("duration_ms") >= 0, F.col("duration_ms"))), 9).alias("mean_ms"),
             F.count_if(F.get_json_object("stages", "$.cache.hit") == "true").alias("cache_hits"),
         )
     )

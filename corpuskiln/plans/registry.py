@@ -187,7 +187,7 @@ def html_extract(spark, folder):
     escaped = F.replace(F.replace(F.replace("content", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     page = F.concat(
         F.lit("<!DOCTYPE html><html><head><title> T "), F.col("doc_id"), F.lit(" </title><style>p { x: 1 }</style><script>if (a < b) { c(); }</script></head><body><!-- menu --><h1>&copy; x</h1><p class='a'>"),
-        F.replace(escaped, F.lit("\n"), F.lit("</p>\n<p>")), F.lit("</p></body></html>"),
+        F.replace(escaped, F.lit("\n"), F.lit("</p><p>")), F.lit("</p></body></html>"),
     )
     return docs.select("doc_id", text.html_text(page).alias("text"), text.html_title(page).alias("title"))
 
