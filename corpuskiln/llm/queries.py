@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuskiln.llm import boilerplate, mixing, mojibake, neardup, neighbours, packing, residue, split
+from corpuskiln.llm.queries_sql import SQL  # noqa: F401
 from corpuskiln.tables import read
 
 
