@@ -296,4 +296,5 @@ def main_bodies(df: DataFrame, id_col: str, text_col: str, sample_rows: int = 15
             })
         return pa.array(out, type=pa.struct([("body", pa.string()), ("outside", pa.list_(pa.int32()))]))
 
+    look = look.asNondeterministic()  # else the optimizer runs it once more to filter empty results
     return pages.withColumn("seen", look("text")).select("id", "seen.body", "seen.outside")
