@@ -181,9 +181,9 @@ def nearest_vectors(
     vector_col: str,
     k: int = 5,
     dims: int = 64,
-    tables: int = 6,
+    tables: int = 4,
     probes: int = 1,
-    bucket_rows: int = 512,
+    bucket_rows: int = 1500,
     hot_rows: int = 8192,
     seed: int = 7,
 ) -> DataFrame:

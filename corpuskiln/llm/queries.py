@@ -80,7 +80,7 @@ def p4_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbours.similar_pairs(neighbours.nearest_vectors(read(spark, folder, "chunks"), "chunk_id", "embedding", tables=5))
+    return neighbours.similar_pairs(neighbours.nearest_vectors(read(spark, folder, "chunks"), "chunk_id", "embedding"))
 
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
