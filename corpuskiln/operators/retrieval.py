@@ -7,12 +7,13 @@ each task and query (the ranking window is cut on both sides of its shuffle).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuskiln import config
 from corpuskiln.functions.text import terms
-from corpuskiln.functions.vectors import dot, unit
 
 MAX_QUERIES = 20_000
 
@@ -90,17 +91,47 @@ def vector_search(
     """(query_id, id, score, rank): the best ``limit`` vectors per query by cosine; ties by id.
 
     ``queries`` has query_id and vector. Vectors that are null, all zero, or not of ``dims`` values (of the query's
-    number of values if not given) are no hits. Exact: every vector is compared with every query of the set.
+    number of values if not given) are no hits. Exact: every vector is compared with every query of the set, as
+    products of matrices in Arrow batches, of which only possible hits come back.
     """
-    asked = small(queries.select("query_id", unit(F.col("vector")).alias("q")).filter(F.col("q").isNotNull()))
-    vectors = docs.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0))
+    asked = small(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter(_usable("vector"))).toArrow()
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(docs.dtypes)[id_col]}, score double"
+    vectors = docs.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(_usable("v"))
     if dims is not None:
         vectors = vectors.filter(F.size("v") == dims)
-    pairs = vectors.select("id", unit(F.col("v")).alias("v")).join(asked, F.size("q") == F.size("v"))
-    scored = pairs.select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    sizes = asked.column("vector").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if asked.num_rows else np.zeros(0, dtype=int)
+    sets = {int(n): _rows(asked.filter(pa.array(sizes == n)).column("vector"), int(n)) for n in np.unique(sizes)}
+    names = {n: asked.column("query_id").filter(pa.array(sizes == n)).combine_chunks() for n in sets}
+
+    def compare(batches):
+        for batch in batches:
+            lengths = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
+            for n, q in sets.items():
+                here = batch.filter(pa.array(lengths == n))
+                if not here.num_rows:
+                    continue
+                s = q @ _rows(here.column("v"), n).T
+                # what is at most the last kept score of this batch can be no hit; equal scores at six places stay
+                last = np.partition(s, -limit, axis=1)[:, -limit] if s.shape[1] > limit else np.full(len(q), -np.inf)
+                row, col = np.nonzero(s >= last[:, None] - 2e-6)
+                yield pa.RecordBatch.from_arrays([names[n].take(pa.array(row)), here.column("id").take(pa.array(col)), pa.array(s[row, col])], names=["query_id", "id", "score"])
+
+    scored = vectors.mapInArrow(compare, schema).withColumn("score", F.round("score", 6))
     return ranked(scored, [F.desc("score"), F.asc("id")], limit)
 
 
+def _usable(vector: str) -> Column:
+    v = F.col(vector)
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def _rows(vectors: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
+    """Vectors as rows of a matrix, each at length one."""
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def fuse_ranks(ranks: DataFrame, k: int = config.RRF_K) -> DataFrame:
     """(query_id, id, rrf_score) from (query_id, id, rank) rows of any number of lists: the sum of 1 / (k + rank)."""
     return ranks.groupBy("query_id", "id").agg(F.sum(F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("rrf_score"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from corpuskiln import config
 from corpuskiln.functions.text import citation_markers
 from corpuskiln.operators import confidence, retrieval
+from corpuskiln.tables import written
 
 
 class LanguageModel(Protocol):
@@ -108,10 +109,12 @@ def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, as_of: Colu
 
     ``queries`` has query_id, query and vector; ``chunks`` has chunk_id, parent_doc_id, text and embedding.
     """
-    hits = retrieval.hybrid_search(queries, chunks, "chunk_id", "text", "embedding")
+    # The hits are at most ``FUSED_TOP_K`` per query of a set whose size is checked; written once and broadcast, they let
+    # texts and documents be looked up where they are read.
+    hits = written(retrieval.hybrid_search(queries, chunks, "chunk_id", "text", "embedding"), "hits")
     texts = chunks.select(F.col("chunk_id").alias("id"), "parent_doc_id", "text")
-    # The hits, a few per query, are the small side of both lookups; the planner broadcasts them by their measured size.
-    hits = texts.join(hits, "id").join(queries.select("query_id", "query"), "query_id")
+    hits = written(texts.join(F.broadcast(hits), "id").join(queries.select("query_id", "query"), "query_id"), "texts")
+    docs = docs.join(F.broadcast(hits.select(F.col("parent_doc_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     reranked = retrieval.rerank(hits, retrieval.lexical_logit(F.col("query"), F.col("text")) if logit is None else logit)
     found = confidence.with_source(reranked, docs)
     found = found.withColumns(confidence.parts(as_of, found))
