@@ -193,7 +193,7 @@ def html_extract(spark, folder):
 
 
 def title_keyword_filter(spark, folder):
-    """Documents whose title has a wanted word; those of the reference list and the commonest of this collection."""
+    """Documents whose title has a wanted word; the words of the fixed list and common ones of this collection."""
     titles = read(spark, folder, "docs").select("doc_id", text.title_of(F.col("content")).alias("title"), "content")
     words = (*config.TITLE_KEYWORDS, "kernel", "protocol", "model", "heap")
     return titles.filter(text.not_blank(F.col("content")) & text.title_matches(F.col("title"), words)).select("doc_id", "title")

@@ -139,6 +139,8 @@ SQL = {
       SELECT count(*) AS answers, count(*) FILTER (r) AS refusals, round(count(*) FILTER (r) / count(*)::DOUBLE, 9) AS gate_rate FROM a""",
     "context_prompt": f"""WITH {LATEST_CHUNKS}, f AS (SELECT parent_doc_id AS query_id, text, row_number() OVER (PARTITION BY parent_doc_id ORDER BY chunk_index) AS position FROM latest QUALIFY position <= 3)
       SELECT query_id, 'Context:' || chr(10) || string_agg('[' || position || '] ' || coalesce(text, ''), chr(10) ORDER BY position) || chr(10) || chr(10) || 'Question: What is this about?' AS prompt FROM f GROUP BY query_id""",
+    "doc_identity": """WITH h AS (SELECT doc_id, metadata.source_file AS f, regexp_extract_all(hex(encode(content)), '..') AS x FROM docs)
+      SELECT doc_id, sha256(unhex(hex(encode(f || '::')) || array_to_string(list_transform(x, lambda b: CASE WHEN b < '8' THEN b WHEN b < 'C' THEN 'C2' || b ELSE 'C3' || translate(b[1], 'CDEF', '89AB') || b[2] END), ''))) AS identity FROM h""",
     "cache_keys": f"SELECT DISTINCT cache_key, sha256({strip('lower(query)')}) AS key FROM query_cache",
     "cache_lookup": f"""WITH living AS (SELECT * FROM query_cache WHERE created_at <= {AS_OF} AND created_at > {AS_OF} - INTERVAL 60 DAY),
       newest AS (SELECT * FROM living QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC NULLS LAST, query) = 1),
