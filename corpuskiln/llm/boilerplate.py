@@ -22,7 +22,7 @@ from corpuskiln.operators.sampling import hash_sample
 
 # Phrases that only stand outside the main body.
 PHRASES = re.compile(
-    r"\b(?:we use (?:optional |third-party )?cookies|agree to our use of cookies|optional cookies|cookie (?:settings|policy)|partners process data|stores small files|trackers? (?:are|is) essential"
+    r"\b(?:we use (?:optional |third-party )?cookies|agree to our use of cookies|optional cookies|cookie (?:settings|policy)|partners process data|manage choices at any time|one digest per week|stores small files|trackers? (?:are|is) essential"
     r"|privacy matters|your privacy|privacy policy|terms of use|all rights reserved|registered charity|may earn a (?:small )?commission|consider a donation|free of charge last year"
     r"|independent site about|editors review|views in this article|accepts no liability|offered under an open licence|newsletter|get our updates|free trial|download our free|sponsored by"
     r"|about the author|made with care in|powered by|hosted in|theme: |skip to (?:main )?content|jump to navigation|min read|reading time|filed under|posted in \w|published \d|last updated|views: \d"
@@ -32,10 +32,13 @@ PHRASES = re.compile(
     r"|traceurs|site indépendant|avis publiés|tous droits réservés|temps de lecture|mis à jour le|haut de page|politique de confidentialité|abonnez-vous|aller au contenu|tout (?:accepter|refuser)|mentions légales|à propos"
     r"|cookies propias|aceptas su uso|sitio independiente|opiniones de este texto|derechos reservados|saltar al contenido|volver arriba|aviso legal|política de privacidad|tiempo de lectura|suscríb\w+|aceptar todo|configurar preferencias|también te puede interesar"
     r"|útil\?|vous a-t-il|war dieser artikel|hilfreich\?|drucken$|teilen$|imprimer$|imprimir$|partager$|compartir$"
-    r")|^(?:yes|no|ja|nein|oui|non|sí)$|^(?:stand|fecha|date|datum|updated|data)\s*: .{0,30}\d$|^(?:actualizado|publicado|publié|veröffentlicht|aktualisiert|zuletzt|última)\b.{0,40}\d{4}$|\w\d+ (?:says|wrote|schrieb|a écrit|dijo)\b|\w\d* · \d+ \w+ ago|^\S+\d+ #\d+$|^\d+ (?:comments?|comentarios|commentaires|kommentare)$|©|^\+\d$|#\w+ #\w+|^(?:tags|topics|filed under|schlagwörter|etiquetas)\s*:"
+    r")|^(?:yes|no|ja|nein|oui|non|sí)$|^(?:share|print|advertisement|sponsored|subscribe|donate|anzeige|(?:artikel )?merken|drucken|teilen|publicité|partager|imprimer|s[’']abonner|publicidad|publicidade|compartir|imprimir|suscribirse|partilhar|reklama|реклама|広告)$"
+    r"|^lectura\s*:|^[a-z][a-z-]*(?:, [a-z][a-z-]*)+$|^(?:stand|fecha|date|datum|updated|data)\s*: .{0,30}\d$|^(?:actualizado|publicado|publié|veröffentlicht|aktualisiert|zuletzt|última)\b.{0,40}\d{4}$|\w\d+ (?:says|wrote|schrieb|a écrit|dijo)\b|\w\d* · \d+ \w+ ago|^\S+\d+ #\d+$|^\d+ (?:comments?|comentarios|commentaires|kommentare)$|(?:^|\s)[ÂÃ\x80-\xbf]{0,4}©|©\s*\d{4}|^\+\d$|#\w+ #\w+|^(?:tags|topics|filed under|schlagwörter|etiquetas)\s*:"
     r"|^(?:previous|next|prev|weiter|zurück|anterior|siguiente|précédent|suivant)\s*:|^[«»←→‹›] ?\S",
     re.I,
 )
+# Words of sentences in articles that write about what stands outside the main body.
+WRITTEN_ABOUT = re.compile(r"privacy policy of \w+ (?:is|was)|stores a cookie per|splits each cookie|newsletter form lets|lets readers subscribe|is parsed by (?:a|an|the)\b", re.I)
 # Names under which pages list their sections.
 CONTENTS = re.compile(r"^(?:table of contents|contents|on this page|in this article|inhalt(?:sverzeichnis)?|auf dieser seite|sommaire|dans cet article|índice|contenido|en esta página|conteúdo|nesta página|spis treści|содержание|目次)\s*:?$", re.I)
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
@@ -44,6 +47,7 @@ _SEPARATOR = re.compile(r"\s(?:[|»>/•·]|::|–|-)\s")
 _PARTS = re.compile(r"\s+(?:[|»>/•·]|::)\s+")
 _ENDS = re.compile(r"[.!?:;…。！？][\"'”’»)\]]*$")
 _WIDE = re.compile(r"[぀-ヿ一-鿿]")
+_SENTENCES = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-z])")
 _SUFFIX = re.compile(r"\s+(?:\||::|–|-|—|»|•|·)\s+.*$")
 
 
@@ -67,6 +71,10 @@ class Line(str):
         self.length = _length(text)
         self.ends = bool(_ENDS.search(text[-8:]))
         self.phrase = self.length <= 500 and bool(PHRASES.search(text))
+        if self.phrase and self.ends and self.length >= 60:  # running text may write about such things
+            parts = _SENTENCES.split(text)
+            own = sum(bool(PHRASES.search(x)) and not WRITTEN_ABOUT.search(x) for x in parts)
+            self.phrase = own == len(parts) if len(parts) < 3 else 2 * own > len(parts)
         #: running text: a sentence of some length and no known phrase
         self.running = self.length >= 60 and self.ends and not self.phrase
         return self
