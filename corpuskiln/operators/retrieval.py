@@ -62,14 +62,15 @@ def keyword_search(
     """
     asked = small(queries.select("query_id", F.explode(F.array_distinct(terms(F.coalesce("query", F.lit(""))))).alias("term")), 50 * MAX_QUERIES)
     words = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    totals = words.select(F.size("words").alias("length")).agg(F.count("*").alias("texts"), F.avg("length").alias("mean"))
-    # Only terms that are asked for leave their task, counted there once per text.
+    # Only terms that are asked for leave their task, counted there once per text, and an empty term that stands for the
+    # text itself: one pass over the texts gives frequencies, lengths and totals, as all uses share its exchange.
     found = (
-        words.select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-        .join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+        words.select("id", F.size("words").alias("length"), F.explode(F.array_append("words", "")).alias("term"))
+        .join(F.broadcast(asked.select("term").distinct().union(asked.sparkSession.createDataFrame([("",)], "term string"))), "term", "left_semi")
         .groupBy("id", "length", "term")
         .agg(F.count("*").alias("tf"))
     )
+    totals = found.agg(F.count_if(F.col("term") == "").alias("texts"), F.avg(F.when(F.col("term") == "", F.col("length"))).alias("mean"))
     idf = (
         found.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals))
         .select("term", "mean", F.log(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
