@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import re
+from re import _parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,38 +70,83 @@ ABOUT = re.compile(
 # The first words of filler Latin; its other words are learned beside them.
 LATIN = {"lorem", "ipsum", "dolor", "elit", "amet", "consectetur"}
 
-# Parts of words without which none of the phrases above can occur in a unit, but for stubs like 'Heading 1'; a
-# second space before one stands for the start of a word.
-STEMS = """error, domain, registrar, erreur, fehler,  erro, błąd, ошибк, エラー, http status, status: , not found, forbidden,  gone, bad gateway, gateway time, unavailable, traceback,  exception, exception , fatal error,
-parse error, stack trace, segmentation, dumped, uncaught, nullpointer, warning:, database connection, database error, establishing, call to undefined, internal server, internal problem, internal error, timed out, too many, rate limit, denied, permission to,
-authoris, authoriz, session has, session timed, session expired, sign in, log in to, members only, subscribers, verify that, verify you, checking your, captcha, unusual, page you, page not, page does, page has, page was, page is, page been, find that page,
-could not, couldn, might have, no longer, no results, service is, service unavailable, service temporarily, maintenance, be back, try again, went wrong, occurred, redirecting, click  here, not available, whoops, oops, sorry, java:,
-gefunden, existiert, verfügbar, verweigert, wartung, gewartet, versuchen, aufgetreten, sitzung, introuvable, existe plus, indisponible, refusé, interdit, réessayez, survenue, produite,
-expiré, désolé, encontrad, ya no existe, está disponible, denegado, inténtelo, ocurrido, caducado, expirado, lo sentimos, não existe mais, negado, indisponível, tente novamente, ocorreu,
-desculpe, znaleziono, nie istnieje, odmowa, brak dost, niedost, wewnętrzn, spróbuj, wystąpił, przepraszamy, найден, не существ, запрещ, недоступ, внутренн, попробуйте, произошла, извините,
-технические, 見つか, 存在し, アクセス, 利用でき, 内部エ, サーバーエ, しばらく, メンテ, 申し訳,  script, javascript, java-script, сценари, скрипт, skrypt, skript, スクリプト, browser, lorem, dolor sit, amet cons,  here,  todo,
-tbd, fixme,  tbc,  wip , to be, coming soon, wording, placeholder, keep it, add a short, write this, write something, write  here, sample text, dummy, your text, replace this, nothing  here, this page,
-construc, em constru, construction, body copy, copy pending, content follows, more soon, to follow, folgt, hier steht, blindtext, platzhalter,  bald , bearbeitung, schreiben, aquí, aqui, écrivez, à venir, bientôt,
-contenu à, texte à, próximamente, texto de, em breve, wkrótce, budowie, zastępczy, tutaj, скоро, разработке, заполнитель, здесь, ここに, 準備中, 工事中, 近日公開, ダミー, undefined,  nan,  null,  none,
-  nil, n/a, [object"""
 KINDS = (("filler", FILLER), ("value", VALUE), ("scripts", SCRIPTS), ("message", MESSAGE))
 _MARKED = re.compile(r"[{\[<%_$@]|XXX|xx[x-]|TKTK|«[A-Z][A-Z_]|&lt;")
-_STUB = re.compile(r"(?:heading|paragraph|caption|title|item|section|subtitle|text|image|column)(?: here| \d+)?\.?$", re.I)
-_CODE = re.compile(r"^\W*[45]\d\d\b")
+# letters that match others without case but are not lower-cased to them
+_RARE = re.compile(r"[ſıİ\u1c80-\u1c88]")
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The parts between the outermost bars of a pattern."""
+    out, depth, inside, start, k = [], 0, False, 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+            k += pattern[k + 1] == "^"
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:k])
+            start = k + 1
+        k += 1
+    return [*out, pattern[start:]]
+
+
+def _needed(tree) -> frozenset[str] | None:
+    """Lower-case strings one of which is in every match of a parsed pattern; None if there are no such."""
+    found, run = [], ""
+    for op, av in [*tree, (None, None)]:
+        name = str(op)
+        if name == "LITERAL":
+            run += chr(av).lower()
+            continue
+        if name in ("AT", "ASSERT", "ASSERT_NOT"):
+            continue
+        if run:
+            found.append(frozenset({run}))
+            run = ""
+        part = None
+        if name == "SUBPATTERN":
+            part = _needed(av[-1])
+        elif name == "BRANCH":
+            each = [_needed(x) for x in av[1]]
+            part = None if None in each else frozenset().union(*each)
+        elif name.endswith("_REPEAT") and av[0] > 0:
+            part = _needed(av[2])
+        if part:
+            found.append(part)
+    return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+
+@functools.lru_cache(maxsize=1)
+def phrases() -> list[tuple[str, re.Pattern, frozenset[str] | None]]:
+    """(kind, pattern, strings one of which is in every match) of every alternative of the patterns of all kinds."""
+    out = []
+    for kind, pattern in KINDS:
+        for part in alternatives(pattern.pattern):
+            out.append((kind, re.compile(part, pattern.flags), _needed(_parser.parse(part, pattern.flags))))
+    return out
 
 
 @functools.lru_cache(maxsize=4)
 def _finder(words: frozenset[str]):
+    """Finds in a lower-case unit which phrases can occur (their numbers) and whether filler Latin does (-1)."""
     import ahocorasick
 
+    found: dict[str, set[int]] = {w: {-1} for w in words}
+    for n, (_, _, needed) in enumerate(phrases()):
+        for w in needed or ():
+            found.setdefault(w, set()).add(n)
     finder = ahocorasick.Automaton()
-    for w in {x[1:] for x in (" " + STEMS).replace("\n", " ").split(",")}:
-        kinds = {kind for kind, pattern in KINDS if w.strip() in pattern.pattern.lower()}
-        finder.add_word(w, frozenset(kinds or {kind for kind, _ in KINDS}))
-    for w in words:
-        finder.add_word(w, frozenset({"filler"}))
+    for w, numbers in found.items():
+        finder.add_word(w, tuple(numbers))
     finder.make_automaton()
-    return finder
+    return finder, frozenset(n for n, (_, _, needed) in enumerate(phrases()) if not needed)
 
 
 _UNIT = re.compile(r"[^\n]+")
@@ -145,33 +191,29 @@ def _repeats(unit: str) -> bool:
 
 def judge(text: str, constant: frozenset[str], latin: frozenset[str]) -> str | None:
     """The kind of residue in a text, or None."""
-    finder = _finder(latin)
+    finder, always = _finder(latin)
     for u in units(text):
         marked, count = _MARKED.search(u), u.count(" ")
-        kinds = {k for _, found in finder.iter(f" {u.lower()} ") for k in found}
-        if _CODE.match(u):
-            kinds.add("message")
-        if count < 4 and _STUB.match(u):
-            kinds.add("filler")
-        repeated = _repeats(u)
-        if not (marked or kinds or repeated):
-            continue
-        about = bool(ABOUT.search(u))
-        if "filler" in kinds:
+        seen = {n for _, numbers in finder.iter(u.lower()) for n in numbers} | always
+        if not u.isascii() and _RARE.search(u):
+            seen.update(range(-1, len(phrases())))
+        about = None
+        if -1 in seen:
             words = [w.lower() for w in _WORD.findall(u)]
             if len(words) >= 4 and 2 * sum(w in latin for w in words) >= len(words):
                 return "filler"
-        if marked and not about:
-            for m in SLOT.finditer(u):
+        if marked:
+            about = bool(ABOUT.search(u))
+            for m in SLOT.finditer(u) if not about else ():
                 if count < 7 or _context(u, m) + " = " + re.sub(r"\s+", "", m[0]) not in constant:
                     return "slot"
         if about:
             continue
-        for kind, pattern in KINDS:
-            if kind in kinds and pattern.search(u):
-                return kind
-        if repeated:
-            return "filler"
+        kind = next((phrases()[n][0] for n in sorted(seen - {-1}) if phrases()[n][1].search(u)), None)
+        if kind is None and _repeats(u):
+            kind = "filler"
+        if kind and (about is False or not ABOUT.search(u)):
+            return kind
     return None
 
 
