@@ -172,12 +172,16 @@ def _context(unit: str, m: re.Match) -> str:
 
 
 def marks(text: str) -> list[dict]:
-    """Every slot mark of a text with its context, as records to align."""
+    """Every slot mark of a text with its context and a hash of the rest of its unit, as records to align."""
+    import xxhash
+
     out = []
     for u in units(text):
+        if not _MARKED.search(u):
+            continue
         words = len(_WORD.findall(SLOT.sub(" ", u)))
         for m in SLOT.finditer(u):
-            out.append({"context": _context(u, m), "mark": re.sub(r"\s+", "", m[0]), "unit": skeleton(u), "rest": u[: m.start()] + u[m.end() :], "words": words})
+            out.append({"context": _context(u, m), "mark": re.sub(r"\s+", "", m[0]), "rest": xxhash.xxh64_intdigest((u[: m.start()] + u[m.end() :]).encode("utf-8", "surrogatepass")) - 2**63, "words": words})
     return out
 
 
@@ -190,7 +194,15 @@ def _repeats(unit: str) -> bool:
 
 
 def judge(text: str, constant: frozenset[str], latin: frozenset[str]) -> str | None:
-    """The kind of residue in a text, or None."""
+    """The kind of residue in a text, or None, where ``constant`` has all marks that are their template's own text."""
+    kind, doubtful = examine(text, latin)
+    return kind if constant.issuperset(doubtful) else "slot"
+
+
+def examine(text: str, latin: frozenset[str]) -> tuple[str | None, list[str]]:
+    """The first certain kind of residue in a text, and the marks before it: the text has a slot, unless all of them
+    are their template's own text."""
+    doubtful: list[str] = []
     finder, always = _finder(latin)
     for u in units(text):
         marked, count = _MARKED.search(u), u.count(" ")
@@ -201,20 +213,21 @@ def judge(text: str, constant: frozenset[str], latin: frozenset[str]) -> str | N
         if -1 in seen:
             words = [w.lower() for w in _WORD.findall(u)]
             if len(words) >= 4 and 2 * sum(w in latin for w in words) >= len(words):
-                return "filler"
+                return "filler", doubtful
         if marked:
             about = bool(ABOUT.search(u))
             for m in SLOT.finditer(u) if not about else ():
-                if count < 7 or _context(u, m) + " = " + re.sub(r"\s+", "", m[0]) not in constant:
-                    return "slot"
+                if count < 7:
+                    return "slot", doubtful
+                doubtful.append(_context(u, m) + " = " + re.sub(r"\s+", "", m[0]))
         if about:
             continue
         kind = next((phrases()[n][0] for n in sorted(seen - {-1}) if phrases()[n][1].search(u)), None)
         if kind is None and _repeats(u):
             kind = "filler"
         if kind and (about is False or not ABOUT.search(u)):
-            return kind
-    return None
+            return kind, doubtful
+    return None, doubtful
 
 
 def find_residue(df: DataFrame, id_col: str, text_col: str, least_records: int = 4, least_pages: int = 3) -> DataFrame:
@@ -228,38 +241,32 @@ def find_residue(df: DataFrame, id_col: str, text_col: str, least_records: int =
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     own = texts.select("text").filter("text is not null and text <> ''").distinct()
 
-    record = pa.struct([("context", pa.string()), ("mark", pa.string()), ("unit", pa.string()), ("rest", pa.string()), ("words", pa.int32())])
-
-    @F.arrow_udf("array<struct<context:string,mark:string,unit:string,rest:string,words:int>>")
-    def all_marks(column: pa.Array) -> pa.Array:
-        return pa.array([marks(t) if t else None for t in column.to_pylist()], type=pa.list_(record))
-
-    slotted = F.col("text").rlike(r"[{}\[\]<>]|%\(|__[A-Z]|%[A-Z]|XXX|xx|\$[A-Z]|@@")
-    aligned = (
-        own.filter(slotted)
-        .select(F.explode(all_marks("text")).alias("m"))
-        .select("m.*")
-        .groupBy("context")
-        .agg(F.approx_count_distinct("rest").alias("records"), F.min("mark").alias("mark"), F.max("mark").alias("other"), F.min("words").alias("words"))
-        .filter(f"mark = other and records >= {least_records} and words >= 8")
-    )
-    constant = frozenset(r["context"] + " = " + r["mark"] for r in aligned.select("context", "mark").orderBy(F.desc("records"), "context").limit(20000).collect())
     latin = _latin(own)
+    record = pa.struct([("context", pa.string()), ("mark", pa.string()), ("rest", pa.int64()), ("words", pa.int32())])
+    kept = pa.struct([("kind", pa.string()), ("page", pa.string()), ("doubtful", pa.list_(pa.string())), ("marks", pa.list_(record))])
 
-    @F.arrow_udf("struct<kind:string,page:string>")
+    @F.arrow_udf("struct<kind:string,page:string,doubtful:array<string>,marks:array<struct<context:string,mark:string,rest:bigint,words:int>>>")
     def look(column: pa.Array) -> pa.Array:
         out = []
         for t in column.to_pylist():
-            if not t:
-                out.append({"kind": None, "page": None})
-                continue
+            kind, doubtful = examine(t, latin)
             page = None
             if len(t) <= 1000:
                 page = "\n".join(skeleton(u) for u in units(t))
-            out.append({"kind": judge(t, constant, latin), "page": page})
-        return pa.array(out, type=pa.struct([("kind", pa.string()), ("page", pa.string())]))
+            out.append({"kind": kind, "page": page, "doubtful": sorted(set(doubtful)), "marks": marks(t)})
+        return pa.array(out, type=kept)
 
-    judged = written(own.select(F.xxhash64("text").alias("key"), F.length("text").alias("length"), look("text").alias("seen")).select("key", "length", "seen.kind", F.xxhash64("seen.page").alias("page"), F.col("seen.page").isNotNull().alias("paged")), "judged")
+    looked = written(own.select(F.xxhash64("text").alias("key"), F.length("text").alias("length"), look("text").alias("seen")).select("key", "length", "seen.kind", F.xxhash64("seen.page").alias("page"), F.col("seen.page").isNotNull().alias("paged"), "seen.doubtful", "seen.marks"), "looked")
+    constants = (
+        looked.select(F.explode("marks").alias("m"))
+        .select("m.*")
+        .groupBy("context")
+        .agg(F.count_distinct("rest").alias("records"), F.min("mark").alias("mark"), F.max("mark").alias("other"), F.min("words").alias("words"))
+        .filter(f"mark = other and records >= {least_records} and words >= 8")
+        .select(F.concat_ws(" = ", "context", "mark").alias("mark"))
+    )
+    slots = looked.select("key", "length", F.explode("doubtful").alias("mark")).join(constants, "mark", "left_anti").select("key", "length", F.lit("slot").alias("slot")).distinct()
+    judged = written(looked.join(slots, ["key", "length"], "left").select("key", "length", F.coalesce("slot", "kind").alias("kind"), "page", "paged"), "judged")
     pages = (
         judged.filter("paged")
         .groupBy("page")
@@ -275,9 +282,10 @@ def find_residue(df: DataFrame, id_col: str, text_col: str, least_records: int =
     )
 
 
-def _latin(own: DataFrame, most: int = 2000) -> frozenset[str]:
+def _latin(own: DataFrame) -> frozenset[str]:
     """Words of filler Latin: those that mostly stand in lines with at least two of its first words. Counted over
-    all texts that have one of these at all; at most ``most`` words, the most frequent, come to the driver."""
+    all texts that have one of these at all. All such words come to the driver: they are a vocabulary, which grows
+    far slower than the texts."""
     seeds = sorted(LATIN)
     lines = own.filter(F.col("text").rlike("(?i)" + "|".join(seeds))).select(F.explode(F.split("text", r"\n|(?<=[.!?])\s")).alias("line")).filter(~F.col("line").rlike("(?i)" + ABOUT.pattern)).select(
         F.array_distinct(F.filter(F.split(F.lower("line"), r"[^\p{L}]+"), lambda w: w != "")).alias("words")
@@ -288,7 +296,5 @@ def _latin(own: DataFrame, most: int = 2000) -> frozenset[str]:
         .groupBy("word")
         .agg(F.count("*").alias("n"), F.sum("seed").alias("near"))
         .filter("near >= 3 and 5 * near >= n")
-        .orderBy(F.desc("near"), "word")
-        .limit(most)
     )
     return frozenset({r["word"] for r in words.collect()} | LATIN)

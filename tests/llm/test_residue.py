@@ -47,3 +47,21 @@ def test_prefilter_agrees_with_all_patterns():
 @pytest.mark.parametrize("text", ["Page removed", "Page moved", "Page deleted", "This page moved", "Status 500", "Status:500", "size = nil", "Price: nil", "count=null", "x=None", "Total: $NaN", "(NaN)", "WIP: parts", "(TODO)", "**TODO**"])
 def test_short_forms(text):
     assert residue.judge(text, frozenset(), LATIN) and any(p.search(text) for _, p in residue.KINDS)
+
+
+def word(k):
+    return "".join(chr(97 + k // 26**i % 26) for i in range(4))
+
+
+@pytest.mark.parametrize("mark", ["«THING»", "&lt;thing&gt;", "TKTK", "____"])
+def test_constants_of_every_form(spark, mark):
+    """Sentences that differ elsewhere and have the same mark in the same place write about it, however it is spelled."""
+    rows = [(k, f"In {n}, the mark {mark} of old {n} files stands before the {w} of every new record.") for k, (n, w) in enumerate(zip(["Aba", "Bob", "Cid", "Dan", "Eve", "Fay"], ["heap", "tree", "list", "ring", "map", "log"]))]
+    got = residue.find_residue(spark.createDataFrame(rows, "id bigint, text string"), "id", "text").collect()
+    assert len(got) == 6 and {r["kind"] for r in got} == {None}
+
+
+def test_constants_without_limit(spark):
+    rows = [(k, "\n".join(f"The old {w} has mark {word(n)} {{{{thing}}}} here before each of its new records." for n in range(20_050))) for k, w in enumerate(["heap", "tree", "list", "ring", "map"])]
+    df = spark.createDataFrame(rows, "id bigint, text string").repartition(5, "id")
+    assert {r["kind"] for r in residue.find_residue(df, "id", "text").collect()} == {None}
