@@ -198,6 +198,17 @@ def expanded_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def with_short(items: DataFrame, groups: DataFrame) -> DataFrame:
+    """``groups`` with a row, of no links, for each of ``items(kind, id, text)`` that has no class: texts without
+    shingles form a group by the hash of their lower-case words, null texts and texts without words one each of their own.
+    Rows repeated under one id count once for each different text; null ids have no row."""
+    items = items.select("kind", F.col("id").cast("string").alias("id"), "text").filter(F.col("id").isNotNull())
+    words = F.filter(F.split(F.lower("text"), r"[ \t\r\n]+"), lambda w: w != "")
+    named = F.when(F.size(words) > 0, F.concat(F.lit("words "), F.array_join(words, " "))).otherwise(F.concat(F.lit("none "), "id"))
+    rows = items.select("kind", "id", F.upper(F.md5(named)).alias("group_id"), F.lit(0).cast("long").alias("links")).distinct()
+    return groups.unionByName(rows.join(groups.select("kind", "id"), ["kind", "id"], "left_anti"))
+
+
 def grouped(members: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:
     """(kind, id, group_id, links): the connected group of every item, named by its least class, and the
     number of classes its own is linked to. Labels move along links and jump through their own labels, each

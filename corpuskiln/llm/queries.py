@@ -50,8 +50,10 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
-    """Group and number of links of every doc and chunk, with the default measure of five words and 0.8."""
-    return neardup.grouped(*neardup.near_duplicates(_texts(spark, folder)))
+    """Group and number of links of every doc and chunk, with the default measure of five words and 0.8; texts without
+    five words are grouped by equal words, and empty and null ones stand alone."""
+    texts = _texts(spark, folder)
+    return neardup.with_short(texts, neardup.grouped(*neardup.near_duplicates(texts)))
 
 
 def _bodies(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from corpuskiln.llm import neardup
+from corpuskiln.llm import neardup, queries
 
 
 def shingles(text, words):
@@ -68,3 +68,20 @@ def test_empty(spark):
     items = spark.createDataFrame([], "kind string, id string, text string")
     members, links = neardup.near_duplicates(items)
     assert members.count() == 0 and neardup.grouped(members, links).count() == 0 and neardup.expanded_pairs(members, links).count() == 0
+
+
+def test_every_item_has_a_group(spark):
+    long = "one two three four five six seven"
+    rows = [("doc", "a", long), ("doc", "b", long), ("doc", "c", "Short text"), ("doc", "d", " short\ttext\n"), ("doc", "e", "other text"), ("doc", "f", ""), ("doc", "g", None), ("doc", "h", " \n"), ("doc", "c", "Short text"), ("chunk", "a", None), ("doc", None, "x")]
+    items = spark.createDataFrame(rows, "kind string, id string, text string")
+    got = [tuple(r) for r in neardup.with_short(items, neardup.grouped(*neardup.near_duplicates(items))).collect()]
+    groups = {(k, i): g for k, i, g, _ in got}
+    assert len(got) == len(groups) == 9 and {n for *_, n in got} == {0}
+    assert groups["doc", "a"] == groups["doc", "b"] and groups["doc", "c"] == groups["doc", "d"]
+    assert len({groups["doc", x] for x in "acefgh"}) == 6
+
+
+def test_query_has_every_id(spark, sf):
+    got = queries.p2_groups(spark, sf)
+    want = queries._texts(spark, sf).select("kind", "id").distinct()
+    assert got.count() == got.select("kind", "id").distinct().count() == want.count() and got.join(want, ["kind", "id"], "left_anti").isEmpty()
