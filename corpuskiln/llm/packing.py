@@ -53,7 +53,11 @@ def bucket_bounds(histogram: np.ndarray, buckets: int) -> list[int]:
 
 
 def fill(lengths: np.ndarray, capacity: int, bounds: list[int]) -> np.ndarray:
-    """Container number of each of the texts of one shard."""
+    """Container number of each of the texts of one shard.
+
+    The bucket of the longest waiting text, with upper bound u, gives a container its ``capacity // u`` longest texts;
+    then come the longest texts of shorter buckets that fit, and then those of the own one.
+    """
     order = np.argsort(-lengths, kind="stable")
     waiting: dict[int, list[int]] = {}
     for i in order[::-1]:
@@ -71,14 +75,17 @@ def fill(lengths: np.ndarray, capacity: int, bounds: list[int]) -> np.ndarray:
 
     lows = [0, *bounds[:-1]]
     while present:
-        low = lows[bisect.bisect_left(bounds, present[-1])]
+        bucket = bisect.bisect_left(bounds, present[-1])
+        low, batch = lows[bucket], capacity // bounds[bucket]
         free = capacity
         while free:
             at = bisect.bisect_right(present, free) - 1
             if at < 0:
                 break
-            if present[-1] > low and present[at] <= low and present[-1] <= free:
-                at = len(present) - 1  # the own bucket first
+            if batch and present[-1] > low:
+                at, batch = len(present) - 1, batch - 1  # the own bucket first
+            elif present[at] > low:
+                batch, at = 0, max(bisect.bisect_right(present, low) - 1, 0) if present[0] <= low else at
             i, length = take(at)
             out[i] = container
             free -= length

@@ -94,3 +94,10 @@ def test_mixture(spark):
     assert [r["virtual_finish"] for r in rows] == sorted(r["virtual_finish"] for r in rows)
     assert len({(r["id"], r["copy"]) for r in rows}) == len(rows)
     assert mixing.mix_sources(df.limit(0), targets).count() == 0 and mixing.mix_sources(df, targets.limit(0)).count() == 0
+
+
+def test_bounds_decide_containers():
+    lengths = np.array([6, 5, 5, 4])
+    one, two = (packing.fill(lengths, 16, bounds).tolist() for bounds in ([4, 6], [16]))
+    assert one == [0, 0, 1, 0]  # two of the bucket of 6, then the longest of the shorter one
+    assert two == [0, 0, 0, 1]  # one bucket
