@@ -1,26 +1,32 @@
-"""Template residue, filler and error pages.
-
-Texts are cut into units (lines, and sentences of lines). Units that agree in all but names, numbers and
-slot marks are records of one template; aligning them over the whole corpus tells what is a slot. A mark such
-as a variable name is residue where it stands in a slot, and no residue where all records of a sentence that
-differ elsewhere have the very same mark there: then the text writes about it. Filler, messages and notices
-are known by phrases, and whole pages that repeat a template of which most records are known such pages
-count with them.
+"""Template residue, filler and error pages, by aligning records of one template over the whole corpus.
+
+Texts are cut into units (lines, and sentences of lines) and units into tokens. Three things are aligned:
+
+* Slots. A mark (a name in brackets or signs, a gap) is compared with what all other records have between the same
+  words, whatever these records are. Where they have words, nothing, or another mark, the place is a slot, and the mark was
+  left in it. Where the records differ in their other words but have this very mark, it is the template's own text.
+* Pages. Names, numbers and rare words vary between records of a template and are masked, which leaves its
+  skeleton. A skeleton found in many texts which mostly consist of nothing but such skeletons is a line of an error page, a notice
+  or a stub; whatever text has it is residue.
+* Seeds. Phrases and spellings of marks known beforehand count where too few records exist to align them; like marks,
+  they are own text where records that differ elsewhere share them.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from re import _parser
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.tables import written
 
-# Forms of slots left unfilled.
+# Spellings of slots left unfilled, the seeds for marks that no other record can be aligned with.
 SLOT = re.compile(
     r"\{\{\{?\s*[#/&>^]?\s*[A-Za-z_][\w.| ]{0,40}\s*\}?\}\}|\$\{[A-Za-z_][\w.]{0,40}\}|[%#]\{[A-Za-z_][\w.]{0,40}\}|%\([A-Za-z_]\w{0,40}\)[sd]|<%[=-]?\s*[\w. ]{1,40}\s*-?%>"
     r"|\{%-?\s*[\w. ]{1,60}\s*-?%\}|\{(?:\d|[a-z_][\w.]{1,40})\}|\b__[A-Z][A-Z_]{2,40}__|\[\[[A-Za-z_ ]{2,40}\]\]|%[A-Z][A-Z_]{2,30}%|\$[A-Z][A-Z_]{2,30}\$|@@\w{2,30}@@"
@@ -62,16 +68,10 @@ SCRIPTS = re.compile(
     r"|(?:javascript|スクリプト)[をがは][^。\n]{0,20}(?:有効|許可|必要|無効|オン)",
     re.I,
 )
-# Words of sentences that write about such things.
-ABOUT = re.compile(
-    r"template language|a slot such as|format strings? like|the macro\b|expands to|marks an open|users of .{2,40} write|is null or undefined until|prints nan|fill a layout|lorem ipsum so that|makes the .{2,60} answer|\banswers? [45]\d\d|server returns [45]\d\d|messages? such as|is logged|maintenance windows? of|needs javascript; if|if users disable|such as [\"“«{$%]|is replaced by the|are parsed by",
-    re.I,
-)
 # The first words of filler Latin; its other words are learned beside them.
 LATIN = {"lorem", "ipsum", "dolor", "elit", "amet", "consectetur"}
 
 KINDS = (("filler", FILLER), ("value", VALUE), ("scripts", SCRIPTS), ("message", MESSAGE))
-_MARKED = re.compile(r"[{\[<%_$@]|XXX|xx[x-]|TKTK|«[A-Z][A-Z_]|&lt;")
 # letters that match others without case but are not lower-cased to them
 _RARE = re.compile(r"[ſıİ\u1c80-\u1c88]")
 
@@ -133,12 +133,12 @@ def phrases() -> list[tuple[str, re.Pattern, frozenset[str] | None]]:
     return out
 
 
-@functools.lru_cache(maxsize=4)
-def _finder(words: frozenset[str]):
-    """Finds in a lower-case unit which phrases can occur (their numbers) and whether filler Latin does (-1)."""
+@functools.lru_cache(maxsize=1)
+def _finder():
+    """Finds in a lower-case unit which phrases can occur, by their numbers; and those that always can."""
     import ahocorasick
 
-    found: dict[str, set[int]] = {w: {-1} for w in words}
+    found: dict[str, set[int]] = {}
     for n, (_, _, needed) in enumerate(phrases()):
         for w in needed or ():
             found.setdefault(w, set()).add(n)
@@ -149,40 +149,83 @@ def _finder(words: frozenset[str]):
     return finder, frozenset(n for n, (_, _, needed) in enumerate(phrases()) if not needed)
 
 
-_UNIT = re.compile(r"[^\n]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[\"“«¿¡(\[]?[^\W\d_a-z])|(?<=[。！？])")
+_NAME = r"[^\W\d_][\w.-]*(?:[ |]{1,3}[\w.-]+){0,4}"
+#: a mark by its shape alone: a name in brackets or between signs, a joined name, a row of crosses or lines, a gap before a comma or full stop
+_MARK = (
+    r"(?:[$#%@]?\{{1,3}[%#/&>^=-]?|\[{1,2}%?|<[%?]?[=-]?|&lt;|%\()\s*" + _NAME + r"\s*[-%?]{0,2}(?:\}{1,3}|\]{1,2}|>|&gt;|\)[sd]?)"
+    r"|[$#%@]?\{\d\}|«[A-Z][A-Z_.]+»|(?<![\w*])(?:\*\||[$#%@~^*]{1,2}|__)[^\W\d_][\w.]*?(?:\|\*|[$#%@~^*]{1,2}|__)(?![\w*])"
+    r"|\bTKT?K?\b|\b[Xx]{3,}\b|\bxx[x-]*xx\b|_{4,}|\b[^\W\d_]+(?:_[^\W_]+)+\b|(?<=\w) (?=[,.](?:\s|$))"
+)
+MARK = re.compile(_MARK)
+_ODD = re.compile(r"[{\[<«$#%@*~^_]|&lt;|TK|[Xx]{3}|xx[x-]| [,.](?:\s|$)")
+TOKEN = re.compile(_MARK + r"|[぀-ヿ㐀-鿿]|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]|_+")
 _WORD = re.compile(r"[^\W\d_]+")
-_MASK = re.compile(r"(?P<slot>" + SLOT.pattern + r")|\b[0-9a-f]{8,}\b|/[\w./-]+|\d+|\"[^\"\n]{1,40}\"|(?<=\w )[A-ZÀ-Þ][^\W\d_]+|^[A-ZÀ-Þ][^\W\d_]+(?= [a-z])")
+_GOLD, _SPLIT, _SPLIT2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_HOLE, _SLOT, _EDGE = 1, 2, 3  # hashes of what varies, of a mark, and of the end of a unit
 
 
 def units(text: str) -> list[str]:
-    return [s.strip() for m in _UNIT.finditer(text) for s in _SENTENCE.split(m[0]) if s.strip()]
+    return [s for line in text.split("\n") if line.strip() for s in map(str.strip, _SENTENCE.split(line)) if s]
 
 
-def skeleton(unit: str) -> str:
-    """The unit without what varies between records of its template: names, numbers, quoted words, slot marks."""
-    return re.sub(r"(?:□[ ,.]*)+", "□", _MASK.sub("□", unit)).strip().lower()
+@functools.lru_cache(maxsize=1 << 17)
+def _hash(token: str) -> int:
+    """Hash of a token without case, of any number alike, of any mark alike."""
+    import xxhash
 
+    if token.isdigit():
+        token = "0"
+    elif len(token) > 1 and not token[0].isalpha() or token == " " or MARK.fullmatch(token):
+        return _SLOT
+    return xxhash.xxh64_intdigest(token.lower().encode("utf-8", "surrogatepass"))
 
-def _context(unit: str, m: re.Match) -> str:
-    """Where in its template a mark stands: two words before and after, names and numbers left out."""
-    before = skeleton(unit[: m.start()]).split()[-2:]
-    after = skeleton(unit[m.end() :]).split()[:2]
-    return " ".join(before) + " ¦ " + " ".join(after)
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _SPLIT
+    h = (h ^ (h >> np.uint64(27))) * _SPLIT2
+    return h ^ (h >> np.uint64(31))
 
-def marks(text: str) -> list[dict]:
-    """Every slot mark of a text with its context and a hash of the rest of its unit, as records to align."""
-    import xxhash
 
-    out = []
-    for u in units(text):
-        if not _MARKED.search(u):
-            continue
-        words = len(_WORD.findall(SLOT.sub(" ", u)))
-        for m in SLOT.finditer(u):
-            out.append({"context": _context(u, m), "mark": re.sub(r"\s+", "", m[0]), "rest": xxhash.xxh64_intdigest((u[: m.start()] + u[m.end() :]).encode("utf-8", "surrogatepass")) - 2**63, "words": words})
-    return out
+def _chain(kind: int, *parts: np.ndarray) -> np.ndarray:
+    h = np.full(len(parts[0]), kind, dtype=np.uint64)
+    for p in parts:
+        h = _mix(h * _GOLD + p)
+    return h
+
+
+def _around(left: list[int], right: list[int]) -> tuple[np.ndarray, list[bool]]:
+    """The four contexts of a place: two words before and one after, one and two, three before, three after; and
+    for each whether it has words enough: not the ends of the unit alone."""
+    a, b = [_EDGE] * max(0, 3 - len(left)) + left[-3:], right[:3] + [_EDGE] * max(0, 3 - len(right))
+    sides = [(a[1], a[2], b[0]), (a[2], b[0], b[1]), tuple(a), tuple(b)]
+    p = np.array(sides, dtype=np.uint64)
+    keys = np.array([_chain(k + 1, *p[k : k + 1].T)[0] for k in range(4)], dtype=np.uint64)
+    return keys, [sum(x == _EDGE for x in s) <= (1 if k < 2 else 0) for k, s in enumerate(sides)]
+
+
+class Vocabulary:
+    """Hashes of the words in at least a share of all texts: what remains of a skeleton. Words with a capital, mostly
+    names, need a higher share."""
+
+    def __init__(self, common: np.ndarray, capital: np.ndarray, latin: frozenset[int]):
+        self.common, self.capital, self.latin = np.sort(common), np.sort(capital), latin
+
+    def masked(self, h: np.ndarray, capital: np.ndarray) -> np.ndarray:
+        """Hashes with a hole in place of all that varies."""
+        out = np.full(len(h), _HOLE, dtype=np.uint64)
+        for known, chosen in ((self.common, ~capital), (self.capital, capital)):
+            if len(known):
+                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                keep = chosen & (known[i] == h)
+                out[keep] = h[keep]
+        out[h == _EDGE] = _EDGE
+        return out
+
+    def skeleton(self, tokens: list[str]) -> list[int]:
+        h = np.array([_hash(t) for t in tokens], dtype=np.uint64)
+        s = self.masked(h, np.array([t[:1].isupper() for t in tokens], dtype=bool)).tolist()
+        return [x for k, x in enumerate(s) if x != _HOLE or k == 0 or s[k - 1] != _HOLE]
 
 
 def _repeats(unit: str) -> bool:
@@ -193,108 +236,283 @@ def _repeats(unit: str) -> bool:
     return len({w.lower().strip(".,") for w in words}) <= (1 if len(words) < 8 else 2)
 
 
-def judge(text: str, constant: frozenset[str], latin: frozenset[str]) -> str | None:
-    """The kind of residue in a text, or None, where ``constant`` has all marks that are their template's own text."""
-    kind, doubtful = examine(text, latin)
-    return kind if constant.issuperset(doubtful) else "slot"
-
-
-def examine(text: str, latin: frozenset[str]) -> tuple[str | None, list[str]]:
-    """The first certain kind of residue in a text, and the marks before it: the text has a slot, unless all of them
-    are their template's own text."""
-    doubtful: list[str] = []
-    finder, always = _finder(latin)
-    for u in units(text):
-        marked, count = _MARKED.search(u), u.count(" ")
-        seen = {n for _, numbers in finder.iter(u.lower()) for n in numbers} | always
-        if not u.isascii() and _RARE.search(u):
-            seen.update(range(-1, len(phrases())))
-        about = None
-        if -1 in seen:
-            words = [w.lower() for w in _WORD.findall(u)]
-            if len(words) >= 4 and 2 * sum(w in latin for w in words) >= len(words):
-                return "filler", doubtful
-        if marked:
-            about = bool(ABOUT.search(u))
-            for m in SLOT.finditer(u) if not about else ():
-                if count < 7:
-                    return "slot", doubtful
-                doubtful.append(_context(u, m) + " = " + re.sub(r"\s+", "", m[0]))
-        if about:
-            continue
-        kind = next((phrases()[n][0] for n in sorted(seen - {-1}) if phrases()[n][1].search(u)), None)
-        if kind is None and _repeats(u):
-            kind = "filler"
-        if kind and (about is False or not ABOUT.search(u)):
-            return kind, doubtful
-    return None, doubtful
+def phrase_hits(unit: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of every known phrase in a unit, one for each alternative that occurs."""
+    finder, always = _finder()
+    low = unit.lower()
+    seen = {n for _, numbers in finder.iter(low) for n in numbers} | always
+    if not unit.isascii() and _RARE.search(unit):
+        seen.update(range(len(phrases())))
+    out = [(phrases()[n][0], m.start(), m.end()) for n in sorted(seen) if (m := phrases()[n][1].search(unit))]
+    return out + ([("filler", 0, 0)] if _repeats(unit) else [])
+
+
+def hits(unit: str, vocabulary: Vocabulary) -> list[tuple[str, str, bool, int, int]]:
+    """(kind, value, known, start, end) of all that may be residue in a unit: marks and known phrases."""
+    out = [(k, re.sub(r"\d+", "0", unit[a:b].lower()), True, a, b) for k, a, b in phrase_hits(unit)]
+    if _ODD.search(unit):
+        spots = {}
+        for m in SLOT.finditer(unit):
+            spots[m.span()] = True
+        for m in MARK.finditer(unit):
+            if not any(a < m.end() and m.start() < b for a, b in spots):
+                spots[m.span()] = False
+        out += [("slot", re.sub(r"\s+", "", unit[a:b]), known, a, b) for (a, b), known in sorted(spots.items())]
+    if vocabulary.latin:
+        words = _WORD.findall(unit)
+        if len(words) >= 4 and 2 * sum(_hash(w) in vocabulary.latin for w in words) >= len(words):
+            out.append(("latin", "", True, 0, len(unit)))
+    return out
+
 
+def _word_rows(filter_bits: int):
+    """Counts of words by task (kind w: hash, texts, texts beside filler Latin; kind n: texts), and the places
+    in the filter of the contexts of all marks (kind b)."""
+    latin = {_hash(w) for w in LATIN}
+    seeds = re.compile("|".join(sorted(LATIN)), re.I)
+
+    def run(batches):
+        for batch in batches:
+            n, near, bits, texts = Counter(), Counter(), set(), 0
+            for text in batch.column("text").to_pylist():
+                if not text:
+                    continue
+                texts += 1
+                tokens = {t.lower() for t in TOKEN.findall(text)}
+                n.update({_hash(t) for t in tokens})
+                if seeds.search(text):
+                    beside: set[int] = set()
+                    for u in units(text):
+                        words = {_hash(w) for w in _WORD.findall(u)}
+                        if len(words & latin) >= 2:
+                            beside |= words
+                    near.update(beside)
+                if _ODD.search(text):
+                    for u in units(text):
+                        for m in MARK.finditer(u) if _ODD.search(u) else ():
+                            keys, wide = _around([_hash(t) for t in TOKEN.findall(u[: m.start()])], [_hash(t) for t in TOKEN.findall(u[m.end() :])])
+                            bits.update((keys[wide] & np.uint64((1 << filter_bits) - 1)).tolist())
+            words = list(n)
+            count = np.array([n[w] for w in words], dtype=np.int64)
+            beside = np.array([near[w] for w in words], dtype=np.int64)
+            hashes = np.array(words, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(["w"] * len(words) + ["n"] + ["b"] * len(bits)),
+                    pa.array(np.r_[hashes, 0, np.array(sorted(bits), dtype=np.int64)].astype(np.int64)),
+                    pa.array(np.r_[count, texts, np.ones(len(bits))].astype(np.int64)),
+                    pa.array(np.r_[beside, np.zeros(len(bits) + 1)].astype(np.int64)),
+                ],
+                names=["what", "hash", "n", "near"],
+            )
+
+    return run
+
+
+_LONG, _BIN = pa.list_(pa.int64()), pa.list_(pa.binary())
+_HIT = pa.struct([("unit", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("known", pa.bool_()), ("rest", pa.int64()), ("contexts", _LONG), ("aligned", _LONG)])
+_HITS = "array<struct<unit:int,kind:string,value:string,known:boolean,rest:bigint,contexts:array<bigint>,aligned:array<bigint>>>"
+
+
+def _signed(values) -> list[int]:
+    return np.array(values, dtype=np.uint64).view(np.int64).tolist()
+
+
+def _hit_rows(number: int, unit: str, vocabulary: Vocabulary) -> list[dict]:
+    """The hits of a unit with their contexts: ``contexts`` in the skeleton, not at an end of the unit, to tell own text by;
+    ``aligned`` in the plain words, to tell slots by (two-sided ones even, one-sided ones odd)."""
+    out = []
+    for kind, value, known, a, b in hits(unit, vocabulary):
+        left, right = TOKEN.findall(unit[:a]), TOKEN.findall(unit[b:])
+        row = {"unit": number, "kind": kind, "value": value, "known": known, "rest": 0, "contexts": [], "aligned": []}
+        if kind != "latin":
+            l, r = vocabulary.skeleton(left), vocabulary.skeleton(right)
+            row["rest"] = _signed(_chain(9, *np.array([[*l, _SLOT, *r]], dtype=np.uint64).T))[0]
+            if left and right:
+                row["contexts"] = _signed(_around(l, r)[0][:3])
+        if kind == "slot":
+            keys, wide = _around([_hash(t) for t in left], [_hash(t) for t in right])
+            row["aligned"] = [k & ~1 | (j > 1) for j, (k, w) in enumerate(zip(_signed(keys), wide)) if w]
+        out.append(row)
+    return out
 
-def find_residue(df: DataFrame, id_col: str, text_col: str, least_records: int = 4, least_pages: int = 3) -> DataFrame:
-    """(id, kind) for every row of ``df``: kind is slot, value, filler, message, scripts, page or null for none.
 
-    A mark is part of its template's own text if at least ``least_records`` different sentences have the same mark
-    in the same context and none has another. A whole text is of kind ``page`` if it repeats the template of
-    at least ``least_pages`` different texts, most of which are found by themselves. Null and empty texts have none;
+def _looker(vocabulary: Column, filter_bits: int):
+    """(id, key, units, hits, plain, plain_unit) of each text: keys of its skeletons, its hits, and the contexts of
+    marks that it has with something else in them."""
+
+    def run(batches):
+        import xxhash
+
+        known, marked = vocabulary.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                rows, flat, sizes, owner = [], [], [], []
+                for t in batch.column("text").to_pylist():
+                    us = units(t) if t else []
+                    found = [h for k, u in enumerate(us) for h in _hit_rows(k, u, known)]
+                    rows.append((xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) if t else None, found))
+                    for u in us:
+                        tokens = TOKEN.findall(u)
+                        flat += tokens
+                        sizes.append(len(tokens))
+                    owner.append(len(us))
+                keys, plain, which = _aligned_places(flat, np.array(sizes, dtype=np.int64), known, marked, filter_bits)
+                ends = np.cumsum(owner)
+                cut = np.searchsorted(which, np.r_[0, ends])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id"),
+                        pa.array([k for k, _ in rows], pa.binary()),
+                        pa.array([keys[e - n : e] for e, n in zip(ends, owner)], _BIN),
+                        pa.array([f for _, f in rows], pa.list_(_HIT)),
+                        pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(plain.view(np.int64))),
+                    ],
+                    names=["id", "key", "units", "hits", "plain"],
+                )
+
+    return run
+
+
+def _aligned_places(flat: list[str], sizes: np.ndarray, vocabulary: Vocabulary, marked: np.ndarray, filter_bits: int):
+    """Skeleton keys of all units; and the contexts that the filter knows, with the units they are in."""
+    if not len(flat):
+        return [b""] * len(sizes), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    coded = pa.array(flat, pa.string()).dictionary_encode()
+    each = coded.dictionary.to_pylist()
+    index = coded.indices.to_numpy()
+    h = np.array([_hash(t) for t in each], dtype=np.uint64)[index]
+    capital = np.array([t[:1].isupper() for t in each], dtype=bool)[index]
+    unit = np.repeat(np.arange(len(sizes)), sizes)
+    # skeletons
+    s = vocabulary.masked(h, capital)
+    first = np.r_[True, unit[1:] != unit[:-1]]
+    keep = (s != _HOLE) | first | np.r_[True, s[:-1] != _HOLE]
+    u, s = unit[keep], s[keep]
+    start = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+    place = (np.arange(len(u)) - np.repeat(start, np.diff(np.r_[start, len(u)]))).astype(np.uint64)
+    fixed = np.bincount(u, weights=s != _HOLE, minlength=len(sizes))
+    keys = np.zeros((len(sizes), 2), dtype=np.uint64)
+    keys[u[start], 0] = np.add.reduceat(_mix(s + place * _GOLD), start)
+    keys[u[start], 1] = np.add.reduceat(_mix(s * _GOLD + place * _SPLIT2 + np.uint64(77)), start)
+    raw = keys.tobytes()
+    skeletons = [raw[16 * k : 16 * k + 16] if fixed[k] else b"" for k in range(len(sizes))]
+    # places, three ends between any two units
+    gap = np.arange(len(flat)) + 3 * (unit + 1)
+    t = np.full(len(flat) + 3 * (len(sizes) + 2), _EDGE, dtype=np.uint64)
+    t[gap] = h
+    before1, before2, before3, after1, after2, after3 = (t[gap + k] for k in (-1, -2, -3, 1, 2, 3))
+    solid = h != _SLOT
+    found, units_ = [], []
+    mask = np.uint64((1 << filter_bits) - 1)
+
+    def emit(kind: int, ok: np.ndarray, odd: int, *parts: np.ndarray) -> None:
+        for p in parts:
+            ok = ok & (p != _SLOT)
+        key = _chain(kind, *parts)
+        ok = ok & marked[(key & mask).astype(np.int64)]
+        found.append(key[ok] & ~np.uint64(1) | np.uint64(odd))
+        units_.append(unit[ok])
+
+    emit(1, solid, 0, before2, before1, after1)  # a word between
+    emit(2, solid, 0, before1, after1, after2)
+    emit(1, solid, 0, before2, before1, h)  # nothing between
+    emit(2, solid, 0, before1, h, after1)
+    emit(3, solid, 1, before3, before2, before1)
+    emit(4, solid, 1, after1, after2, after3)
+    found, units_ = np.concatenate(found), np.concatenate(units_)
+    order = np.argsort(units_, kind="stable")
+    return skeletons, found[order], units_[order]
+
+
+def find_residue(
+    df: DataFrame,
+    id_col: str,
+    text_col: str,
+    least_records: int = 5,
+    least_pages: int = 4,
+    template_share: float = 3e-5,
+    page_share: float = 0.6,
+    word_share: float = 2.5e-4,
+    name_share: float = 1e-3,
+    filter_bits: int = 24,
+    seeds: bool = True,
+) -> DataFrame:
+    """(id, kind) for every row of ``df``: kind is slot, page, latin, filler, value, scripts, message or null for none.
+
+    A skeleton is what a unit has of words in at least ``word_share`` of all texts (with a capital: ``name_share``, and
+    four). It is a page's if at least ``least_pages`` and ``template_share`` of all texts have it and consist of skeletons that are
+    so frequent, and these are at least ``page_share`` of all that have it. A mark is own text if at least ``least_records`` texts whose skeletons differ in the rest (half of all
+    such texts, or four times as many) have it between the same words, and at most a tenth as many have another; a
+    slot if other records have something else there; otherwise its spelling decides. Without ``seeds``, known phrases and
+    spellings count for nothing, and alignment alone decides. Null and empty texts have no residue;
     equal texts get equal kinds; an empty table gives an empty result. Other columns of ``df`` are dropped.
+
+    Only the words over ``word_share`` reach the driver and the tasks, at most the mean number of different words of a text divided by
+    that share, and ``2 ** filter_bits`` bits that tell which contexts a mark has anywhere (others need not be shuffled).
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    own = texts.select("text").filter("text is not null and text <> ''").distinct()
-
-    latin = _latin(own)
-    record = pa.struct([("context", pa.string()), ("mark", pa.string()), ("rest", pa.int64()), ("words", pa.int32())])
-    kept = pa.struct([("kind", pa.string()), ("page", pa.string()), ("doubtful", pa.list_(pa.string())), ("marks", pa.list_(record))])
-
-    @F.arrow_udf("struct<kind:string,page:string,doubtful:array<string>,marks:array<struct<context:string,mark:string,rest:bigint,words:int>>>")
-    def look(column: pa.Array) -> pa.Array:
-        out = []
-        for t in column.to_pylist():
-            kind, doubtful = examine(t, latin)
-            page = None
-            if len(t) <= 1000:
-                page = "\n".join(skeleton(u) for u in units(t))
-            out.append({"kind": kind, "page": page, "doubtful": sorted(set(doubtful)), "marks": marks(t)})
-        return pa.array(out, type=kept)
-
-    looked = written(own.select(F.xxhash64("text").alias("key"), F.length("text").alias("length"), look("text").alias("seen")).select("key", "length", "seen.kind", F.xxhash64("seen.page").alias("page"), F.col("seen.page").isNotNull().alias("paged"), "seen.doubtful", "seen.marks"), "looked")
-    constants = (
-        looked.select(F.explode("marks").alias("m"))
-        .select("m.*")
-        .groupBy("context")
-        .agg(F.count_distinct("rest").alias("records"), F.min("mark").alias("mark"), F.max("mark").alias("other"), F.min("words").alias("words"))
-        .filter(f"mark = other and records >= {least_records} and words >= 8")
-        .select(F.concat_ws(" = ", "context", "mark").alias("mark"))
+    spark = df.sparkSession
+    counted = written(texts.select("text").mapInArrow(_word_rows(filter_bits), "what string, hash long, n long, near long"), "words")
+    total = counted.filter("what = 'n'").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = (
+        counted.filter("what = 'w'").groupBy("hash").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))
+        .filter(F.col("n") >= total * word_share).toArrow()
     )
-    slots = looked.select("key", "length", F.explode("doubtful").alias("mark")).join(constants, "mark", "left_anti").select("key", "length", F.lit("slot").alias("slot")).distinct()
-    judged = written(looked.join(slots, ["key", "length"], "left").select("key", "length", F.coalesce("slot", "kind").alias("kind"), "page", "paged"), "judged")
-    pages = (
-        judged.filter("paged")
-        .groupBy("page")
-        .agg(F.count("*").alias("all"), F.count("kind").alias("found"))
-        .filter(f"all >= {least_pages} and found < all and 2 * found > all")
-        .select("page", F.lit("page").alias("repeated"))
+    hashes, n, near = (words.column(c).to_numpy() for c in ("hash", "n", "near"))
+    latin = frozenset(hashes[(near >= 3) & (5 * near >= n)].view(np.uint64).tolist()) | {_hash(w) for w in LATIN}
+    common = Vocabulary(hashes.view(np.uint64), hashes[n >= max(4, total * name_share)].view(np.uint64), latin)
+    marked = np.zeros(1 << filter_bits, dtype=bool)
+    marked[counted.filter("what = 'b'").select("hash").distinct().toArrow().column("hash").to_numpy()] = True
+    shared = spark.sparkContext.broadcast((common, marked))
+
+    kind = dict(texts.dtypes)["id"]
+    looked = written(
+        texts.mapInArrow(_looker(shared, filter_bits), f"id {kind}, key binary, units array<binary>, hits {_HITS}, plain array<bigint>"), "looked"
     )
-    kinds = judged.join(pages, "page", "left").select("key", "length", F.coalesce("kind", F.when(F.col("paged"), F.col("repeated"))).alias("kind"))
-    return (
-        texts.select("id", F.xxhash64("text").alias("key"), F.length("text").alias("length"))
-        .join(kinds, ["key", "length"], "left")
-        .select("id", "kind")
+    least = max(least_pages, int(np.ceil(total * template_share)))
+    verdicts = (
+        page_texts(looked, least, page_share).select("key", F.lit("page").alias("kind"))
+        .unionByName(hit_texts(looked, least_records, seeds))
+        .groupBy("key").agg(F.min("kind").alias("kind"))
     )
+    return looked.select("id", "key").join(verdicts, "key", "left").select("id", "kind")
 
 
-def _latin(own: DataFrame) -> frozenset[str]:
-    """Words of filler Latin: those that mostly stand in lines with at least two of its first words. Counted over
-    all texts that have one of these at all. All such words come to the driver: they are a vocabulary, which grows
-    far slower than the texts."""
-    seeds = sorted(LATIN)
-    lines = own.filter(F.col("text").rlike("(?i)" + "|".join(seeds))).select(F.explode(F.split("text", r"\n|(?<=[.!?])\s")).alias("line")).filter(~F.col("line").rlike("(?i)" + ABOUT.pattern)).select(
-        F.array_distinct(F.filter(F.split(F.lower("line"), r"[^\p{L}]+"), lambda w: w != "")).alias("words")
+def page_texts(looked: DataFrame, least: int, page_share: float) -> DataFrame:
+    """(key) of the texts with a line of a page that is nothing but template."""
+    pairs = written(looked.filter("key is not null").select("key", F.explode("units").alias("unit")).distinct(), "skeletons")
+    stock = pairs.filter("unit <> X''").groupBy("unit").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least)
+    counted = written(pairs.join(stock, "unit", "left"), "counted")
+    whole = counted.groupBy("key").agg(F.bool_and(F.col("texts").isNotNull() | (F.col("unit") == F.lit(b""))).alias("whole"))
+    pages = (
+        counted.filter("texts is not null").join(whole, "key")
+        .groupBy("unit").agg(F.count("*").alias("all"), F.count_if("whole").alias("whole"))
+        .filter((F.col("whole") >= page_share * F.col("all")) & (F.col("whole") >= least))
+        .select("unit")
     )
-    lines = lines.withColumn("seed", F.size(F.array_intersect("words", F.array(*map(F.lit, seeds)))) >= 2)
-    words = (
-        lines.select(F.explode("words").alias("word"), F.col("seed").cast("int").alias("seed"))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"), F.sum("seed").alias("near"))
-        .filter("near >= 3 and 5 * near >= n")
+    return counted.join(pages, "unit", "left_semi").select("key").distinct()
+
+
+def hit_texts(looked: DataFrame, least: int, seeds: bool = True) -> DataFrame:
+    """(key, kind) of the texts with a mark in a slot, or a known phrase, that is not their template's own text."""
+    hit = written(looked.filter("size(hits) > 0").select("key", F.posexplode("hits").alias("no", "h")).select("key", "no", "h.*").distinct(), "hits")
+    around = hit.select("key", "no", "value", "rest", F.explode("contexts").alias("context"))
+    same = (
+        around.groupBy("context", "value").agg(F.count_distinct("key").alias("n"), F.count_distinct("rest").alias("rests"))
+        .groupBy("context").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("rests").alias("rests"))
+    )
+    told = around.join(same, "context").groupBy("key", "no").agg(
+        F.bool_or((F.col("rests") >= least) & ((2 * F.col("rests") >= F.col("n")) | (F.col("rests") >= 4 * least)) & (10 * F.col("most") >= 9 * F.col("n"))).alias("own"),
+        F.bool_or((F.col("n") > 1) & (10 * F.col("most") < 9 * F.col("n"))).alias("varies"),
+    )
+    plain = looked.filter("size(plain) > 0").select("key", F.explode(F.array_distinct("plain")).alias("context")).distinct().groupBy("context").agg(F.count("*").alias("others"))
+    slots = (
+        hit.select("key", "no", F.explode("aligned").alias("context")).join(plain, "context")
+        .groupBy("key", "no").agg(F.bool_or((F.col("context") % 2 == 0) | (F.col("others") >= least)).alias("slot"))
     )
-    return frozenset({r["word"] for r in words.collect()} | LATIN)
+    judged = hit.join(told, ["key", "no"], "left").join(slots, ["key", "no"], "left")
+    aligned = (F.col("kind") == "slot") & (F.coalesce("slot", F.lit(False)) | F.coalesce("varies", F.lit(False)))
+    known = F.col("known") & F.lit(seeds)
+    return judged.filter(~F.coalesce("own", F.lit(False)) & (known | aligned)).select("key", "kind")
