@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.tables import written
@@ -79,15 +79,10 @@ def _sketcher(words: int, least: int, groups: int):
                 inside[keep] = True
                 s = s[np.repeat(inside, n)]
                 starts = np.r_[0, np.cumsum(n[keep])][:-1]
-                one = np.add.reduceat(_mix(s), starts)
-                two = np.bitwise_xor.reduceat(_mix(s + np.uint64(0x632BE59BD9B4E019)), starts)
+                cls = _classes(s, starts)
                 sig = np.empty((len(keep), len(factors)), dtype=np.uint32)
                 for k, f in enumerate(factors):
                     sig[:, k] = np.minimum.reduceat(((s * f) >> np.uint64(32)).astype(np.uint32) ^ np.uint32(k), starts)
-                ids = np.empty((len(keep), 2), dtype=np.uint64)
-                ids[:, 0], ids[:, 1] = one, two
-                raw = ids.tobytes()
-                cls = pa.array([raw[16 * j : 16 * j + 16] for j in range(len(keep))], type=pa.binary())
                 take = pa.array(keep)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -103,15 +98,29 @@ def _sketcher(words: int, least: int, groups: int):
     return sketch
 
 
+def _classes(s: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The class of each set of shingles: 128 bits that are equal for equal sets."""
+    ids = np.empty((len(starts), 2), dtype=np.uint64)
+    ids[:, 0] = np.add.reduceat(_mix(s), starts)
+    ids[:, 1] = np.bitwise_xor.reduceat(_mix(s + np.uint64(0x632BE59BD9B4E019)), starts)
+    raw = ids.tobytes()
+    return pa.array([raw[16 * j : 16 * j + 16] for j in range(len(starts))], type=pa.binary())
+
+
 def _sets(words: int):
+    """The shingle set of every text with its class, worked out anew: an id may have texts of several classes."""
+
     def sets(batches):
         for whole in batches:
             for batch in _pieces(whole):
                 s, at = shingle_sets(batch.column("text").to_pylist(), words)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("cls"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(s.view(np.int64)))],
-                    names=["cls", "items"],
-                )
+                keep = np.flatnonzero(np.diff(at))
+                if len(keep):
+                    ends = np.r_[at[keep], len(s)].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("kind").take(pa.array(keep)), _classes(s, at[keep]), pa.ListArray.from_arrays(pa.array(ends), pa.array(s.view(np.int64)))],
+                        names=["kind", "cls", "items"],
+                    )
 
     return sets
 
@@ -122,6 +131,7 @@ def near_duplicates(
     threshold: float = 0.8,
     least: int = 1,
     groups: int = 6,
+    hot_rows: int = 4096,
 ) -> tuple[DataFrame, DataFrame]:
     """``members(kind, id, cls)`` and ``links(kind, cls_a, cls_b, similarity)`` of ``items(kind, id, text)``.
 
@@ -131,6 +141,7 @@ def near_duplicates(
     once, so that copies are not expanded. Texts with fewer than ``least`` shingles (at least 1), null and empty
     texts and null ids have no class. Rows repeated under one id count once; should their texts differ, the id
     belongs to the class of each. An empty table gives two empty results; other columns of ``items`` are ignored.
+    A bucket of more than ``hot_rows`` classes is compared in blocks, each with each, so that no task holds it whole.
     """
     items = items.select("kind", F.col("id").cast("string").alias("id"), "text").filter(F.col("id").isNotNull() & F.col("text").isNotNull())
     sketches = written(
@@ -143,34 +154,32 @@ def near_duplicates(
         for g in range(groups)
         for v, mask in enumerate(MASKS)
     ]
-    buckets = (
-        classes.select("kind", "cls", "n", "id", F.explode(F.array(*tables)).alias("bucket"))
-        .drop("id")
-        .withColumn("rows", F.count("*").over(Window.partitionBy("bucket")))
-        .filter("rows > 1")
-        .drop("rows")
-    )
-    other = buckets.select("bucket", F.col("kind").alias("kind_b"), F.col("cls").alias("cls_b"), F.col("n").alias("n_b"))
+    placed = classes.select("kind", "cls", "n", F.explode(F.array(*tables)).alias("bucket"))
+    shared = written(placed.groupBy("bucket").agg(F.count("*").alias("rows")).filter("rows > 1"), "buckets")
+    blocks = F.ceil(F.col("rows") / hot_rows).cast("int")
+    buckets = placed.join(shared, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # block i meets block j >= i: a row of block k is on the left for all j >= k, on the right for all i <= k
+    left = buckets.select("bucket", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "kind", F.col("cls").alias("a"), F.col("n").alias("n_a"))
+    right = buckets.select("bucket", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("kind").alias("kind_b"), F.col("cls").alias("b"), F.col("n").alias("n_b"))
     pairs = written(
-        buckets.withColumnsRenamed({"cls": "cls_a", "n": "n_a"})
-        .join(other, "bucket")
-        .filter("kind = kind_b and cls_a < cls_b and least(n_a, n_b) >= %r * greatest(n_a, n_b)" % (threshold - 1e-9))
-        .select("kind", "cls_a", "cls_b")
+        left.join(right, ["bucket", "i", "j"])
+        .filter("kind = kind_b and (a < b or i < j and a <> b) and least(n_a, n_b) >= %r * greatest(n_a, n_b)" % (threshold - 1e-9))
+        .select("kind", F.least("a", "b").alias("cls_a"), F.greatest("a", "b").alias("cls_b"))
         .distinct(),
         "candidates",
     )
     involved = pairs.select("kind", F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
-    chosen = classes.select("kind", "cls", "id").join(involved, ["kind", "cls"], "left_semi").select("kind", "id", "cls")
+    chosen = classes.select("kind", "cls", "id").join(involved, ["kind", "cls"], "left_semi").select("kind", "id").distinct()
     sets = (
         items.join(chosen, ["kind", "id"])
-        .select("kind", "cls", "text")
-        .repartition(F.col("cls"))
-        .mapInArrow(_sets(words), "cls binary, items array<long>")
-        .groupBy("cls").agg(F.first("items").alias("items"))
+        .select("kind", "text")
+        .mapInArrow(_sets(words), "kind string, cls binary, items array<long>")
+        .join(involved, ["kind", "cls"], "left_semi")
+        .groupBy("kind", "cls").agg(F.first("items").alias("items"))  # equal for equal classes
     )
     links = (
-        pairs.join(sets.select(F.col("cls").alias("cls_a"), F.col("items").alias("a")), "cls_a")
-        .join(sets.select(F.col("cls").alias("cls_b"), F.col("items").alias("b")), "cls_b")
+        pairs.join(sets.select("kind", F.col("cls").alias("cls_a"), F.col("items").alias("a")), ["kind", "cls_a"])
+        .join(sets.select("kind", F.col("cls").alias("cls_b"), F.col("items").alias("b")), ["kind", "cls_b"])
         .withColumn("common", F.size(F.array_intersect("a", "b")).cast("double"))
         .withColumn("similarity", F.col("common") / (F.size("a") + F.size("b") - F.col("common")))
         .filter(F.col("common") >= F.lit(threshold) * (F.size("a") + F.size("b") - F.col("common")) - 1e-9)
@@ -209,7 +218,7 @@ def with_short(items: DataFrame, groups: DataFrame) -> DataFrame:
     return groups.unionByName(rows.join(groups.select("kind", "id"), ["kind", "id"], "left_anti"))
 
 
-def grouped(members: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame:
+def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
     """(kind, id, group_id, links): the connected group of every item, named by its least class, and the
     number of classes its own is linked to. Labels move along links and jump through their own labels, each
     round written out, until no label changes."""
@@ -219,7 +228,7 @@ def grouped(members: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame
         "edges",
     )
     label = edges.select("kind", "cls").distinct().withColumn("label", F.col("cls"))
-    for _ in range(rounds):
+    while True:
         best = edges.join(label.select("kind", F.col("cls").alias("near"), F.col("label").alias("its")), ["kind", "near"]).groupBy("kind", "cls").agg(F.min("its").alias("its"))
         moved = label.join(best, ["kind", "cls"]).select("kind", "cls", "label", F.least("label", "its").alias("next"))
         jump = moved.select("kind", F.col("cls").alias("next"), F.col("next").alias("beyond"))
@@ -229,8 +238,6 @@ def grouped(members: DataFrame, links: DataFrame, rounds: int = 30) -> DataFrame
         label = new.select("kind", "cls", F.col("next").alias("label"))
         if new.filter("label <> next").isEmpty():
             break
-    else:
-        raise RuntimeError(f"groups did not settle within {rounds} rounds")
     degree = edges.groupBy("kind", "cls").agg(F.count("*").alias("links"))
     return (
         members.join(label, ["kind", "cls"], "left")

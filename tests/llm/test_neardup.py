@@ -85,3 +85,51 @@ def test_query_has_every_id(spark, sf):
     got = queries.p2_groups(spark, sf)
     want = queries._texts(spark, sf).select("kind", "id").distinct()
     assert got.count() == got.select("kind", "id").distinct().count() == want.count() and got.join(want, ["kind", "id"], "left_anti").isEmpty()
+
+
+def linked(spark, rows, **kw):
+    items = spark.createDataFrame(rows, "kind string, id string, text string").coalesce(1)
+    return sorted(round(r["similarity"], 3) for r in neardup.near_duplicates(items, **kw)[1].collect())
+
+
+def test_one_id_with_two_texts(spark):
+    """Links do not depend on the order of the rows of an id that has two texts."""
+    base = [f"w{k}" for k in range(300)]
+    rows = [("d", "x", " ".join(base)), ("d", "x", "quite " + " ".join(f"v{k}" for k in range(100))), ("d", "y", " ".join(base[:-3]))]
+    assert linked(spark, rows) == linked(spark, rows[::-1]) == [0.99]
+
+
+def test_hot_bucket(spark):
+    """Half of all texts share most buckets; blocks of few rows lose no pair."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(400)]
+    texts = []
+    for k in range(60):
+        edited = list(base)
+        for _ in range(3):
+            edited[rng.randrange(len(edited))] = f"x{k}-{rng.random()}"
+        texts.append((f"h{k:02}", " ".join(edited)))
+    texts += [(f"o{k:02}", " ".join(f"z{rng.randrange(9999)}" for _ in range(100))) for k in range(60)]
+    sets = {i: shingles(t, 5) for i, t in texts}
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    items = spark.createDataFrame([("doc", i, t) for i, t in texts], "kind string, id string, text string")
+    for hot in (7, 4096):
+        got = {(r["id_a"], r["id_b"]) for r in neardup.expanded_pairs(*neardup.near_duplicates(items, hot_rows=hot)).collect()}
+        assert got == want and len(want) > 1000
+
+
+def test_default_measure_on_documents(spark):
+    """Five words and 0.8: no link between texts of the collection is lost."""
+    items = queries._texts(spark, "/root/testdata/sf0.01").filter("kind = 'doc' and length(text) < 6000")
+    sets = {r["id"]: shingles(r["text"], 5) for r in items.collect() if r["text"]}
+    by = {}
+    for i, s in sets.items():
+        for x in s:
+            by.setdefault(x, []).append(i)
+    common = {}
+    for ids in by.values():
+        for p in combinations(sorted(ids), 2):
+            common[p] = common.get(p, 0) + 1
+    want = {p for p, n in common.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)}
+    got = {(r["id_a"], r["id_b"]) for r in neardup.expanded_pairs(*neardup.near_duplicates(items)).collect()}
+    assert got == want and len(want) >= 10
