@@ -5,44 +5,30 @@ line by line, so that content scores above zero and each line break (a tag, once
 notices and footers below; one linear scan finds the run of lines with the highest sum. Lines inside it that
 score far below zero by themselves, such as advertisements between paragraphs, are outside too, and the
 page's own heading above it belongs to it. The labels come from the pages' own structure (lines between
-running text, and lines far from any) and a list of phrases, and are refined once with the first weights.
+running text, and lines far from any) and from repetition: long lines that stand on many pages, but for names and
+numbers, are notices, however much they look like running text. Repetition is counted over all pages. The labels
+are refined with the first weights.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskiln.llm.mojibake import PAIRS, restore
+from corpuskiln.llm.mojibake import WIDE_PAIRS, restore
 from corpuskiln.operators.sampling import hash_sample
+from corpuskiln.tables import written
 
-# Phrases that only stand outside the main body.
-PHRASES = re.compile(
-    r"\b(?:we use (?:optional |third-party )?cookies|agree to our use of cookies|optional cookies|cookie (?:settings|policy)|partners process data|manage choices at any time|one digest per week|stores small files|trackers? (?:are|is) essential"
-    r"|privacy matters|your privacy|privacy policy|terms of use|all rights reserved|registered charity|may earn a (?:small )?commission|consider a donation|free of charge last year"
-    r"|independent site about|editors review|views in this article|accepts no liability|offered under an open licence|newsletter|get our updates|free trial|download our free|sponsored by"
-    r"|about the author|made with care in|powered by|hosted in|theme: |skip to (?:main )?content|jump to navigation|min read|reading time|filed under|posted in \w|published \d|last updated|views: \d"
-    r"|leave a comment|log in to reply|helpful\?|was this page|rate this article|listen to this page|share this page|follow us|save for later|enter your e-mail|copy link|back to top|report a problem"
-    r"|you may also like|related articles|most read|popular tags|recently updated|more from this series|in this section|read next|latest comments|editor.s picks|recommended for you|toggle the table"
-    r"|verwenden cookies|ihrer privatsphäre|nutzung von cookies|nur notwendige|alle akzeptieren|unabhängiges|richtigkeit der|übernimmt .* gewähr|alle rechte vorbehalten|abonnieren|lesezeit|zum inhalt springen|nach oben|impressum|barrierefreiheit|datenschutz|anzeige$|diesen artikel merken|kommentare?$"
-    r"|traceurs|site indépendant|avis publiés|tous droits réservés|temps de lecture|mis à jour le|haut de page|politique de confidentialité|abonnez-vous|aller au contenu|tout (?:accepter|refuser)|mentions légales|à propos"
-    r"|cookies propias|aceptas su uso|sitio independiente|opiniones de este texto|derechos reservados|saltar al contenido|volver arriba|aviso legal|política de privacidad|tiempo de lectura|suscríb\w+|aceptar todo|configurar preferencias|también te puede interesar"
-    r"|útil\?|vous a-t-il|war dieser artikel|hilfreich\?|drucken$|teilen$|imprimer$|imprimir$|partager$|compartir$"
-    r")|^(?:yes|no|ja|nein|oui|non|sí)$|^(?:share|print|advertisement|sponsored|subscribe|donate|anzeige|(?:artikel )?merken|drucken|teilen|publicité|partager|imprimer|s[’']abonner|publicidad|publicidade|compartir|imprimir|suscribirse|partilhar|reklama|реклама|広告)$"
-    r"|^lectura\s*:|^[a-z][a-z-]*(?:, [a-z][a-z-]*)+$|^(?:stand|fecha|date|datum|updated|data)\s*: .{0,30}\d$|^(?:actualizado|publicado|publié|veröffentlicht|aktualisiert|zuletzt|última)\b.{0,40}\d{4}$|\w\d+ (?:says|wrote|schrieb|a écrit|dijo)\b|\w\d* · \d+ \w+ ago|^\S+\d+ #\d+$|^\d+ (?:comments?|comentarios|commentaires|kommentare)$|(?:^|\s)[ÂÃ\x80-\xbf]{0,4}©|©\s*\d{4}|^\+\d$|#\w+ #\w+|^(?:tags|topics|filed under|schlagwörter|etiquetas)\s*:"
-    r"|^(?:previous|next|prev|weiter|zurück|anterior|siguiente|précédent|suivant)\s*:|^[«»←→‹›] ?\S",
-    re.I,
-)
-# Words of sentences in articles that write about what stands outside the main body.
-WRITTEN_ABOUT = re.compile(r"privacy policy of \w+ (?:is|was)|stores a cookie per|splits each cookie|newsletter form lets|lets readers subscribe|is parsed by (?:a|an|the)\b", re.I)
 # Names under which pages list their sections.
 CONTENTS = re.compile(r"^(?:table of contents|contents|on this page|in this article|inhalt(?:sverzeichnis)?|auf dieser seite|sommaire|dans cet article|índice|contenido|en esta página|conteúdo|nesta página|spis treści|содержание|目次)\s*:?$", re.I)
 _NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[^\W\d_]+|\d+")
+_WORD_OR_ADDRESS = re.compile(r"\w[\w-]*(?:\.\w[\w-]*)+|[^\W\d_]+|\d+|[^\w\s]")
 _SEPARATOR = re.compile(r"\s(?:[|»>/•·]|::|–|-)\s")
 _PARTS = re.compile(r"\s+(?:[|»>/•·]|::)\s+")
 _ENDS = re.compile(r"[.!?:;…。！？][\"'”’»)\]]*$")
@@ -58,30 +44,106 @@ def _length(line: str) -> int:
 _ODD = re.compile("[ÃÂÐÑ├┬╨╤√ĂĹ]|â[€\x80-\x9f]|[РС][°-¿‚-•]")
 
 
+Repeats = dict[int, tuple[int, int]]
+
+
 class Line(str):
-    """A line with its marks, worked out once."""
+    """A line with its marks, worked out once. ``repeats`` has, by its key, how many pages have it, as a power of two in
+    thousandths, and in how many tenths of these it stands before or after all running text."""
 
-    def __new__(cls, text: str):
+    def __new__(cls, text: str, repeats: Repeats | None = None):
         if _ODD.search(text):  # read in a wrong encoding: its words are told by what they were
-            for pair in PAIRS[:12]:
+            for pair in WIDE_PAIRS:
                 fixed = _NOT_ASCII.sub(lambda m: restore(m[0], pair) or m[0], text)
                 if len(fixed) < len(text):
                     text = fixed
         self = super().__new__(cls, text)
         self.length = _length(text)
         self.ends = bool(_ENDS.search(text[-8:]))
-        self.phrase = self.length <= 500 and bool(PHRASES.search(text))
-        if self.phrase and self.ends and self.length >= 60:  # running text may write about such things
-            parts = _SENTENCES.split(text)
-            own = sum(bool(PHRASES.search(x)) and not WRITTEN_ABOUT.search(x) for x in parts)
-            self.phrase = own == len(parts) if len(parts) < 3 else 2 * own > len(parts)
-        #: running text: a sentence of some length and no known phrase
-        self.running = self.length >= 60 and self.ends and not self.phrase
+        self.repeats, self.outer = repeats.get(line_key(text), (0, 0)) if repeats else (0, 0)
+        #: running text: a sentence of some length that few pages have
+        self.running = self.length >= 60 and self.ends and self.repeats < NOTICE
         return self
 
 
-def page_lines(page: str) -> list[tuple[int, Line]]:
-    return [(k, Line(x.strip())) for k, x in enumerate(page.split("\n")) if x.strip()]
+#: a long line that so many pages have, as a power of two in thousandths, is a notice
+NOTICE = 3
+
+
+def line_key(text: str) -> int:
+    """Hash of a line but for its names, addresses and numbers."""
+    import xxhash
+
+    words: list[str] = []
+    each = _WORD_OR_ADDRESS.findall(text)
+    for k, w in enumerate(each):
+        if w[0].isdigit():
+            w = "0"
+        elif "." in w or w[0].isupper() and (k or len(each) > 4):
+            w = "N"
+        if w != "N" or not words or words[-1] != "N":
+            words.append(w)
+    return xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - 2**63
+
+
+def _counter(keys_of):
+    """Adds up, in each task, the keys of the lines of all pages by whether they stand outside the running text."""
+
+    def count(batches):
+        for batch in batches:
+            seen: Counter[tuple[int, bool]] = Counter()
+            for page in batch.column("text").to_pylist():
+                if page:
+                    seen.update(set(keys_of(page)) | {(0, False)})
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in keys], pa.int64()), pa.array([o for _, o in keys], pa.bool_()), pa.array([seen[k] for k in keys], pa.int64())],
+                names=["key", "outer", "n"],
+            )
+
+    return count
+
+
+def _keys(page: str) -> list[tuple[int, bool]]:
+    return [(line_key(x.strip()), False) for x in page.split("\n")[1:] if x.strip()]
+
+
+def _outer_keys(page: str, repeats: Repeats) -> list[tuple[int, bool]]:
+    """Keys of the repeated lines of a page, but for its list of contents, and whether they are outside its running text."""
+    lines = [x for _, x in page_lines(page, repeats)]
+    text = [k for k in range(1, len(lines)) if lines[k].running]
+    if not text:
+        return []
+    toc = _contents(lines)
+    return [(line_key(x), not text[0] - 1 <= k <= text[-1]) for k, x in enumerate(lines) if k and x.repeats and k not in toc]
+
+
+def repeated_lines(pages: DataFrame, least_share: float = 1e-3, least_pages: int = 3) -> Repeats:
+    """Keys of the lines on at least ``least_share`` of all pages, and ``least_pages``: how many pages have them, as a power of two
+    in thousandths, and in how many tenths of these they stand outside the running text. Both are counted over all pages;
+    the result has at most as many keys as a page has lines on average, divided by the share."""
+    text = pages.select("text")
+    counted = written(text.mapInArrow(_counter(_keys), "key long, outer boolean, n long").groupBy("key").agg(F.sum("n").alias("n")), "lines")
+    total = counted.filter("key = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = counted.filter("key <> 0").filter(F.col("n") >= max(least_pages, total * least_share)).toArrow()
+    sizes = _powers(common.column("n").to_numpy(), total)
+    repeats = {k: (p, 0) for k, p in zip(common.column("key").to_pylist(), sizes)}
+    outside = (
+        text.mapInArrow(_counter(lambda page: _outer_keys(page, repeats)), "key long, outer boolean, n long")
+        .groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("outer"), F.col("n")).otherwise(0)).alias("outer"))
+        .filter("key <> 0").toArrow()
+    )
+    for k, n, o in zip(*(outside.column(c).to_pylist() for c in ("key", "n", "outer"))):
+        repeats[k] = (repeats[k][0], 10 * o // n)
+    return repeats
+
+
+def _powers(n: np.ndarray, total: int) -> list[int]:
+    return np.maximum(1, np.floor(np.log2(1000 * n / max(total, 1))).astype(int) + 1).tolist()
+
+
+def page_lines(page: str, repeats: Repeats | None = None) -> list[tuple[int, Line]]:
+    return [(k, Line(x.strip(), repeats)) for k, x in enumerate(page.split("\n")) if x.strip()]
 
 
 def _shapes(line: Line) -> list[str]:
@@ -93,9 +155,9 @@ def _shapes(line: Line) -> list[str]:
         out.append("~low")
     if line[:1].isdigit():
         out.append("~digit")
-    if line.phrase:
-        out.append("~phrase")
-    if n < 500 and (k := len(_SEPARATOR.findall(line))):
+    if line.repeats:
+        out += ["~repeats%d" % min(line.repeats, 6), "~outer%d" % line.outer]
+    if k := len(_SEPARATOR.findall(line)):
         out.append("~parts%d" % min(k, 3))
     if "," in line and not line.ends and n < 80:
         out.append("~list")
@@ -109,8 +171,8 @@ def _shapes(line: Line) -> list[str]:
 class Weights:
     """Weights of words, whole short lines and shapes of a line and of its neighbours."""
 
-    def __init__(self, common: set[str], weights: dict[str, float]):
-        self.common, self.weights = common, weights
+    def __init__(self, common: set[str], weights: dict[str, float], repeats: Repeats):
+        self.common, self.weights, self.repeats = common, weights, repeats
 
     def _plain(self, line: str) -> list[str]:
         out = []
@@ -125,11 +187,11 @@ class Weights:
         for line in lines:
             words = self._plain(line)
             shapes = _shapes(line)
-            whole = " ".join(words) if len(words) <= 6 else None
+            whole = ("^" if line[:1].isupper() else "") + " ".join(words) if len(words) <= 6 else None
             own.append((words, shapes, whole))
         out = []
         for k, (words, shapes, whole) in enumerate(own):
-            f = ["~bias", *shapes, *set(words)]
+            f = ["~bias", *shapes, *(set(words) if len(words) > 1 else ())]
             if whole is not None:
                 f.append("=" + whole)
             for name, j in (("<", k - 1), (">", k + 1)):
@@ -213,12 +275,18 @@ def _labels(lines: list[str], scores: np.ndarray | None) -> np.ndarray:
     top = _heading(lines)
     toc = _contents(lines)
     for k in range(1, n):
-        if k in toc or lines[k].phrase:
+        notice = lines[k].repeats >= NOTICE and lines[k].length >= 60 and lines[k].ends
+        if k in toc or notice:
             y[k] = 0
-        elif k in text or k == top:
+        elif k in text and (scores is None or scores[k] > -3) or k == top:
             y[k] = 1
         elif first < k < last:
-            y[k] = 1 if scores is None or scores[k] > -0.5 else 0
+            if scores is not None:
+                y[k] = scores[k] > -0.5
+            elif not lines[k].repeats or lines[k].outer <= 3:
+                y[k] = 1
+            elif lines[k].outer >= 5:
+                y[k] = 0
         elif k < first - 2 or k > last + 1:
             y[k] = 0
         elif scores is not None and abs(scores[k]) > 1:
@@ -226,16 +294,16 @@ def _labels(lines: list[str], scores: np.ndarray | None) -> np.ndarray:
     return y
 
 
-def train(pages: list[str]) -> Weights:
-    split = [[x for _, x in page_lines(p)] for p in pages]
+def train(pages: list[str], repeats: Repeats, turns: int = 3) -> Weights:
+    split = [[x for _, x in page_lines(p, repeats)] for p in pages]
     seen: dict[str, int] = {}
     for lines in split:
         for w in {w.lower() for x in lines for w in _WORD.findall(x)}:
             seen[w] = seen.get(w, 0) + 1
     least = max(3, len(pages) // 300)
-    model = Weights({w for w, n in seen.items() if n >= least}, {})
+    model = Weights({w for w, n in seen.items() if n >= least}, {}, repeats)
     rows = [model.features(lines) for lines in split]
-    for turn in range(2):
+    for turn in range(turns):
         labels = [_labels(lines, model.scores(lines) if turn else None) for lines in split]
         use = [(f, y) for r, ys in zip(rows, labels) for f, y in zip(r, ys) if y >= 0]
         if not use or len({y for _, y in use}) < 2:
@@ -246,7 +314,7 @@ def train(pages: list[str]) -> Weights:
 
 def main_lines(page: str, model: Weights, below: float = -1.0) -> list[int]:
     """Numbers of the lines of the main body, from 0 over all lines of the page."""
-    numbered = page_lines(page)
+    numbered = page_lines(page, model.repeats)
     if not numbered:
         return []
     at0 = numbered[0][0] == 0
@@ -255,8 +323,8 @@ def main_lines(page: str, model: Weights, below: float = -1.0) -> list[int]:
     toc, top, title = _contents(lines), _heading(lines), _title(lines)
     text = [x.running for x in lines]
     for k, line in enumerate(lines):
-        parts = _PARTS.split(line) if line.length < 500 else [line]
-        if k in toc or line.phrase or len(parts) > 2 and not line.ends or len(parts) > 1 and _same(parts[-1], title):
+        parts = _PARTS.split(line)
+        if k in toc or len(parts) > 2 and not line.ends or len(parts) > 1 and _same(parts[-1], title):
             s[k] = min(s[k], -4.0)
         elif text[k] and s[k] > 0:
             s[k] += min(6.0, line.length / 60)  # its words count one by one
@@ -289,8 +357,9 @@ def main_bodies(df: DataFrame, id_col: str, text_col: str, sample_rows: int = 15
     result; other columns of ``df`` are dropped.
     """
     pages = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    repeats = repeated_lines(pages)
     sample = hash_sample(pages, F.col("text"), sample_rows).filter(F.length("text") <= sample_length).select("text")
-    model = train([r["text"] for r in sample.collect()])
+    model = train([r["text"] for r in sample.collect()], repeats)
 
     @F.arrow_udf("struct<body:string,outside:array<int>>")
     def look(column: pa.Array) -> pa.Array:
