@@ -159,12 +159,18 @@ _MARK = (
 )
 MARK = re.compile(_MARK)
 _ODD = re.compile(r"[{\[<«$#%@*~^_]|&lt;|TK|[Xx]{3}|xx[x-]| [,.](?:\s|$)")
-TOKEN = re.compile(_MARK + r"|[぀-ヿ㐀-鿿]|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]|_+")
+_PLAIN = r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]|_+"
+_TOKEN, _TOKEN_PLAIN = re.compile(_MARK + "|" + _PLAIN), re.compile(_PLAIN)
 _WORD = re.compile(r"[^\W\d_]+")
 _GOLD, _SPLIT, _SPLIT2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _HOLE, _SLOT, _EDGE = 1, 2, 3  # hashes of what varies, of a mark, and of the end of a unit
 
 
+def tokens_of(unit: str) -> list[str]:
+    """Words, numbers and signs; a mark is one token."""
+    return (_TOKEN if _ODD.search(unit) else _TOKEN_PLAIN).findall(unit)
+
+
 def units(text: str) -> list[str]:
     return [s for line in text.split("\n") if line.strip() for s in map(str.strip, _SENTENCE.split(line)) if s]
 
@@ -194,14 +200,23 @@ def _chain(kind: int, *parts: np.ndarray) -> np.ndarray:
     return h
 
 
-def _around(left: list[int], right: list[int]) -> tuple[np.ndarray, list[bool]]:
+def _chain_one(kind: int, parts) -> int:
+    """``_chain`` of single values."""
+    full, h = (1 << 64) - 1, kind
+    for p in parts:
+        h = (h * 0x9E3779B97F4A7C15 + p) & full
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & full
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & full
+        h ^= h >> 31
+    return h
+
+
+def _around(left: list[int], right: list[int]) -> tuple[list[int], list[bool]]:
     """The four contexts of a place: two words before and one after, one and two, three before, three after; and
     for each whether it has words enough: not the ends of the unit alone."""
     a, b = [_EDGE] * max(0, 3 - len(left)) + left[-3:], right[:3] + [_EDGE] * max(0, 3 - len(right))
     sides = [(a[1], a[2], b[0]), (a[2], b[0], b[1]), tuple(a), tuple(b)]
-    p = np.array(sides, dtype=np.uint64)
-    keys = np.array([_chain(k + 1, *p[k : k + 1].T)[0] for k in range(4)], dtype=np.uint64)
-    return keys, [sum(x == _EDGE for x in s) <= (1 if k < 2 else 0) for k, s in enumerate(sides)]
+    return [_chain_one(k + 1, s) for k, s in enumerate(sides)], [sum(x == _EDGE for x in s) <= (1 if k < 2 else 0) for k, s in enumerate(sides)]
 
 
 class Vocabulary:
@@ -269,7 +284,6 @@ def _word_rows(filter_bits: int):
     """Counts of words by task (kind w: hash, texts, texts beside filler Latin; kind n: texts), and the places
     in the filter of the contexts of all marks (kind b)."""
     latin = {_hash(w) for w in LATIN}
-    seeds = re.compile("|".join(sorted(LATIN)), re.I)
 
     def run(batches):
         for batch in batches:
@@ -278,9 +292,9 @@ def _word_rows(filter_bits: int):
                 if not text:
                     continue
                 texts += 1
-                tokens = {t.lower() for t in TOKEN.findall(text)}
-                n.update({_hash(t) for t in tokens})
-                if seeds.search(text):
+                own = set(map(_hash, set(_TOKEN_PLAIN.findall(text.lower()))))
+                n.update(own)
+                if len(own & latin) >= 2:
                     beside: set[int] = set()
                     for u in units(text):
                         words = {_hash(w) for w in _WORD.findall(u)}
@@ -290,8 +304,8 @@ def _word_rows(filter_bits: int):
                 if _ODD.search(text):
                     for u in units(text):
                         for m in MARK.finditer(u) if _ODD.search(u) else ():
-                            keys, wide = _around([_hash(t) for t in TOKEN.findall(u[: m.start()])], [_hash(t) for t in TOKEN.findall(u[m.end() :])])
-                            bits.update((keys[wide] & np.uint64((1 << filter_bits) - 1)).tolist())
+                            keys, wide = _around([_hash(t) for t in tokens_of(u[: m.start()])], [_hash(t) for t in tokens_of(u[m.end() :])])
+                            bits.update(k & ((1 << filter_bits) - 1) for k, w in zip(keys, wide) if w)
             words = list(n)
             count = np.array([n[w] for w in words], dtype=np.int64)
             beside = np.array([near[w] for w in words], dtype=np.int64)
@@ -323,11 +337,11 @@ def _hit_rows(number: int, unit: str, vocabulary: Vocabulary) -> list[dict]:
     ``aligned`` in the plain words, to tell slots by (two-sided ones even, one-sided ones odd)."""
     out = []
     for kind, value, known, a, b in hits(unit, vocabulary):
-        left, right = TOKEN.findall(unit[:a]), TOKEN.findall(unit[b:])
+        left, right = tokens_of(unit[:a]), tokens_of(unit[b:])
         row = {"unit": number, "kind": kind, "value": value, "known": known, "rest": 0, "contexts": [], "aligned": []}
         if kind != "latin":
             l, r = vocabulary.skeleton(left), vocabulary.skeleton(right)
-            row["rest"] = _signed(_chain(9, *np.array([[*l, _SLOT, *r]], dtype=np.uint64).T))[0]
+            row["rest"] = _signed([_chain_one(9, [*l, _SLOT, *r])])[0]
             if left and right:
                 row["contexts"] = _signed(_around(l, r)[0][:3])
         if kind == "slot":
@@ -338,14 +352,15 @@ def _hit_rows(number: int, unit: str, vocabulary: Vocabulary) -> list[dict]:
 
 
 def _looker(vocabulary: Column, filter_bits: int):
-    """(id, key, units, hits, plain, plain_unit) of each text: keys of its skeletons, its hits, and the contexts of
-    marks that it has with something else in them."""
+    """(id, key, units, hits, plain, plain_n) of each text: keys of its skeletons and its hits; at the last text of a batch, the
+    contexts of marks that the batch has with something else in them, with the number of its texts."""
 
     def run(batches):
         import xxhash
 
         known, marked = vocabulary.value
         for whole in batches:
+            plain: list[np.ndarray] = []
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 rows, flat, sizes, owner = [], [], [], []
@@ -354,31 +369,36 @@ def _looker(vocabulary: Column, filter_bits: int):
                     found = [h for k, u in enumerate(us) for h in _hit_rows(k, u, known)]
                     rows.append((xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) if t else None, found))
                     for u in us:
-                        tokens = TOKEN.findall(u)
+                        tokens = tokens_of(u)
                         flat += tokens
                         sizes.append(len(tokens))
                     owner.append(len(us))
-                keys, plain, which = _aligned_places(flat, np.array(sizes, dtype=np.int64), known, marked, filter_bits)
+                keys, found = _aligned_places(flat, np.array(sizes, dtype=np.int64), np.repeat(np.arange(len(owner)), owner), known, marked, filter_bits)
+                plain.append(found)
                 ends = np.cumsum(owner)
-                cut = np.searchsorted(which, np.r_[0, ends])
+                last = at + 256 >= whole.num_rows
+                # what is between the words of a mark's context is only asked for up to ``least`` texts: counts of the batch, at its end
+                context, n = np.unique(np.concatenate(plain), return_counts=True) if last else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+                cut = np.r_[np.zeros(batch.num_rows), len(context)].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id"),
                         pa.array([k for k, _ in rows], pa.binary()),
                         pa.array([keys[e - n : e] for e, n in zip(ends, owner)], _BIN),
                         pa.array([f for _, f in rows], pa.list_(_HIT)),
-                        pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(plain.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(cut), pa.array(context.view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(cut), pa.array(n)),
                     ],
-                    names=["id", "key", "units", "hits", "plain"],
+                    names=["id", "key", "units", "hits", "plain", "plain_n"],
                 )
 
     return run
 
 
-def _aligned_places(flat: list[str], sizes: np.ndarray, vocabulary: Vocabulary, marked: np.ndarray, filter_bits: int):
-    """Skeleton keys of all units; and the contexts that the filter knows, with the units they are in."""
+def _aligned_places(flat: list[str], sizes: np.ndarray, owner: np.ndarray, vocabulary: Vocabulary, marked: np.ndarray, filter_bits: int):
+    """Skeleton keys of all units; and the contexts that the filter knows, once for each text (``owner`` of the units)."""
     if not len(flat):
-        return [b""] * len(sizes), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return [b""] * len(sizes), np.zeros(0, dtype=np.uint64)
     coded = pa.array(flat, pa.string()).dictionary_encode()
     each = coded.dictionary.to_pylist()
     index = coded.indices.to_numpy()
@@ -421,9 +441,12 @@ def _aligned_places(flat: list[str], sizes: np.ndarray, vocabulary: Vocabulary,
     emit(2, solid, 0, before1, h, after1)
     emit(3, solid, 1, before3, before2, before1)
     emit(4, solid, 1, after1, after2, after3)
-    found, units_ = np.concatenate(found), np.concatenate(units_)
-    order = np.argsort(units_, kind="stable")
-    return skeletons, found[order], units_[order]
+    found, text = np.concatenate(found), owner[np.concatenate(units_)]
+    order = np.lexsort((found, text))
+    found, text = found[order], text[order]
+    fresh = np.ones(len(found), dtype=bool)
+    fresh[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
+    return skeletons, found[fresh]
 
 
 def find_residue(
@@ -469,7 +492,7 @@ def find_residue(
 
     kind = dict(texts.dtypes)["id"]
     looked = written(
-        texts.mapInArrow(_looker(shared, filter_bits), f"id {kind}, key binary, units array<binary>, hits {_HITS}, plain array<bigint>"), "looked"
+        texts.mapInArrow(_looker(shared, filter_bits), f"id {kind}, key binary, units array<binary>, hits {_HITS}, plain array<bigint>, plain_n array<bigint>"), "looked"
     )
     least = max(least_pages, int(np.ceil(total * template_share)))
     verdicts = (
@@ -507,7 +530,10 @@ def hit_texts(looked: DataFrame, least: int, seeds: bool = True) -> DataFrame:
         F.bool_or((F.col("rests") >= least) & ((2 * F.col("rests") >= F.col("n")) | (F.col("rests") >= 4 * least)) & (10 * F.col("most") >= 9 * F.col("n"))).alias("own"),
         F.bool_or((F.col("n") > 1) & (10 * F.col("most") < 9 * F.col("n"))).alias("varies"),
     )
-    plain = looked.filter("size(plain) > 0").select("key", F.explode(F.array_distinct("plain")).alias("context")).distinct().groupBy("context").agg(F.count("*").alias("others"))
+    plain = (
+        looked.filter("size(plain) > 0").select(F.explode(F.arrays_zip("plain", "plain_n")).alias("p"))
+        .groupBy(F.col("p.plain").alias("context")).agg(F.sum("p.plain_n").alias("others"))
+    )
     slots = (
         hit.select("key", "no", F.explode("aligned").alias("context")).join(plain, "context")
         .groupBy("key", "no").agg(F.bool_or((F.col("context") % 2 == 0) | (F.col("others") >= least)).alias("slot"))
