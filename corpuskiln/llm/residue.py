@@ -324,8 +324,8 @@ def _word_rows(filter_bits: int):
 
 
 _LONG, _BIN = pa.list_(pa.int64()), pa.list_(pa.binary())
-_HIT = pa.struct([("unit", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("known", pa.bool_()), ("rest", pa.int64()), ("contexts", _LONG), ("aligned", _LONG)])
-_HITS = "array<struct<unit:int,kind:string,value:string,known:boolean,rest:bigint,contexts:array<bigint>,aligned:array<bigint>>>"
+_HIT = pa.struct([("unit", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("known", pa.bool_()), ("prose", pa.bool_()), ("rest", pa.int64()), ("contexts", _LONG), ("aligned", _LONG)])
+_HITS = "array<struct<unit:int,kind:string,value:string,known:boolean,prose:boolean,rest:bigint,contexts:array<bigint>,aligned:array<bigint>>>"
 
 
 def _signed(values) -> list[int]:
@@ -338,10 +338,12 @@ def _hit_rows(number: int, unit: str, vocabulary: Vocabulary) -> list[dict]:
     out = []
     for kind, value, known, a, b in hits(unit, vocabulary):
         left, right = tokens_of(unit[:a]), tokens_of(unit[b:])
-        row = {"unit": number, "kind": kind, "value": value, "known": known, "rest": 0, "contexts": [], "aligned": []}
+        row = {"unit": number, "kind": kind, "value": value, "known": known, "prose": False, "rest": 0, "contexts": [], "aligned": []}
         if kind != "latin":
             l, r = vocabulary.skeleton(left), vocabulary.skeleton(right)
             row["rest"] = _signed([_chain_one(9, [*l, _SLOT, *r])])[0]
+            before, after = len(_WORD.findall(unit[:a])), len(_WORD.findall(unit[b:]))
+            row["prose"] = kind != "slot" and min(before, after) >= 3 and len(_WORD.findall(unit)) >= 10
             if left and right:
                 row["contexts"] = _signed(_around(l, r)[0][:3])
         if kind == "slot":
@@ -468,7 +470,8 @@ def find_residue(
     four). It is a page's if at least ``least_pages`` and ``template_share`` of all texts have it and consist of skeletons that are
     so frequent, and these are at least ``page_share`` of all that have it. A mark is own text if at least ``least_records`` texts whose skeletons differ in the rest (half of all
     such texts, or four times as many) have it between the same words, and at most a tenth as many have another; a
-    slot if other records have something else there; otherwise its spelling decides. Without ``seeds``, known phrases and
+    slot if other records have something else there; otherwise its spelling decides. A known phrase that no other
+    record has between the same words is own text inside a sentence of ten words or more. Without ``seeds``, known phrases and
     spellings count for nothing, and alignment alone decides. Null and empty texts have no residue;
     equal texts get equal kinds; an empty table gives an empty result. Other columns of ``df`` are dropped.
 
@@ -529,6 +532,7 @@ def hit_texts(looked: DataFrame, least: int, seeds: bool = True) -> DataFrame:
     told = around.join(same, "context").groupBy("key", "no").agg(
         F.bool_or((F.col("rests") >= least) & ((2 * F.col("rests") >= F.col("n")) | (F.col("rests") >= 4 * least)) & (10 * F.col("most") >= 9 * F.col("n"))).alias("own"),
         F.bool_or((F.col("n") > 1) & (10 * F.col("most") < 9 * F.col("n"))).alias("varies"),
+        F.max("n").alias("records"),
     )
     plain = (
         looked.filter("size(plain) > 0").select(F.explode(F.arrays_zip("plain", "plain_n")).alias("p"))
@@ -539,6 +543,7 @@ def hit_texts(looked: DataFrame, least: int, seeds: bool = True) -> DataFrame:
         .groupBy("key", "no").agg(F.bool_or((F.col("context") % 2 == 0) | (F.col("others") >= least)).alias("slot"))
     )
     judged = hit.join(told, ["key", "no"], "left").join(slots, ["key", "no"], "left")
+    own = F.coalesce("own", F.lit(False)) | F.col("prose") & (F.coalesce("records", F.lit(1)) == 1)
     aligned = (F.col("kind") == "slot") & (F.coalesce("slot", F.lit(False)) | F.coalesce("varies", F.lit(False)))
     known = F.col("known") & F.lit(seeds)
-    return judged.filter(~F.coalesce("own", F.lit(False)) & (known | aligned)).select("key", "kind")
+    return judged.filter(~own & (known | aligned)).select("key", "kind")
