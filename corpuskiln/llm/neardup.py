@@ -157,7 +157,8 @@ def near_duplicates(
     placed = classes.select("kind", "cls", "n", F.explode(F.array(*tables)).alias("bucket"))
     shared = written(placed.groupBy("bucket").agg(F.count("*").alias("rows")).filter("rows > 1"), "buckets")
     blocks = F.ceil(F.col("rows") / hot_rows).cast("int")
-    buckets = placed.join(shared, "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    # as many buckets as the collection has: never broadcast, at any size
+    buckets = placed.join(shared.hint("merge"), "bucket").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     # block i meets block j >= i: a row of block k is on the left for all j >= k, on the right for all i <= k
     left = buckets.select("bucket", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"), "kind", F.col("cls").alias("a"), F.col("n").alias("n_a"))
     right = buckets.select("bucket", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("kind").alias("kind_b"), F.col("cls").alias("b"), F.col("n").alias("n_b"))
