@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,6 +72,11 @@ def verdict_is_none(verdict: Column) -> Column:
     return F.upper(strip(F.replace(verdict, F.lit("."), F.lit("")))) == "NONE"
 
 
+def snippet(text: Column, chars: int = 180) -> Column:
+    """The beginning of a text for a report."""
+    return F.left(text, F.lit(chars))
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
@@ -86,25 +93,30 @@ def file_type(path: Column) -> Column:
     return F.when(suffix.isin("txt", "pdf", "md"), suffix).when(suffix.isin("html", "htm"), F.lit("html"))
 
 
-# What separates text nodes, and the entities decoded (the ampersand last).
+# What separates text nodes.
 _MARKUP = r"(?is)(?:<!--.*?-->|<!doctype[^>]*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|</?[a-z][^>]*>)+"
-_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+_ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
 
 
 def _decoded(text: Column) -> Column:
-    for entity, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Named and numbered entities as characters. Only texts with any reach Python."""
+
+    @F.arrow_udf("string")
+    def unescape(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else html.unescape(t) for t in texts.to_pylist()], type=pa.string())
+
+    some = text.rlike(_ENTITY)
+    return F.when(some, unescape(F.when(some, text))).otherwise(text)
 
 
-def html_text(html: Column) -> Column:
+def html_text(page: Column) -> Column:
     """Text nodes of a page, one per line, without scripts and styles; lines and the whole stripped."""
-    return strip_lines(_decoded(F.regexp_replace(html, _MARKUP, "\n")))
+    return strip_lines(_decoded(F.regexp_replace(page, _MARKUP, "\n")))
 
 
-def html_title(html: Column) -> Column:
+def html_title(page: Column) -> Column:
     """Text of the title element; null if there is none or it is blank."""
-    title = strip(_decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)))
+    title = strip(_decoded(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)))
     return F.when(title != "", title)
 
 

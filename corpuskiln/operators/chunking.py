@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,43 +50,45 @@ def check(size: int, overlap: int) -> None:
         raise ValueError("the overlap must be from 0 to less than the chunk size")
 
 
-def recursive_pieces(text: str, size: int, overlap: int, encode: Callable[[str], list], decode: Callable[[list], str]) -> list[str]:
-    """Chunks of at most ``size`` tokens, each but the first led by the last ``overlap`` tokens of the one before.
+def _parts(text: str, size: int, encode: Callable[[str], list], level: int = 0) -> Iterator[list]:
+    """Tokens of the parts of a text within the size: apart at the first separator, parts still over it at the next,
+    at last at any token; separators are dropped."""
+    tokens = encode(text)
+    if len(tokens) <= size:
+        yield tokens
+    elif level == len(SEPARATORS):
+        yield from (tokens[i : i + size] for i in range(0, len(tokens), size))
+    else:
+        for part in filter(None, text.split(SEPARATORS[level])):
+            yield from _parts(part, size, encode, level + 1)
+
+
+def pack_windows(lengths: list[int], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Windows (start, end) over the tokens of parts of these lengths, laid end to end.
 
-    Text over the size is taken apart at the first separator, parts still over it at the next, at last at any
-    token; separators are dropped. Parts then fill one chunk after the other.
+    A window ends after the last whole part that fits. The next begins ``overlap`` tokens before that end, or at the
+    window's own start if it is shorter, and takes what fits of the part that did not.
     """
-    whole = encode(text)
-    if len(whole) <= size:
+    out, start, end, done = [], 0, 0, 0
+    for length in lengths:
+        done += length
+        while end < done:
+            if done - start <= size:
+                end = done
+            else:
+                out.append((start, end))
+                start = max(start, end - overlap)
+                end = min(done, start + size)
+    return [*out, (start, end)]
+
+
+def recursive_pieces(text: str, size: int, overlap: int, encode: Callable[[str], list], decode: Callable[[list], str]) -> list[str]:
+    """Chunks of at most ``size`` tokens, each but the first led by up to ``overlap`` tokens of the one before."""
+    if len(encode(text)) <= size:
         return [text] if text.strip() else []
-    queue: deque[list] = deque()
-    todo = [(text, 0)]
-    while todo:
-        part, level = todo.pop()
-        tokens = encode(part)
-        if not part:
-            continue
-        if len(tokens) <= size:
-            queue.append(tokens)
-        elif level == len(SEPARATORS):
-            queue.extend(tokens[i : i + size] for i in range(0, len(tokens), size))
-        else:
-            todo.extend((p, level + 1) for p in reversed(part.split(SEPARATORS[level])))
-    out, open_chunk = [], []
-    while queue:
-        tokens = queue.popleft()
-        room = size - len(open_chunk)
-        if len(tokens) <= room:
-            open_chunk = open_chunk + tokens
-            continue
-        out.append(open_chunk)
-        kept = open_chunk[len(open_chunk) - overlap :] if overlap else []
-        room = size - len(kept)
-        open_chunk = kept + tokens[:room]
-        if len(tokens) > room:
-            queue.appendleft(tokens[room:])
-    out.append(open_chunk)
-    texts = [decode(c) for c in out]
+    parts = list(_parts(text, size, encode))
+    tokens = [t for part in parts for t in part]
+    texts = [decode(tokens[a:b]) for a, b in pack_windows([len(p) for p in parts], size, overlap)]
     return [t for t in texts if t.strip()]
 
 

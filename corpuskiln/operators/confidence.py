@@ -20,8 +20,9 @@ def with_source(hits: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def parts(as_of: Column, df: DataFrame) -> dict[str, Column]:
-    """The four sub-scores of rows with source, retrieved_by, rerank_score and maybe date."""
-    date = F.col("date") if "date" in df.columns else F.lit(None).cast("timestamp")
+    """The four sub-scores of rows with source, retrieved_by, rerank_score and maybe date (a time, or ISO 8601 text)."""
+    kinds = dict(df.dtypes)
+    date = F.lit(None).cast("timestamp") if "date" not in kinds else scores.as_time(F.col("date")) if kinds["date"] == "string" else F.col("date")
     return {
         "freshness": scores.freshness(date, as_of),
         "trust": scores.trust(F.col("source")),

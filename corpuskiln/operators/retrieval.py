@@ -1,12 +1,14 @@
 """Keyword and vector search for whole sets of queries, and their fusion.
 
-A query set is bounded and goes to every executor by broadcast after a check of its size. The texts and vectors
-of the collection are never shuffled: only counts of asked terms and scores move, and of the scores the best of
-each task and query (the ranking window is cut on both sides of its shuffle).
+A query set goes to every executor by broadcast after a check of its size; a larger one is searched in parts. The
+search itself never shuffles texts and vectors: only counts of asked terms and scores move, and of the scores the
+best of each task and query.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,15 +16,24 @@ from pyspark.sql import functions as F
 
 from corpuskiln import config
 from corpuskiln.functions.text import terms
+from corpuskiln.tables import written
 
 MAX_QUERIES = 20_000
 
 
-def small(queries: DataFrame, most: int = MAX_QUERIES) -> DataFrame:
-    """``queries`` for a broadcast, after a check of their number."""
-    if queries.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} queries: search them in parts")
-    return F.broadcast(queries)
+def in_parts(search):
+    """Makes a search over a query set (its first argument) one over parts of at most about ``MAX_QUERIES`` queries."""
+
+    @functools.wraps(search)
+    def whole(queries: DataFrame, *args, **options) -> DataFrame:
+        parts = -(-queries.count() // MAX_QUERIES)
+        if parts <= 1:
+            return search(queries, *args, **options)
+        queries = written(queries, "queries")
+        part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+        return functools.reduce(DataFrame.unionByName, (search(queries.filter(part == k), *args, **options) for k in range(parts)))
+
+    return whole
 
 
 def ranked(df: DataFrame, order: list[Column], limit: int, by: str = "query_id", into: str = "rank") -> DataFrame:
@@ -46,6 +57,7 @@ def postings(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     )
 
 
+@in_parts
 def keyword_search(
     queries: DataFrame,
     docs: DataFrame,
@@ -60,7 +72,7 @@ def keyword_search(
     ``queries`` has query_id and query. Scores are rounded to six places before they are compared. Texts without
     any term of the query are no hits; null texts count as empty.
     """
-    asked = small(queries.select("query_id", F.explode(F.array_distinct(terms(F.coalesce("query", F.lit(""))))).alias("term")), 50 * MAX_QUERIES)
+    asked = F.broadcast(queries.select("query_id", F.explode(F.array_distinct(terms(F.coalesce("query", F.lit(""))))).alias("term")))
     words = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
     # Only terms that are asked for leave their task, counted there once per text, and an empty term that stands for the
     # text itself: one pass over the texts gives frequencies, lengths and totals, as all uses share its exchange.
@@ -81,6 +93,7 @@ def keyword_search(
     return ranked(scored, [F.desc("score"), F.asc("id")], limit)
 
 
+@in_parts
 def vector_search(
     queries: DataFrame,
     docs: DataFrame,
@@ -93,9 +106,9 @@ def vector_search(
 
     ``queries`` has query_id and vector. Vectors that are null, all zero, or not of ``dims`` values (of the query's
     number of values if not given) are no hits. Exact: every vector is compared with every query of the set, as
-    products of matrices in Arrow batches, of which only possible hits come back.
+    products of matrices in Arrow batches; of each task only possible hits come back.
     """
-    asked = small(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter(_usable("vector"))).toArrow()
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter(_usable("vector")).toArrow()
     schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(docs.dtypes)[id_col]}, score double"
     vectors = docs.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(_usable("v"))
     if dims is not None:
@@ -105,22 +118,53 @@ def vector_search(
     names = {n: asked.column("query_id").filter(pa.array(sizes == n)).combine_chunks() for n in sets}
 
     def compare(batches):
+        best = {n: _Best(len(q), limit) for n, q in sets.items()}  # over all batches of the task
         for batch in batches:
             lengths = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
             for n, q in sets.items():
                 here = batch.filter(pa.array(lengths == n))
-                if not here.num_rows:
-                    continue
-                s = q @ _rows(here.column("v"), n).T
-                # what is at most the last kept score of this batch can be no hit; equal scores at six places stay
-                last = np.partition(s, -limit, axis=1)[:, -limit] if s.shape[1] > limit else np.full(len(q), -np.inf)
-                row, col = np.nonzero(s >= last[:, None] - 2e-6)
-                yield pa.RecordBatch.from_arrays([names[n].take(pa.array(row)), here.column("id").take(pa.array(col)), pa.array(s[row, col])], names=["query_id", "id", "score"])
+                if here.num_rows:
+                    best[n].add(q @ _rows(here.column("v"), n).T, here.column("id"))
+        for n, kept in best.items():
+            row, ids, score = kept.result()
+            if len(row):
+                yield pa.RecordBatch.from_arrays([names[n].take(pa.array(row)), ids, pa.array(score)], names=["query_id", "id", "score"])
 
     scored = vectors.mapInArrow(compare, schema).withColumn("score", F.round("score", 6))
     return ranked(scored, [F.desc("score"), F.asc("id")], limit)
 
 
+class _Best:
+    """The best ``limit`` scores of each of ``queries`` queries so far, with all that equal the last at six places."""
+
+    def __init__(self, queries: int, limit: int):
+        self.limit, self.least = limit, np.full(queries, -np.inf)
+        self.row, self.score, self.ids = [], [], []
+
+    def add(self, s: np.ndarray, ids: pa.Array) -> None:
+        if s.shape[1] >= self.limit:
+            self.least = np.maximum(self.least, np.partition(s, -self.limit, axis=1)[:, -self.limit])
+        row, col = np.nonzero(s >= self.least[:, None] - 2e-6)
+        self.row.append(row)
+        self.score.append(s[row, col])
+        self.ids.append(ids.take(pa.array(col)))
+        if sum(map(len, self.row)) > 4 * self.limit * len(self.least):
+            self.result()
+
+    def result(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        if not self.row:
+            return np.zeros(0, dtype=np.int64), pa.array([], pa.null()), np.zeros(0)
+        row, score, ids = np.concatenate(self.row), np.concatenate(self.score), pa.concat_arrays(self.ids)
+        order = np.lexsort((-score, row))
+        row, score = row[order], score[order]
+        start = np.searchsorted(row, np.arange(len(self.least)))
+        full = np.flatnonzero(np.diff(np.r_[start, len(row)]) >= self.limit)
+        self.least[full] = np.maximum(self.least[full], score[start[full] + self.limit - 1])
+        keep = score >= self.least[row] - 2e-6
+        self.row, self.score, self.ids = [row[keep]], [score[keep]], [ids.take(pa.array(order[keep]))]
+        return self.row[0], self.ids[0], self.score[0]
+
+
 def _usable(vector: str) -> Column:
     v = F.col(vector)
     return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(v, lambda x: x != 0), F.lit(False))

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from corpuskiln import config
 from corpuskiln.functions.text import cache_key
+from corpuskiln.tables import written
+
+
+#: tasks that the rows of one frequent key are spread over
+SALTS = 16
 
 
 def latest(df: DataFrame, key: str, at: Column, *ties: Column) -> DataFrame:
@@ -15,9 +20,19 @@ def latest(df: DataFrame, key: str, at: Column, *ties: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
 
 
-def new_rows(incoming: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not stored yet, one per key."""
-    return incoming.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+def latest_of_few(df: DataFrame, key: str, at: Column, *ties: Column) -> DataFrame:
+    """``latest`` for tables of wide rows with few repeated keys: keys alone are counted by a shuffle, and only rows of
+    repeated keys (null ones with them) are sorted; the others stay in their tasks while the repeated keys are few enough to broadcast."""
+    repeated = written(df.groupBy(key).agg(F.count("*").alias("_rows")).filter("_rows > 1").select(key), "repeated")
+    single = df.join(repeated, df[key].eqNullSafe(repeated[key]), "left_anti")
+    return single.unionByName(latest(df.join(repeated, df[key].eqNullSafe(repeated[key]), "left_semi"), key, at, *ties))
+
+
+def new_rows(incoming: DataFrame, stored: DataFrame, key: str, *order: Column) -> DataFrame:
+    """Rows whose key is not stored yet, one per key: the first in ``order`` (of all columns that can be ordered, unless given)."""
+    fresh = incoming.join(stored.select(key), key, "left_anti")
+    order = order or tuple(F.col(f"`{name}`") for name, kind in fresh.dtypes if "map<" not in kind)
+    return fresh.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
 
 
 def orphans(docs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -59,7 +74,11 @@ def cached_answers(queries: DataFrame, cache: DataFrame, as_of: Column, ttl_seco
     result is a miss."""
     newest = latest(alive(cache, "created_at", as_of, ttl_seconds), "cache_key", F.col("created_at"), F.col("query"))
     asked = queries.withColumn("cache_key", cache_key(F.col("query")))
-    return asked.join(newest.select("cache_key", "result"), "cache_key", "left").withColumn("hit", F.col("result").isNotNull())
+    # One key may be asked by a third of all queries: these go to SALTS tasks each, and each living answer to all of them.
+    salted = asked.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)))
+    wanted = newest.join(asked.select("cache_key").distinct(), "cache_key", "left_semi")
+    answers = wanted.select("cache_key", "result").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(answers, ["cache_key", "_salt"], "left").drop("_salt").withColumn("hit", F.col("result").isNotNull())
 
 
 def upserted(cache: DataFrame, new: DataFrame) -> DataFrame:

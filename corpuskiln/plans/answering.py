@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from typing import Protocol
+from typing import NamedTuple, Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln import config
-from corpuskiln.functions.text import citation_markers
+from corpuskiln.functions.text import cache_key, citation_markers, clean_question, is_refusal
 from corpuskiln.operators import confidence, retrieval
 from corpuskiln.tables import written
 
@@ -88,73 +88,170 @@ def map_citations(answer: Column, chunks: Column) -> Column:
 
 
 def generate(prompts: DataFrame, model: Callable[[], LanguageModel] = Extractive, system: str = config.ANSWER_RULES) -> DataFrame:
-    """(query_id, answer, usage): the model's reply to each (query_id, prompt); one client per task.
+    """(query_id, answer, usage, ms, error): the model's reply to each (query_id, prompt), written out, so that no later
+    action asks the model again; one client per task.
 
-    A null prompt stands for an empty context: it gets a fixed answer, no usage, and never reaches the model.
+    A null prompt stands for an empty context: it gets a fixed answer, no usage, and never reaches the model. A reply
+    that fails leaves a null answer and the error; the others go on.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = model()
         for batch in batches:
-            replies = [(config.EMPTY_CONTEXT_ANSWER, None) if p is None else with_retries(lambda p=p: client.complete(system, p)) for p in batch["prompt"]]
-            usage = [u and {k: int(u.get(k) or 0) for k in ("prompt_tokens", "completion_tokens", "total_tokens")} for _, u in replies]
-            yield pd.DataFrame({"query_id": batch["query_id"], "answer": [r[0] for r in replies], "usage": usage})
+            rows = []
+            for key, prompt in zip(batch["query_id"], batch["prompt"]):
+                begun, answer, usage, error = time.monotonic(), config.EMPTY_CONTEXT_ANSWER, None, None
+                if prompt is not None:
+                    try:
+                        answer, usage = with_retries(lambda p=prompt: client.complete(system, p))
+                    except Exception as e:
+                        answer, error = None, str(e) or type(e).__name__
+                usage = usage and {k: int(usage.get(k) or 0) for k in ("prompt_tokens", "completion_tokens", "total_tokens")}
+                rows.append((key, answer, usage, 1000 * (time.monotonic() - begun), error))
+            yield pd.DataFrame(rows, columns=["query_id", "answer", "usage", "ms", "error"])
 
     kind = dict(prompts.dtypes)["query_id"]
-    return prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {kind}, answer string, usage struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>")
+    return written(prompts.select("query_id", "prompt").mapInPandas(run, f"query_id {kind}, answer string, usage {USAGE}, ms double, error string"), "replies")
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, as_of: Column, logit: Column | None = None) -> DataFrame:
-    """The reranked hits of every query with source, sub-scores and confidence: (query_id, rank, id, text, ...).
+USAGE = "struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>"
+CHUNKS = "array<struct<position:int,id:string,parent_doc_id:string,source:string,text:string>>"
+CITATIONS = "array<struct<marker:int,chunk_id:string,parent_doc_id:string,source:string>>"
+SCORES = "array<struct<chunk_id:string,score:double>>"
+
+
+def ask_questions(passages: DataFrame, model: Callable[[], LanguageModel]) -> DataFrame:
+    """(query_id, query) from (query_id, text): a question that each passage answers; passages the model fails on drop out."""
+    asked = generate(passages.select("query_id", F.col("text").alias("prompt")), model, config.QUESTION_RULES)
+    return asked.select("query_id", clean_question(F.col("answer")).alias("query")).filter("query <> ''")
+
+
+def judge(answers: DataFrame, contexts: DataFrame, model: Callable[[], LanguageModel]) -> DataFrame:
+    """(query_id, answer, verdict) of ``answers`` (query_id, answer) by ``contexts`` (query_id, context); refusals are not judged."""
+    open_ = answers.filter(~is_refusal(F.col("answer"))).join(contexts, "query_id")
+    prompts = open_.select("query_id", F.concat(F.lit("CONTEXT:\n"), "context", F.lit("\n\nANSWER:\n"), "answer").alias("prompt"))
+    verdicts = generate(prompts, model, config.JUDGE_RULES).select("query_id", F.col("answer").alias("verdict"))
+    return open_.select("query_id", "answer").join(verdicts, "query_id")
+
+
+class Found(NamedTuple):
+    """Hits of one query set after each stage, written out: (query_id, rank, id, ...)."""
+
+    fused: DataFrame
+    scored: DataFrame
+
+
+def find(queries: DataFrame, chunks: DataFrame, docs: DataFrame, as_of: Column, logit: Column | None = None) -> Found:
+    """The fused hits of every query, and the reranked ones with source, sub-scores and confidence.
 
-    ``queries`` has query_id, query and vector; ``chunks`` has chunk_id, parent_doc_id, text and embedding.
+    ``queries`` has query_id, query and vector; ``chunks`` has chunk_id, parent_doc_id, text and embedding, and is read
+    more than once, so write it first if it is costly to make. Hits are at most ``FUSED_TOP_K`` per query; up to
+    ``MAX_QUERIES`` queries they are broadcast, so that texts and documents are looked up where they are read.
     """
-    # The hits are at most ``FUSED_TOP_K`` per query of a set whose size is checked; written once and broadcast, they let
-    # texts and documents be looked up where they are read.
-    hits = written(retrieval.hybrid_search(queries, chunks, "chunk_id", "text", "embedding"), "hits")
+    fused = written(retrieval.hybrid_search(queries, chunks, "chunk_id", "text", "embedding"), "fused")
+    few = fused.limit(config.FUSED_TOP_K * retrieval.MAX_QUERIES + 1).count() <= config.FUSED_TOP_K * retrieval.MAX_QUERIES
+    sent = F.broadcast if few else (lambda df: df)
     texts = chunks.select(F.col("chunk_id").alias("id"), "parent_doc_id", "text")
-    hits = written(texts.join(F.broadcast(hits), "id").join(queries.select("query_id", "query"), "query_id"), "texts")
-    docs = docs.join(F.broadcast(hits.select(F.col("parent_doc_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    hits = written(texts.join(sent(fused), "id").join(queries.select("query_id", "query"), "query_id"), "texts")
+    docs = docs.join(sent(hits.select(F.col("parent_doc_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
     reranked = retrieval.rerank(hits, retrieval.lexical_logit(F.col("query"), F.col("text")) if logit is None else logit)
     found = confidence.with_source(reranked, docs)
     found = found.withColumns(confidence.parts(as_of, found))
-    return confidence.with_confidence(found, as_of)
+    return Found(fused, written(confidence.with_confidence(found, as_of), "scored"))
+
+
+def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, as_of: Column, logit: Column | None = None) -> DataFrame:
+    """The reranked hits of every query with source, sub-scores and confidence: (query_id, rank, id, text, ...); see ``find``."""
+    return find(queries, chunks, docs, as_of, logit).scored
+
+
+class Answered(NamedTuple):
+    """Answers, a trace of each query, and the rows to add to the cache."""
+
+    answers: DataFrame
+    traces: DataFrame
+    cache: DataFrame
 
 
 def answer(queries: DataFrame, chunks: DataFrame, docs: DataFrame, as_of: Column, threshold: float = config.CONFIDENCE_THRESHOLD, model: Callable[[], LanguageModel] = Extractive, cached: DataFrame | None = None) -> DataFrame:
-    """(query_id, query, from_cache, answer, citations, context_chunks, usage) of every query.
+    """(query_id, query, from_cache, answer, citations, context_chunks, usage, error) of every query; see ``answer_and_record``."""
+    return answer_and_record(queries, chunks, docs, as_of, threshold, model, cached).answers
+
+
+def answer_and_record(queries: DataFrame, chunks: DataFrame, docs: DataFrame, as_of: Column, threshold: float = config.CONFIDENCE_THRESHOLD, model: Callable[[], LanguageModel] = Extractive, cached: DataFrame | None = None) -> Answered:
+    """Answers to a query set (query_id, query, vector), with what is to be stored of them.
 
-    Living answers of ``cached`` (query_id, result, hit) are used as they are. A query without any chunk over the
-    threshold gets the refusal and never reaches the model.
+    Living answers of ``cached`` (query_id, result, hit) are used as they are. A query without any chunk over the threshold
+    gets the refusal and never reaches the model. A query the model fails on has no answer, its error in the
+    trace, and is not cached. Refusals are cached like answers. The trace names of each stage ids and scores, no texts.
     """
-    asked = queries
+    queries = written(queries.select("query_id", "query", "vector"), "asked")
+    asked, hits = queries, None
     if cached is not None:
-        asked = queries.join(cached.filter("hit").select("query_id"), "query_id", "left_anti")
-    passed = confidence.gate(retrieve(asked, chunks, docs, as_of), threshold)
-    blocks = context_blocks(passed).join(asked.select("query_id", "query"), "query_id").withColumn("prompt", user_prompt(F.col("context"), F.col("query")))
+        hits = written(cached.filter("hit").select("query_id", "result"), "cached")
+        asked = queries.join(hits.select("query_id"), "query_id", "left_anti")
+    fused, scored = find(asked, chunks, docs, as_of)
+    passed = written(confidence.gate(scored, threshold), "passed")
+    blocks = written(context_blocks(passed).join(asked.select("query_id", "query"), "query_id").withColumn("prompt", user_prompt(F.col("context"), F.col("query"))), "prompts")
     replies = generate(blocks, model)
-    made = (
+    made = written(
         asked.select("query_id", "query")
         .join(blocks.select("query_id", "chunks"), "query_id", "left")
         .join(replies, "query_id", "left")
-        .withColumn("chunks", F.coalesce("chunks", F.array().cast("array<struct<position:int,id:string,parent_doc_id:string,source:string,text:string>>")))
+        .withColumn("answer", F.when(F.col("chunks").isNull(), F.lit(config.REFUSAL)).otherwise(F.col("answer")))
+        .withColumn("chunks", F.coalesce("chunks", F.array().cast(CHUNKS)))
         .select(
-            "query_id",
-            "query",
-            F.lit(False).alias("from_cache"),
-            F.coalesce("answer", F.lit(config.REFUSAL)).alias("answer"),
+            "query_id", "query", F.lit(False).alias("from_cache"), "answer",
             map_citations(F.col("answer"), F.col("chunks")).alias("citations"),
             F.transform("chunks", lambda c: F.struct(c["id"].alias("chunk_id"), c["text"].alias("text"))).alias("context_chunks"),
-            "usage",
-        )
-    )
-    if cached is None:
-        return made
-    old = cached.filter("hit").join(queries.select("query_id", "query"), ["query_id"]) if "query" not in cached.columns else cached.filter("hit")
-    whole = old.select(
-        "query_id", "query", F.lit(True).alias("from_cache"), F.col("result.answer").alias("answer"),
-        F.transform("result.citations", lambda c: F.struct(c["marker"].alias("marker"), c["chunk_id"].alias("chunk_id"), F.lit(None).cast("string").alias("parent_doc_id"), F.lit(None).cast("string").alias("source"))).alias("citations"),
-        F.transform("result.context_chunks", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text"))).alias("context_chunks"),
-        F.lit(None).cast("struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>").alias("usage"),
+            "usage", "error", "ms", (F.size("chunks") == 0).alias("gated"),
+        ),
+        "answers",
+    )
+    out = made.drop("ms", "gated")
+    if hits is not None:
+        out = out.unionByName(
+            queries.select("query_id", "query").join(hits, "query_id").select(
+                "query_id", "query", F.lit(True).alias("from_cache"), F.col("result.answer").alias("answer"),
+                F.transform("result.citations", lambda c: F.struct(c["marker"].alias("marker"), c["chunk_id"].alias("chunk_id"), F.lit(None).cast("string").alias("parent_doc_id"), F.lit(None).cast("string").alias("source"))).alias("citations"),
+                F.transform("result.context_chunks", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text"].alias("text"))).alias("context_chunks"),
+                F.lit(None).cast(USAGE).alias("usage"), F.lit(None).cast("string").alias("error"),
+            )
+        )
+    cache = made.filter("error is null").select(
+        cache_key(F.col("query")).alias("cache_key"), "query",
+        F.struct("answer", F.transform("citations", lambda c: F.struct(c["marker"].alias("marker"), c["chunk_id"].alias("chunk_id"))).alias("citations"), "context_chunks").alias("result"),
+        as_of.alias("created_at"),
+    )
+    return Answered(out, traces_of(queries, made, fused, scored, passed, as_of), cache)
+
+
+def snapshot(hits: DataFrame, score: str, order: str, into: str) -> DataFrame:
+    """(query_id, ``into``): ids and scores of the hits of each query in their order, at most as many as a search keeps."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("id").alias("chunk_id"), F.col(score).alias("score"))))
+    return hits.groupBy("query_id").agg(rows.alias("rows")).select("query_id", F.transform("rows", lambda r: F.struct(r["chunk_id"].alias("chunk_id"), r["score"].alias("score"))).cast(SCORES).alias(into))
+
+
+def traces_of(queries: DataFrame, made: DataFrame, fused: DataFrame, scored: DataFrame, passed: DataFrame, as_of: Column) -> DataFrame:
+    """(trace_id, query, started_at, stages, duration_ms, success, error, recorded_at) of every query: the stages are JSON with one key
+    each, in order: cache, retrieval, rerank, confidence, generation, citations; after a hit in the cache it is the last."""
+    none = F.array().cast(SCORES)
+    all_ = queries.select("query_id", "query")
+    for part in (snapshot(fused, "rrf_score", "rank", "retrieval"), snapshot(scored, "rerank_score", "rank", "rerank"), snapshot(passed, "confidence_score", "position", "confidence")):
+        all_ = all_.join(part, "query_id", "left")
+    all_ = all_.join(made.select("query_id", "usage", "citations", "ms", "error", "gated"), "query_id", "left")
+    hit = F.col("gated").isNull()
+    stage = lambda name: F.struct(F.coalesce(name, none).alias("chunks"))
+    generation = F.when(F.col("gated"), F.struct(F.lit(True).alias("skipped"), F.lit("insufficient_evidence").alias("reason"), F.lit(None).cast(USAGE).alias("token_usage"))).otherwise(
+        F.struct(F.lit(None).cast("boolean").alias("skipped"), F.lit(None).cast("string").alias("reason"), F.col("usage").alias("token_usage"))
     )
-    return made.unionByName(whole)
+    done = F.when(F.col("error").isNull(), F.struct(F.coalesce("citations", F.array().cast(CITATIONS)).alias("citations")))
+    whole = F.to_json(F.struct(
+        F.struct(hit.alias("hit")).alias("cache"), stage("retrieval").alias("retrieval"), stage("rerank").alias("rerank"), stage("confidence").alias("confidence"),
+        F.when(F.col("error").isNull(), generation).alias("generation"), done.alias("citations"),
+    ))
+    return all_.select(
+        F.sha2(F.concat_ws("|", F.col("query_id").cast("string"), as_of.cast("string")), 256).alias("trace_id"), "query", as_of.alias("started_at"),
+        F.when(hit, F.to_json(F.struct(F.struct(hit.alias("hit")).alias("cache")))).otherwise(whole).alias("stages"),
+        F.coalesce("ms", F.lit(0.0)).alias("duration_ms"), F.col("error").isNull().alias("success"), "error", as_of.alias("recorded_at"),
+    )

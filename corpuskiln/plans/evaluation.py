@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuskiln import config
 from corpuskiln.functions.scores import weighted
-from corpuskiln.functions.text import is_refusal, verdict_is_none
+from corpuskiln.functions.text import is_refusal, strip, verdict_is_none
 from corpuskiln.operators.confidence import parts
 
 
@@ -122,17 +122,18 @@ def gate_rate(answers: DataFrame, refusal: str = config.REFUSAL) -> DataFrame:
 
 def judged_context(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, context): the text a judge gets: that of the cited chunks in order of markers, or of all context
-    chunks where nothing is cited. ``answers`` has query_id, citations and context_chunks; unknown chunks drop out."""
-    cited = answers.select("query_id", F.posexplode("citations").alias("at", "c")).select("query_id", "at", F.col("c.chunk_id").alias("chunk_id"))
+    chunks where nothing is cited, each without outer space, blank ones left out; a fixed text if none is left.
+    ``answers`` has query_id, citations and context_chunks; a cited chunk that is unknown adds nothing."""
+    cited = answers.select("query_id", F.posexplode("citations").alias("at", "c")).select("query_id", "at", F.col("c.chunk_id").alias("chunk_id")).filter("chunk_id <> ''")
     from_cited = (
-        cited.join(chunks.select("chunk_id", "text"), "chunk_id")
+        cited.join(chunks.select("chunk_id", "text"), "chunk_id", "left")
         .groupBy("query_id")
         .agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"))
-        .select("query_id", F.array_join(F.col("t.text"), "\n\n").alias("cited"))
+        .select("query_id", F.col("t.text").alias("cited"))
     )
-    rest = F.array_join(F.filter(F.col("context_chunks.text"), lambda t: t != ""), "\n\n")
-    bare = F.coalesce(F.size("citations"), F.lit(0)) == 0
-    return answers.join(from_cited, "query_id", "left").select("query_id", F.coalesce(F.when(bare, rest).otherwise(F.col("cited")), F.lit("")).alias("context"))
+    parts = F.filter(F.transform(F.coalesce("cited", "context_chunks.text"), strip), lambda t: t != "")
+    context = F.array_join(parts, "\n\n")
+    return answers.join(from_cited, "query_id", "left").select("query_id", F.when(context != "", context).otherwise(F.lit(config.NO_CHUNKS)).alias("context"))
 
 
 def unsupported_rate(verdicts: DataFrame, refusal: str = config.REFUSAL) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +11,7 @@ from corpuskiln import config
 from corpuskiln.functions.vectors import hashed_terms
 from corpuskiln.operators import chunking, store
 from corpuskiln.sources import files
-from corpuskiln.tables import written
+from corpuskiln.tables import hadoop_path, read_if_any, written
 
 DOCS = f"doc_id string, content string, metadata {files.METADATA}"
 CHUNKS = f"chunk_id string, parent_doc_id string, chunk_index int, text string, metadata {files.METADATA}, embedding array<double>"
@@ -25,11 +24,8 @@ class Store:
         self.spark, self.folder = spark, folder
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        local = path.removeprefix("file://")
-        if "://" not in local and not os.path.isdir(local):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        self._finish_healing()
+        return read_if_any(self.spark, f"{self.folder}/{name}", schema)
 
     def docs(self) -> DataFrame:
         return self._read("docs", DOCS)
@@ -44,12 +40,27 @@ class Store:
         docs.write.mode("append").parquet(f"{self.folder}/docs")
 
     def healed(self) -> None:
-        """Rewrites docs without those that have no chunks, and chunks without those that have no document."""
+        """Rewrites docs without those that have no chunks, and chunks without those that have no document. The new folders
+        are written whole before they take the place of the old ones, which a later reader completes if it is interrupted."""
         docs, chunks = self.docs(), self.chunks()
-        kept = written(store.without_orphans(docs, chunks), "docs")
-        with_parent = written(chunks.join(docs.select(F.col("doc_id").alias("parent_doc_id")), "parent_doc_id", "left_semi").dropDuplicates(["chunk_id"]).select(*chunks.columns), "chunks")
-        kept.write.mode("overwrite").parquet(f"{self.folder}/docs")
-        with_parent.write.mode("overwrite").parquet(f"{self.folder}/chunks")
+        kept = store.without_orphans(docs, chunks)
+        with_parent = chunks.join(docs.select(F.col("doc_id").alias("parent_doc_id")), "parent_doc_id", "left_semi").dropDuplicates(["chunk_id"]).select(*chunks.columns)
+        with_parent.write.mode("overwrite").parquet(f"{self.folder}/_next/chunks")
+        kept.write.mode("overwrite").parquet(f"{self.folder}/_next/docs")
+        files_, whole = hadoop_path(self.spark, f"{self.folder}/_whole")
+        files_.mkdirs(whole)
+        self._finish_healing()
+
+    def _finish_healing(self) -> None:
+        files_, whole = hadoop_path(self.spark, f"{self.folder}/_whole")
+        if not files_.exists(whole):
+            return
+        for name in ("chunks", "docs"):
+            (_, new), (_, old) = hadoop_path(self.spark, f"{self.folder}/_next/{name}"), hadoop_path(self.spark, f"{self.folder}/{name}")
+            if files_.exists(new):
+                files_.delete(old, True)
+                files_.rename(new, old)
+        files_.delete(whole, True)
 
 
 def ingest(
@@ -89,7 +100,7 @@ def ingest_folder(spark: SparkSession, folder: str, into: Store, processed_at: C
 
 def ingest_file(spark: SparkSession, path: str, into: Store, processed_at: Column | None = None, **options) -> DataFrame:
     """The same for one file; raises FileNotFoundError if it is none."""
-    if not os.path.isfile(path):
+    if not hadoop_path(spark, path)[0].isFile(hadoop_path(spark, path)[1]):
         raise FileNotFoundError(path)
     one = spark.read.format("binaryFile").load(path).select(F.lit(path).alias("path"), "content")
     return ingest(files.documents(one, processed_at if processed_at is not None else F.current_timestamp()), into, **options)

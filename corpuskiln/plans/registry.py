@@ -14,6 +14,7 @@ from corpuskiln.functions import scores, text, vectors
 from corpuskiln.operators import chunking, confidence, retrieval, store
 
 from corpuskiln.plans import answering, evaluation
+from corpuskiln.sources import files
 from corpuskiln.tables import read, written
 
 AS_OF = "2024-03-01 00:00:00"
@@ -21,6 +22,7 @@ DIMS = 64
 #: how the stored answers say that there is no evidence
 STORED_REFUSAL = "I don't have enough grounded context for that."
 PROBE = "cup in"
+CAUGHT_PROBE = "stew"
 
 
 def as_of():
@@ -29,7 +31,7 @@ def as_of():
 
 def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """One row per chunk_id, the newest."""
-    return store.latest(read(spark, folder, "chunks"), "chunk_id", F.col("metadata.processed_at"))
+    return store.latest_of_few(read(spark, folder, "chunks"), "chunk_id", F.col("metadata.processed_at"))
 
 
 def asked(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,8 +44,10 @@ def asked(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def encoded_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Stored chunks with the offline encoder's vectors in place of the stored ones, so that queries can be compared."""
-    return stored_chunks(spark, folder).withColumn("embedding", vectors.hashed_terms(F.col("text"), DIMS))
+    """Stored chunks with the offline encoder's vectors in place of the stored ones, so that queries can be compared;
+    written once, as searches read them more than once."""
+    chunks = stored_chunks(spark, folder).select("chunk_id", "parent_doc_id", "text")
+    return written(chunks.withColumn("embedding", vectors.hashed_terms(F.col("text"), DIMS)), "encoded")
 
 
 def bm25_topk(spark, folder):
@@ -136,7 +140,7 @@ def cache_keys(spark, folder):
 
 def cache_lookup(spark, folder):
     """Every query of the traces looked up in the cache, with a lifetime of sixty days."""
-    queries = read(spark, folder, "traces").filter("query is not null").select(F.col("trace_id").alias("query_id"), "query").dropDuplicates(["query_id"])
+    queries = read(spark, folder, "traces").filter("query is not null").groupBy(F.col("trace_id").alias("query_id")).agg(F.min("query").alias("query"))
     found = store.cached_answers(queries, read(spark, folder, "query_cache"), as_of(), 60 * 86400)
     return found.select("query_id", "cache_key", "hit", F.col("result.answer").alias("answer"))
 
@@ -184,7 +188,9 @@ def ingest_status(spark, folder):
 def html_extract(spark, folder):
     """Documents set as pages, with escaped text, a title, a script and a style, and read back."""
     docs = read(spark, folder, "docs")
-    escaped = F.replace(F.replace(F.replace("content", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    escaped = F.col("content")
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("é", "&eacute;"), ("ü", "&#252;"), ("ö", "&#xF6;"), ("’", "&rsquo;"), ("—", "&mdash;"), ("€", "&euro;")):
+        escaped = F.replace(escaped, F.lit(char), F.lit(entity))
     page = F.concat(
         F.lit("<!DOCTYPE html><html><head><title> T "), F.col("doc_id"), F.lit(" </title><style>p { x: 1 }</style><script>if (a < b) { c(); }</script></head><body><!-- menu --><h1>&copy; x</h1><p class='a'>"),
         F.replace(escaped, F.lit("\n"), F.lit("</p><p>")), F.lit("</p></body></html>"),
@@ -245,7 +251,11 @@ def weight_sweep(spark, folder):
 
 
 def weight_selected(spark, folder):
-    return evaluation.selected_scheme(evaluation.weight_sweep(asked(spark, folder), _found(spark, folder), PROBE), 30).select("scheme", F.round("threshold", 6).alias("threshold"))
+    """The scheme that passes all genuine queries that any scheme passes and catches a probe: here another probe than
+    that of the sweep, one that a scheme catches."""
+    swept = written(evaluation.weight_sweep(asked(spark, folder), _found(spark, folder), CAUGHT_PROBE), "swept")
+    most = swept.agg(F.max("genuine_passed")).first()[0] or 0
+    return evaluation.selected_scheme(swept, most).select("scheme", F.round("threshold", 6).alias("threshold"))
 
 
 def confidence_extremes(spark, folder):
@@ -289,9 +299,63 @@ def trace_stages(spark, folder):
 def answer_batch(spark, folder):
     """Answers to the evaluation, the adversarial and all cached queries, living cached answers reused."""
     log = store.latest(read(spark, folder, "query_cache"), "cache_key", F.col("created_at"), F.col("query"))
-    cached = written(store.cached_answers(asked(spark, folder).select("query_id", "query"), log, as_of(), 60 * 86400), "cached")
-    out = answering.answer(asked(spark, folder), written(encoded_chunks(spark, folder), "encoded"), read(spark, folder, "docs"), as_of(), cached=cached)
-    return out.select("query_id", "query", "from_cache", "answer", "citations", "context_chunks", "usage")
+    again = log.select(F.col("cache_key").alias("query_id"), "query", vectors.hashed_terms(F.col("query"), DIMS).alias("vector"))
+    queries = written(asked(spark, folder).select("query_id", "query", "vector").unionByName(again), "queries")
+    cached = store.cached_answers(queries.select("query_id", "query"), log, as_of(), 60 * 86400)
+    out = answering.answer(queries, encoded_chunks(spark, folder), read(spark, folder, "docs"), as_of(), cached=cached)
+    return out.select("query_id", "query", "from_cache", "answer", "citations", "context_chunks", "usage", "error")
+
+
+def _recorded(spark, folder) -> answering.Answered:
+    return answering.answer_and_record(asked(spark, folder), encoded_chunks(spark, folder), read(spark, folder, "docs"), as_of())
+
+
+def answer_traces(spark, folder):
+    """The traces of answering the evaluation and the adversarial queries: the ids of each stage, in order."""
+    traces = _recorded(spark, folder).traces
+    chunk = "struct<chunks:array<struct<chunk_id:string>>>"
+    stages = F.from_json("stages", f"cache struct<hit:boolean>, retrieval {chunk}, rerank {chunk}, confidence {chunk}, generation struct<skipped:boolean>")
+    ids = [F.array_join(stages[s]["chunks"]["chunk_id"], "|").alias(s) for s in ("retrieval", "rerank", "confidence")]
+    return traces.select("query", stages["cache"]["hit"].alias("hit"), *ids, F.coalesce(stages["generation"]["skipped"], F.lit(False)).alias("skipped"), "success")
+
+
+def answer_cache(spark, folder):
+    """The cache after these answers are added to it: whether an answer is a refusal, and its context."""
+    cache = store.upserted(read(spark, folder, "query_cache"), _recorded(spark, folder).cache)
+    return cache.select("cache_key", "created_at", text.is_refusal(F.col("result.answer")).alias("refused"), F.array_join("result.context_chunks.chunk_id", "|").alias("context"))
+
+
+def grounded_answers(spark, folder):
+    """Answers to the evaluation and the adversarial queries, and the chunk each cites."""
+    answers = _recorded(spark, folder).answers
+    return answers.select("query", "answer", F.array_join("citations.chunk_id", "|").alias("cited"))
+
+
+def loaded_files(spark, folder):
+    """Documents set as files, some of an unsupported type, and loaded again."""
+    suffix = F.when(F.col("metadata.file_type") == "txt", "txt").when(F.col("metadata.file_type") == "md", "xyz").otherwise("TXT")
+    raw = read(spark, folder, "docs").select(F.concat_ws(".", "doc_id", suffix).alias("path"), F.col("content").cast("binary").alias("content"))
+    return files.documents(raw, as_of()).select("doc_id", "metadata.source_file", "metadata.file_type", "status", "reason", "content")
+
+
+def article_filter(spark, folder):
+    """Documents as articles whose title has a wanted word."""
+    titled = read(spark, folder, "docs").select("doc_id", F.col("metadata.custom")["title"].alias("title"), "content")
+    words = (*config.TITLE_KEYWORDS, "kernel", "protocol", "model", "heap")
+    return files.matching_articles(titled, "doc_id", "title", "content", 10**9, 10**9, words)
+
+
+def question_cleanup(spark, folder):
+    """The traces' queries in quotation marks, as a model returns questions, and without them."""
+    asked_ = read(spark, folder, "traces").filter("query is not null")
+    return asked_.select("trace_id", text.clean_question(F.concat(F.lit('"'), "query", F.lit('" '))).alias("question")).distinct()
+
+
+def adversarial_gate(spark, folder):
+    """Share of the adversarial queries that are refused when answered."""
+    adversarial = asked(spark, folder).filter("label = 'adversarial'")
+    answers = answering.answer(adversarial, encoded_chunks(spark, folder), read(spark, folder, "docs"), as_of())
+    return evaluation.gate_rate(answers).withColumn("gate_rate", F.round("gate_rate", 9))
 
 
 def chunk_vectors(spark, folder):
@@ -313,7 +377,7 @@ QUERIES = {
         bm25_topk, knn_topk, rrf_fusion, hybrid_search, lexical_rerank, confidence_gate, best_chunk, source_lookup, sub_scores, citation_map, refusal_flag, gate_rate, context_prompt, doc_identity,
         cache_keys, cache_lookup, cache_upsert, ttl_expire, dedup_anti, orphan_docs, healed_docs, chunk_counts, ingest_status, html_extract, title_keyword_filter, wiki_docs, fixed_window_chunks,
         recursive_chunks, longest_chunk, title_from_text, recall_at_k, threshold_sweep, threshold_recommend, weight_sweep, weight_selected, confidence_extremes, judged_context, unsupported_rate,
-        hash_sample_docs, trace_rollup, trace_stages, answer_batch, chunk_vectors, index_postings,
+        hash_sample_docs, trace_rollup, trace_stages, answer_batch, answer_traces, answer_cache, grounded_answers, adversarial_gate, loaded_files, article_filter, question_cleanup, chunk_vectors, index_postings,
     )
 }
 from corpuskiln.plans.registry_sql import SQL  # noqa: E402, F401

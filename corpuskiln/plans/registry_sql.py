@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpuskiln import config
+
 AS_OF = "TIMESTAMPTZ '2024-03-01 00:00:00+00'"
 REFUSED = "i don''t have enough grounded context for that."
 
@@ -81,10 +83,10 @@ swept AS (SELECT scheme, position, round(threshold, 6) AS threshold,
 CITED = r"list_distinct(list_transform(regexp_extract_all(result.answer, '[\[【](\d+)[^\]】]*[\]】]', 1), lambda m: try_cast(m AS INT)))"
 JUDGED = f"""{LATEST_CACHE}, {LATEST_CHUNKS},
 answers AS (SELECT cache_key AS query_id, result.answer AS answer, result.citations AS citations, result.context_chunks AS context_chunks FROM newest WHERE result IS NOT NULL),
-cited AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS cited FROM (
-    SELECT query_id, unnest(citations).chunk_id AS chunk_id, generate_subscripts(citations, 1) AS pos FROM answers) JOIN latest USING (chunk_id) GROUP BY query_id),
-contexts AS (SELECT query_id, answer, coalesce(CASE WHEN coalesce(len(citations), 0) = 0
-    THEN array_to_string(list_filter(list_transform(context_chunks, lambda c: c.text), lambda t: t <> ''), chr(10) || chr(10)) ELSE cited END, '') AS context
+cited AS (SELECT query_id, list(text ORDER BY pos) AS cited FROM (
+    SELECT query_id, unnest(citations).chunk_id AS chunk_id, generate_subscripts(citations, 1) AS pos FROM answers) LEFT JOIN latest USING (chunk_id) WHERE chunk_id <> '' GROUP BY query_id),
+contexts AS (SELECT query_id, answer, coalesce(nullif(array_to_string(list_filter(list_transform(coalesce(cited, list_transform(context_chunks, lambda c: c.text)),
+      lambda t: regexp_replace(t, '^\\s+|\\s+$', '', 'g')), lambda t: t <> ''), chr(10) || chr(10)), ''), '{config.NO_CHUNKS}') AS context
   FROM answers LEFT JOIN cited USING (query_id))"""
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -99,14 +101,15 @@ def title(x: str) -> str:
     return TITLE.format(x)
 
 
-KEYWORDS = "|".join(
-    (
-        "algorithm", "programming language", "compiler", "operating system", "computer network", "database", "data structure", "software engineering", "machine learning", "artificial intelligence",
-        "cryptography", "distributed system", "computer architecture", "cybersecurity", "web development", "computer vision", "natural language processing", "version control", "api", "microservice",
-        "cloud computing", "computer science", "programming", "source code", "computer program", "information retrieval", "search engine", "computer graphics", "embedded system", "computer hardware",
-        "internet protocol", "virtual machine", "container", "open source software", "linux", "javascript", "java", "sql", "kernel", "protocol", "model", "heap",
-    )
-)
+KEYWORDS = "|".join((*config.TITLE_KEYWORDS, "kernel", "protocol", "model", "heap"))
+
+
+def refused(answer: str, text: str) -> str:
+    return rf"coalesce(lower(trim(regexp_replace({answer}, '\s+', ' ', 'g'))) = '{text}', false)"
+
+
+PASSED = """passed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence_score DESC, rank) AS position FROM scored WHERE confidence_score >= 0.515::DOUBLE),
+contexts AS (SELECT query_id, string_agg(id, '|' ORDER BY position) AS context, arg_min(id, position) AS first FROM passed GROUP BY query_id)"""
 
 SQL = {
     "bm25_topk": f"WITH {ASKED}, {LATEST_CHUNKS}, {BM25} SELECT query_id, id, score, rank::INT AS rank FROM keyword",
@@ -174,13 +177,35 @@ SQL = {
     "threshold_recommend": f"""{BEST}, low AS (SELECT greatest(min(best) - 0.01::DOUBLE, 0) AS threshold FROM best WHERE label = 'genuine')
       SELECT round(threshold, 6) AS threshold, count(*) FILTER (label = 'adversarial' AND (best IS NULL OR best < threshold)) AS gated, count(*) FILTER (label = 'adversarial' AND (best IS NULL OR best < threshold)) >= 3 AS accepted FROM best, low GROUP BY threshold""",
     "weight_sweep": f"{FOUND}, {WEIGHTS} SELECT scheme, position::INT AS position, threshold, genuine_passed, adversarial_gated, probe_caught FROM swept",
-    "weight_selected": f"{FOUND}, {WEIGHTS} SELECT scheme, threshold FROM swept WHERE scheme IN ('B_mild', 'C_stronger', 'D_aggressive') AND genuine_passed = 30 AND probe_caught ORDER BY position LIMIT 1",
+    "weight_selected": f"{FOUND}, {WEIGHTS} SELECT scheme, threshold FROM swept WHERE scheme IN ('B_mild', 'C_stronger', 'D_aggressive') AND genuine_passed = (SELECT max(genuine_passed) FROM swept) AND probe_caught ORDER BY position LIMIT 1".replace("cup in", "stew"),
     "confidence_extremes": f"""{BEST} (SELECT query_id, label, best FROM best WHERE label = 'genuine' ORDER BY best ASC NULLS LAST, query_id LIMIT 6)
       UNION ALL (SELECT query_id, label, best FROM best WHERE label = 'adversarial' ORDER BY best DESC NULLS LAST, query_id LIMIT 6)""",
     "judged_context": f"WITH {JUDGED} SELECT query_id, context FROM contexts",
     "unsupported_rate": rf"""WITH {JUDGED}, j AS (SELECT list_bool_and(list_transform(regexp_extract_all(regexp_replace(answer, '\[\d+\]', '', 'g'), '\d+'), lambda n: contains(context, n))) AS ok FROM contexts
         WHERE NOT coalesce(lower(trim(regexp_replace(answer, '\s+', ' ', 'g'))) = '{REFUSED}', false))
       SELECT count(*) AS judged, count(*) FILTER (NOT coalesce(ok, true)) AS flagged, round(count(*) FILTER (NOT coalesce(ok, true)) / count(*)::DOUBLE, 9) AS rate FROM j""",
+    "answer_traces": f"""{FOUND}, {PASSED},
+      r AS (SELECT query_id, string_agg(id, '|' ORDER BY rank) AS retrieval FROM hybrid GROUP BY query_id), t AS (SELECT query_id, string_agg(id, '|' ORDER BY rank) AS rerank FROM top GROUP BY query_id)
+      SELECT query, false AS hit, coalesce(retrieval, '') AS retrieval, coalesce(rerank, '') AS rerank, coalesce(context, '') AS confidence, context IS NULL AS skipped, true AS success
+      FROM asked LEFT JOIN r USING (query_id) LEFT JOIN t USING (query_id) LEFT JOIN contexts USING (query_id)""",
+    "answer_cache": f"""{FOUND}, {PASSED}, written AS (
+        SELECT cache_key, query, created_at, {refused("result.answer", config.REFUSAL.lower())} AS refused, array_to_string(list_transform(result.context_chunks, lambda c: c.chunk_id), '|') AS context FROM query_cache
+        UNION ALL SELECT sha256({strip("lower(query)")}), query, {AS_OF}, context IS NULL, coalesce(context, '') FROM asked LEFT JOIN contexts USING (query_id))
+      SELECT cache_key, created_at, refused, context FROM written QUALIFY row_number() OVER (PARTITION BY cache_key ORDER BY created_at DESC NULLS LAST, query) = 1""",
+    "adversarial_gate": f"""{FOUND}, {PASSED} SELECT count(*) AS answers, count(*) FILTER (context IS NULL) AS refusals, round(count(*) FILTER (context IS NULL) / count(*)::DOUBLE, 9) AS gate_rate
+      FROM asked LEFT JOIN contexts USING (query_id) WHERE label = 'adversarial'""",
+    "grounded_answers": f"""{FOUND}, {PASSED} SELECT query, CASE WHEN first IS NULL THEN '{config.REFUSAL}' ELSE rtrim(split_part(split_part({strip("text")}, chr(10), 1), '. ', 1), '.') || '. [1]' END AS answer, coalesce(first, '') AS cited
+      FROM asked LEFT JOIN contexts USING (query_id) LEFT JOIN latest ON chunk_id = first""",
+    "loaded_files": f"""WITH h AS (SELECT *, CASE metadata.file_type WHEN 'txt' THEN 'txt' WHEN 'md' THEN 'xyz' ELSE 'TXT' END AS suffix FROM docs),
+      i AS (SELECT doc_id AS stem, suffix, content, regexp_extract_all(hex(encode(content)), '..') AS x FROM h)
+      SELECT sha256(unhex(hex(encode(stem || '.' || suffix || '::')) || array_to_string(list_transform(x, lambda b: CASE WHEN b < '8' THEN b WHEN b < 'C' THEN 'C2' || b ELSE 'C3' || translate(b[1], 'CDEF', '89AB') || b[2] END), ''))) AS doc_id,
+        stem || '.' || suffix AS source_file, CASE WHEN suffix <> 'xyz' THEN 'txt' END AS file_type,
+        CASE WHEN suffix = 'xyz' OR {strip("content")} = '' THEN 'failed' ELSE 'loaded' END AS status,
+        CASE WHEN suffix = 'xyz' THEN 'unsupported type: .xyz' WHEN {strip("content")} = '' THEN 'empty' END AS reason,
+        CASE WHEN suffix <> 'xyz' AND {strip("content")} <> '' THEN content END AS content FROM i""",
+    "article_filter": rf"""WITH t AS (SELECT doc_id, metadata.custom['title'] AS title, content FROM docs)
+      SELECT doc_id AS id, 'Title: ' || title || chr(10) || chr(10) || content AS article FROM t WHERE {strip("content")} <> '' AND regexp_matches(title, '(?i)\b(?:{KEYWORDS})s?\b')""",
+    "question_cleanup": f"""SELECT DISTINCT trace_id, regexp_replace(regexp_replace({strip("'\"' || query || '\" '")}, '^\"+|\"+$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS question FROM traces WHERE query IS NOT NULL""",
     "hash_sample_docs": "SELECT doc_id, sha256('42:' || doc_id) AS place FROM docs WHERE contains(metadata.source_file, 'wiki_') ORDER BY place LIMIT 30",
     "trace_rollup": f"""WITH {LATEST_TRACES} SELECT lower({strip("query")}) AS query, count(*) AS runs, count(*) FILTER (NOT success) AS failures, round(avg(duration_ms) FILTER (duration_ms >= 0), 9) AS mean_ms,
       count(*) FILTER (CASE WHEN json_valid(stages) THEN json_extract_string(stages, '$.cache.hit') END = 'true') AS cache_hits FROM newest GROUP BY 1""",

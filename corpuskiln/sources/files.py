@@ -108,7 +108,10 @@ def documents(files: DataFrame, processed_at: Column, reader=_pdf_reader) -> Dat
 def json_lines(spark: SparkSession, path: str, schema: str = EVAL_SCHEMA, limit: int | None = None) -> DataFrame:
     """Rows of a JSON-lines file; blank lines are skipped, the first ``limit`` are kept if given."""
     rows = spark.read.schema(schema).json(path).dropna("all")
-    return rows if limit is None else rows.limit(limit)
+    if limit is None:
+        return rows
+    place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.orderBy(*place).limit(limit)
 
 
 def write_json_lines(df: DataFrame, path: str, force: bool = False, least: int = config.EVAL_MIN_ROWS) -> bool:
@@ -128,7 +131,8 @@ def write_json_lines(df: DataFrame, path: str, force: bool = False, least: int =
 def matching_articles(articles: DataFrame, id_col: str, title_col: str, text_col: str, target: int = config.SEED_TARGET, max_scan: int = config.SEED_MAX_SCAN, keywords: tuple[str, ...] = config.TITLE_KEYWORDS) -> DataFrame:
     """(id, article): the first ``target`` articles, of the first ``max_scan`` by id, whose title has a keyword and
     whose text is not blank, as 'Title: ...', an empty line and the text."""
-    scanned = articles.orderBy(id_col).limit(max_scan)
+    last = articles.select(id_col).orderBy(id_col).limit(max_scan).agg(F.max(id_col)).first()[0]  # ids alone are sorted
+    scanned = articles.filter(F.col(id_col) <= F.lit(last))
     wanted = scanned.filter(text.title_matches(F.col(title_col), keywords) & text.not_blank(F.col(text_col))).orderBy(id_col).limit(target)
     return wanted.select(F.col(id_col).alias("id"), F.concat(F.lit("Title: "), title_col, F.lit("\n\n"), text_col).alias("article"))
 
@@ -156,9 +160,11 @@ def evaluation_sample(docs: DataFrame, rows: int = config.EVAL_SAMPLE, pattern:
     return hash_sample(docs.filter(F.col("metadata.source_file").rlike(pattern)), F.col("doc_id"), rows, config.SAMPLE_SEED)
 
 
-def report(metrics: DataFrame, title: str) -> str:
-    """A Markdown table of a small table of figures."""
-    rows = metrics.limit(1000).collect()
+def report(metrics: DataFrame, title: str, most: int = 1000) -> str:
+    """A Markdown table of a small table of figures; raises ValueError beyond ``most`` rows."""
+    rows = metrics.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
     head = "| " + " | ".join(metrics.columns) + " |\n|" + "---|" * len(metrics.columns)
     show = lambda v: f"{v:.4f}" if isinstance(v, float) else str(v)
     return f"# {title}\n\n{head}\n" + "".join("| " + " | ".join(map(show, r)) + " |\n" for r in rows)

@@ -2,27 +2,57 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+_own: dict[str, str] = {}
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def read_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet files of a folder on any file system; no rows where it does not exist."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a path or URL as the cluster knows it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share.
+    """A folder of this application in the one that all executors share; deleted when the program ends.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    a temporary folder takes its place for the rest of the session.
+    A cluster names the shared folder in ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a
+    temporary one takes its place.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="corpuskiln-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    application = spark.sparkContext.applicationId
+    if application not in _own:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpuskiln-")
+        _own[application] = f"{shared.rstrip('/')}/corpuskiln-{application}"
+        atexit.register(drop_written, spark)
+    return _own[application]
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes all that ``written`` wrote; what reads it is of no use afterwards."""
+    try:
+        files, path = hadoop_path(spark, _own[spark.sparkContext.applicationId])
+        files.delete(path, True)
+    except Exception:  # the session is stopped: the cluster clears its folder
+        return
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

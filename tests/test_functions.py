@@ -120,3 +120,9 @@ def test_waiting_and_retries():
 def test_extractive_model():
     reply, usage = Extractive().complete("", "Context:\n[1] First one. More.\n[2] x\n\nQuestion: q")
     assert reply == "First one. [1]" and usage["total_tokens"] == usage["prompt_tokens"] + usage["completion_tokens"]
+
+
+def test_entities(spark):
+    page = "<p>caf&eacute; &#8217;x&#x27; a&nbsp;b &mdash; 5 &euro; &amp;lt; &copy 2 AT&T &unknown; &lt;b&gt;</p>"
+    assert one(spark, text.html_text(F.lit(page))) == "café ’x' a\xa0b — 5 € &lt; © 2 AT&T &unknown; <b>"
+    assert one(spark, text.snippet(F.lit("x" * 200))) == "x" * 180

@@ -1,3 +1,7 @@
+import json
+import math
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,8 +39,6 @@ def test_keyword_search(spark):
     got = [(r["query_id"], r["id"], r["rank"]) for r in retrieval.keyword_search(queries, docs, "id").orderBy("query_id", "rank").collect()]
     assert got == [(1, "a", 1), (1, "b", 2)]
     assert retrieval.keyword_search(queries, docs.limit(0), "id").count() == 0
-    with pytest.raises(ValueError, match="queries"):
-        retrieval.small(queries, 2)
 
 
 def test_vector_search_skips_unusable(spark):
@@ -123,3 +125,122 @@ def test_hash_sample(spark):
     a, b = hash_sample(df, F.col("id"), 50), hash_sample(df.repartition(7), F.col("id"), 50)
     assert sorted(a.collect()) == sorted(b.collect()) and a.count() == 50
     assert hash_sample(df.limit(0), F.col("id"), 5).count() == 0
+
+
+def packed_one_by_one(parts, size, overlap):
+    """The packing written out token by token: a chunk closes before the part that does not fit."""
+    out, chunk, waiting = [], [], [list(p) for p in parts]
+    while waiting:
+        part = waiting.pop(0)
+        if len(chunk) + len(part) <= size:
+            chunk += part
+            continue
+        out.append(chunk)
+        chunk = chunk[-overlap:] if overlap else []
+        room = size - len(chunk)
+        chunk = chunk + part[:room]
+        if part[room:]:
+            waiting.insert(0, part[room:])
+    return [*out, chunk]
+
+
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=30), st.integers(0, 11))
+def test_packing_against_tokens(lengths, overlap):
+    tokens = iter(range(sum(lengths)))
+    parts = [[next(tokens) for _ in range(n)] for n in lengths]
+    every = [t for p in parts for t in p]
+    assert [every[a:b] for a, b in chunking.pack_windows(lengths, 12, overlap)] == packed_one_by_one(parts, 12, overlap)
+
+
+def test_a_chunk_shorter_than_the_overlap_is_kept_whole():
+    text = " ".join(["w"] * 30) + "\n\n" + " ".join(["v"] * 490)
+    pieces = [chunking.plain_tokens(p) for p in chunking.recursive_pieces(text, 500, 50, lambda t: re.findall(r"\S", t), "".join)]
+    assert [len(p) for p in map("".join, pieces)] == [30, 500, 70]
+
+
+def test_vector_search_over_many_batches(spark):
+    """The best of a task are kept over its batches, ties included."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(400).select("id", F.array(F.cos(F.col("id") % 90), F.sin(F.col("id") % 90)).alias("v"))
+        queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "query_id int, vector array<double>")
+        got = [(r["query_id"], r["id"]) for r in retrieval.vector_search(queries, rows, "id", "v", 9).orderBy("query_id", "rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    angle = {1: lambda k: math.cos(k % 90), 2: lambda k: math.sin(k % 90)}
+    assert got == [(q, k) for q in (1, 2) for k in sorted(range(400), key=lambda k: (-round(angle[q](k), 6), k))[:9]]
+
+
+def test_searches_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"word{k % 7} and word{k % 5}") for k in range(40)], "id int, text string")
+    queries = spark.createDataFrame([(k, f"word{k}") for k in range(7)], "query_id int, query string")
+    whole = sorted(map(tuple, retrieval.keyword_search(queries, docs, "id").collect()))
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 2)
+    assert sorted(map(tuple, retrieval.keyword_search(queries, docs, "id").collect())) == whole and whole
+
+
+def test_latest_of_few(spark):
+    rows = [("a", 1, "old"), ("a", 2, "new"), ("b", 1, "only"), (None, 1, "x"), (None, 2, "y"), ("c", None, "n"), ("c", 0, "z")]
+    df = spark.createDataFrame(rows, "k string, at int, v string")
+    got = {tuple(r) for r in store.latest_of_few(df, "k", F.col("at")).collect()}
+    assert got == {tuple(r) for r in store.latest(df, "k", F.col("at")).collect()} == {("a", 2, "new"), ("b", 1, "only"), (None, 2, "y"), ("c", 0, "z")}
+    assert store.latest_of_few(df.limit(0), "k", F.col("at")).count() == 0
+
+
+def test_answers_are_traced_and_cached(spark):
+    class Moody:
+        """Fails on one question."""
+
+        def complete(self, system, user):
+            if "bad" in user:
+                raise RuntimeError("no reply")
+            return "It holds trees [1].", {"prompt_tokens": 3, "completion_tokens": 4, "total_tokens": 7}
+
+    chunks = spark.createDataFrame([("d:0", "d", "a heap holds good trees", [1.0, 0.0]), ("d:1", "d", "a list is bad", [0.0, 1.0])], "chunk_id string, parent_doc_id string, text string, embedding array<double>")
+    docs = spark.createDataFrame([("d", ("raw/wiki_1.txt",))], "doc_id string, metadata struct<source_file:string>")
+    queries = spark.createDataFrame([(1, "good trees", [1.0, 0.0]), (2, "bad list", [0.0, 1.0]), (3, "unknown", [0.0, 0.0]), (4, "old one", [0.0, 0.0])], "query_id int, query string, vector array<double>")
+    cached = queries.select("query_id", F.expr("named_struct('answer', 'kept', 'citations', array(named_struct('marker', 1, 'chunk_id', 'x')), 'context_chunks', array(named_struct('chunk_id', 'x', 'text', 't')))").alias("result"), (F.col("query_id") == 4).alias("hit"))
+    at = F.to_timestamp(F.lit("2024-01-01"))
+    done = answering.answer_and_record(queries, chunks, docs, at, model=Moody, cached=cached)
+    answers = {r["query_id"]: r for r in done.answers.collect()}
+    assert answers[1]["answer"] == "It holds trees [1]." and answers[1]["citations"][0]["chunk_id"] == "d:0" and answers[1]["usage"]["total_tokens"] == 7
+    assert answers[2]["answer"] is None and answers[2]["error"] == "no reply"
+    assert answers[3]["answer"] == config.REFUSAL and answers[3]["context_chunks"] == [] and answers[4]["from_cache"] and answers[4]["answer"] == "kept"
+    traces = {r["query"]: r for r in done.traces.collect()}
+    stages = {q: json.loads(r["stages"]) for q, r in traces.items()}
+    assert len(traces) == 4 and stages["old one"] == {"cache": {"hit": True}}
+    assert list(stages["good trees"]) == ["cache", "retrieval", "rerank", "confidence", "generation", "citations"] and stages["good trees"]["generation"]["token_usage"]["total_tokens"] == 7
+    assert [c["chunk_id"] for c in stages["good trees"]["retrieval"]["chunks"]] == ["d:0", "d:1"] and "text" not in traces["good trees"]["stages"]
+    assert stages["unknown"]["generation"] == {"skipped": True, "reason": "insufficient_evidence"} and stages["unknown"]["citations"] == {"citations": []}
+    assert traces["bad list"]["success"] is False and traces["bad list"]["error"] == "no reply" and "generation" not in stages["bad list"]
+    assert {r["query"] for r in done.cache.collect()} == {"good trees", "unknown"}
+
+
+def test_questions_and_judge(spark):
+    class Judge:
+        def complete(self, system, user):
+            return ("none." if "trees" in user.partition("ANSWER")[2] else "It is bad.") if system == config.JUDGE_RULES else '"What holds trees?"', {}
+
+    passages = spark.createDataFrame([(1, "a heap holds trees")], "query_id int, text string")
+    assert [tuple(r) for r in answering.ask_questions(passages, Judge).collect()] == [(1, "What holds trees?")]
+    answers = spark.createDataFrame([(1, "trees"), (2, "bad"), (3, config.REFUSAL)], "query_id int, answer string")
+    contexts = spark.createDataFrame([(k, "c") for k in (1, 2, 3)], "query_id int, context string")
+    rate = evaluation.unsupported_rate(answering.judge(answers, contexts, Judge)).first()
+    assert (rate["judged"], rate["flagged"], rate["rate"]) == (2, 1, 0.5)
+
+
+def test_dates_as_text(spark):
+    df = spark.createDataFrame([("2999-01-01",), ("20150101",), ("soon",), (None,)], "date string").selectExpr("date", "null as source", "null as retrieved_by", "null as rerank_score")
+    df = df.withColumns({"source": F.lit("x"), "retrieved_by": F.array(F.lit("keyword")), "rerank_score": F.lit(0.0)})
+    from corpuskiln.operators import confidence
+
+    got = [r["f"] for r in df.select(confidence.parts(F.to_timestamp(F.lit("2024-01-01")), df)["freshness"].alias("f")).collect()]
+    assert got[0] == 1.0 and got[1] < 0.05 and got[2] == got[3] == 0.3
+
+
+def test_context_for_a_judge(spark):
+    chunks = spark.createDataFrame([("a", " one "), ("b", "\n")], "chunk_id string, text string")
+    kind = "query_id int, citations array<struct<marker:int,chunk_id:string>>, context_chunks array<struct<chunk_id:string,text:string>>"
+    rows = [(1, [(1, "a"), (2, "b")], []), (2, [], [("x", " t "), ("y", "")]), (3, [(1, "gone")], [("x", "t")]), (4, None, None)]
+    got = {r["query_id"]: r["context"] for r in evaluation.judged_context(spark.createDataFrame(rows, kind), chunks).collect()}
+    assert got == {1: "one", 2: "t", 3: config.NO_CHUNKS, 4: config.NO_CHUNKS}
