@@ -52,6 +52,7 @@ def mix_sources(
     source_col: str = "source",
     budget: int | None = None,
     seed: int = 1,
+    range_rows: int = 20_000,
     vocabulary: str = DEFAULT_VOCABULARY,
 ) -> DataFrame:
     """(id, source, copy, tokens, virtual_finish) of the mixture, sorted by virtual finish time.
@@ -64,14 +65,18 @@ def mix_sources(
     An empty table, or no wanted source in it, gives an empty result.
     """
     sized = sized_documents(df, targets, id_col, text_col, source_col, vocabulary)
-    totals = sized.groupBy("source", "share", "repeats").agg(F.sum("tokens").alias("tokens")).collect()  # a row per wanted source
+    totals = sized.groupBy("source", "share", "repeats").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")).collect()  # a row per wanted source
     if budget is None:
         budget = sum(r["tokens"] for r in totals)
     end = cut_time([(r["share"], r["tokens"] * r["repeats"]) for r in totals], budget)
 
-    copies = sized.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).withColumn("place", F.xxhash64(F.lit(seed), "copy", "id"))
-    copies = copies.withColumn("range", F.shiftright("place", 54).cast("int"))
-    # Running sums in two steps, so that no task needs a whole source: over its 1024 ranges, then within each.
+    # Only copies that begin before the cut: copy c of a source begins at (c - 1) * tokens / share.
+    needed = [(r["source"], max(1, min(r["repeats"], 1 + int(end * r["share"] / r["tokens"]) if end < float("inf") else r["repeats"]))) for r in totals]
+    needed = df.sparkSession.createDataFrame(needed, "source string, needed int")
+    copies = sized.join(F.broadcast(needed), "source").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("needed")))).drop("needed")
+    # Running sums in two steps, so that no task needs a whole source: over ranges of about ``range_rows`` rows, then within each.
+    bits = max(1, int(max((r["documents"] for r in totals), default=1) / range_rows).bit_length())
+    copies = copies.withColumn("place", F.xxhash64(F.lit(seed), "copy", "id")).withColumn("range", F.shiftright("place", 64 - bits).cast("int"))
     ranges = copies.groupBy("source", "copy", "range").agg(F.sum("tokens").alias("inside"))
     before = Window.partitionBy("source").orderBy("copy", "range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("before", F.coalesce(F.sum("inside").over(before), F.lit(0))).drop("inside")

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from corpuskiln.tables import written
 
+#: rows of a table of (bucket, blocks) that may be broadcast: 12 MB
+MOST_BROADCAST = 1_000_000
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of each row; the number of columns is a power of two."""
@@ -89,8 +92,9 @@ def usable_vectors(df: DataFrame, id_col: str, vector_col: str, dims: int) -> Da
     )
 
 
-def _placed(reps: DataFrame, hashing: CrossPolytope, extra: int, dims: int) -> DataFrame:
-    """(bucket, key, vec, member): each vector in its own bucket of each table and, as a query, in the next ones."""
+def _placed(reps: DataFrame, hashing: CrossPolytope, extra: int, dims: int, sizes: bool = False) -> DataFrame:
+    """(bucket, key, vec, member): each vector in its own bucket of each table and, as a query, in the next ones. With
+    ``sizes`` (bucket, rows): how many these are, added up in each task."""
     cells = hashing.cells
 
     def place(batches):
@@ -106,12 +110,18 @@ def _placed(reps: DataFrame, hashing: CrossPolytope, extra: int, dims: int) -> D
             first = np.tile(np.arange(p) == 0, n * t)
             fresh = first | (code != code[:, :, :1]).reshape(-1)
             row, member, bucket = row[fresh], first[fresh], code.reshape(-1)[fresh]
+            if sizes:
+                each, n = np.unique(bucket, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(n)], names=["bucket", "rows"])
+                continue
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(bucket), batch.column("key").take(take), batch.column("vec").take(take), pa.array(member)],
                 names=["bucket", "key", "vec", "member"],
             )
 
+    if sizes:
+        return reps.select("key", "vec").mapInArrow(place, "bucket long, rows long").groupBy("bucket").agg(F.sum("rows").alias("rows"))
     return reps.select("key", "vec").mapInArrow(place, "bucket long, key long, vec array<float>, member boolean")
 
 
@@ -204,25 +214,28 @@ def nearest_vectors(
     hashing = CrossPolytope(dims, tables, max(2, count // bucket_rows), seed)
     placed = _placed(reps, hashing, probes, dims)
 
-    # Buckets over the limit: at most 1000 of them, since the limit grows with the number of rows.
-    limit = max(hot_rows, count * tables * (1 + probes) // 1000)
-    hot = {r["bucket"]: -(-r["count"] // limit) for r in placed.groupBy("bucket").count().filter(F.col("count") > limit).collect()}
-    if hot:
-        blocks = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col("bucket")), F.lit(1))
-        own = F.pmod(F.xxhash64("key"), blocks)
-        pairs = F.explode(F.expr("flatten(transform(sequence(0, blocks - 1), q -> transform(sequence(0, blocks - 1), m -> struct(q, m))))"))
-        placed = (
-            placed.withColumn("blocks", blocks.cast("int")).withColumn("own", own)
-            .select("*", pairs.alias("b"))
-            .filter((F.col("own") == F.col("b.q")) | (F.col("member") & (F.col("own") == F.col("b.m"))))
-            .select("bucket", (F.col("b.q") * F.col("blocks") + F.col("b.m")).alias("block"), "key", "vec",
-                    (F.col("member") & (F.col("own") == F.col("b.m"))).alias("member"), (F.col("own") == F.col("b.q")).alias("query"))
+    # Buckets over the limit, at most one for so many rows: their sizes go to all tasks if they are few enough.
+    hot = written(_placed(reps, hashing, probes, dims, sizes=True).filter(F.col("rows") > hot_rows).select("bucket", F.ceil(F.col("rows") / hot_rows).cast("int").alias("blocks")), "hot")
+    few = hot.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    placed = placed.join(F.broadcast(hot) if few else hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    # a query meets every block of members, a member every block of queries
+    pairs = F.expr(
+        """array_union(transform(sequence(0, blocks - 1), m -> own * blocks + m),
+        if(member, transform(sequence(0, blocks - 1), q -> q * blocks + own), array()))"""
+    )
+    placed = (
+        placed.withColumn("own", own)
+        .withColumn("block", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(pairs)))
+        .select(
+            "bucket", "block", "key", "vec",
+            (F.col("member") & (F.col("block") % F.col("blocks") == F.col("own"))).alias("member"),
+            (F.floor(F.col("block") / F.col("blocks")) == F.col("own")).alias("query"),
         )
-    else:
-        placed = placed.withColumns({"block": F.lit(0), "query": F.lit(True)})
+    )
     keep = k + 2
     near = placed.groupBy("bucket", "block").applyInArrow(_compare(dims, keep), "key long, cand array<long>, sim array<double>")
-    groups = max(1, count // 20000)
+    groups = 1 + count // 4000
     near = near.groupBy(F.pmod(F.col("key"), F.lit(groups)).alias("part")).applyInArrow(_merge(keep), "key long, near long, sim double")
 
     # The k + 1 smallest ids of each class stand for it; a class is found by its key.

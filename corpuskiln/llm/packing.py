@@ -12,20 +12,25 @@ import bisect
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuskiln.llm.tokens import DEFAULT_VOCABULARY, token_count
 from corpuskiln.tables import written
 
 
-def bucket_bounds(histogram: np.ndarray, buckets: int) -> list[int]:
+def bucket_bounds(histogram: np.ndarray, buckets: int, steps: int = 4096) -> list[int]:
     """Upper bounds of at most ``buckets`` length buckets with the least padding; ``histogram[n]`` texts have length n.
+    For a capacity over ``steps``, bounds are chosen among as many even steps.
 
     A container of a bucket with upper bound u holds capacity // u texts, so the texts of the bucket take
     count / (capacity // u) containers, and the padding is what these leave unused.
     """
     capacity = len(histogram) - 1
+    if capacity > steps:
+        width = -(-capacity // steps)
+        rounded = np.minimum(-(-np.arange(capacity + 1) // width) * width, capacity)
+        histogram = np.bincount(rounded, weights=histogram, minlength=capacity + 1).astype(np.int64)
     lengths = np.flatnonzero(histogram)
     lengths = lengths[lengths > 0]
     if not len(lengths):
@@ -93,6 +98,11 @@ def fill(lengths: np.ndarray, capacity: int, bounds: list[int]) -> np.ndarray:
     return out
 
 
+def filled_in_order(lengths: np.ndarray, capacity: int) -> int:
+    """Containers that the same texts take by best fit, longest first, without buckets: for comparison."""
+    return int(fill(lengths, capacity, [capacity]).max(initial=-1)) + 1
+
+
 def _filler(capacity: int, bounds: list[int]):
     def run(table: pa.Table) -> pa.Table:
         lengths = table.column("tokens").to_numpy()
@@ -100,7 +110,8 @@ def _filler(capacity: int, bounds: list[int]):
         ids = pa.compute.sort_indices(table, sort_keys=[("id", "ascending"), ("piece", "ascending")]).to_numpy()
         number = np.empty(len(lengths), dtype=np.int64)
         number[ids] = fill(lengths[ids], capacity, bounds)
-        return pa.table({n: table.column(n) for n in ("id", "piece", "first_token", "tokens", "shard")} | {"number": pa.array(number)})
+        used = np.bincount(number, weights=lengths).astype(np.int32)[number]
+        return pa.table({n: table.column(n) for n in ("id", "piece", "first_token", "tokens", "shard")} | {"number": pa.array(number), "used": pa.array(used)})
 
     return run
 
@@ -142,15 +153,14 @@ def fill_containers(
     placed = (
         parts.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)))
         .groupBy("shard")
-        .applyInArrow(_filler(capacity, bounds), f"id {kind}, piece int, first_token long, tokens int, shard long, number long")
+        .applyInArrow(_filler(capacity, bounds), f"id {kind}, piece int, first_token long, tokens int, shard long, number long, used int")
         .withColumn("container", F.concat_ws("-", "shard", "number"))
     )
-    used = F.sum("tokens").over(Window.partitionBy("shard", "number")).cast("int")
     none = sized.filter("tokens = 0").select(
         "id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), "tokens",
         F.lit(None).cast("string").alias("container"), F.lit(None).cast("int").alias("used"),
     )
-    return placed.withColumn("used", used).select("id", "piece", "first_token", "tokens", "container", "used").unionByName(none)
+    return placed.select("id", "piece", "first_token", "tokens", "container", "used").unionByName(none)
 
 
 def fill_report(placed: DataFrame, capacity: int) -> DataFrame:

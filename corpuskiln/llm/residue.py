@@ -159,7 +159,7 @@ _MARK = (
 )
 MARK = re.compile(_MARK)
 _ODD = re.compile(r"[{\[<«$#%@*~^_]|&lt;|TK|[Xx]{3}|xx[x-]| [,.](?:\s|$)")
-_PLAIN = r"[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]|_+"
+_PLAIN = r"(?<![\w<])/\w[\w./-]*|[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]|_+"
 _TOKEN, _TOKEN_PLAIN = re.compile(_MARK + "|" + _PLAIN), re.compile(_PLAIN)
 _WORD = re.compile(r"[^\W\d_]+")
 _GOLD, _SPLIT, _SPLIT2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -182,7 +182,7 @@ def _hash(token: str) -> int:
 
     if token.isdigit():
         token = "0"
-    elif len(token) > 1 and not token[0].isalpha() or token == " " or MARK.fullmatch(token):
+    elif len(token) > 1 and not token[0].isalpha() and token[0] != "/" or token == " " or MARK.fullmatch(token):
         return _SLOT
     return xxhash.xxh64_intdigest(token.lower().encode("utf-8", "surrogatepass"))
 

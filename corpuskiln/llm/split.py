@@ -25,7 +25,9 @@ _ENDS = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 _CLAUSE = re.compile(r"[,;:—–][\"'”’»)\]]*$")
 PLAIN_HEADING, PARAGRAPH, ITEM, LINE, SENTENCE, CLAUSE, WORD, INSIDE = 7, 8, 9, 12, 13, 14, 15, 16
 
-PIECES = "array<struct<chunk_index:int,text:string,start:int,end:int,size:int>>"
+NAMES = {PARAGRAPH: "paragraph", SENTENCE: "sentence", CLAUSE: "clause", WORD: "word", INSIDE: "inside a word"}
+
+PIECES = "array<struct<chunk_index:int,text:string,start:int,end:int,size:int,cut:string>>"
 
 
 def size_of(text: Column) -> Column:
@@ -93,22 +95,38 @@ class Cuts:
             return -(-(self.offset[j] - self.offset[i]) // 8)
         return -(-(self.length[a] - self.offset[i]) // 8) + self.full[b] - self.full[a + 1] + -(-self.offset[j] // 8)
 
-    def back(self, i: int, overlap: int) -> int:
-        """The last cut from which the text up to cut ``i`` has at least size ``overlap``."""
+    def back(self, i: int, overlap: int, limit: int) -> int:
+        """The last start of a word from which the text up to cut ``i`` has at least size ``overlap``; inside a word only
+        if that start is over twice as far, or leaves no room within the limit."""
         s = max(0, i - overlap)
         while s and self.size(s, i) < overlap:
             s -= 1
-        return s
+        word = s
+        while word and self.depth[word] == INSIDE and self.size(word, i) <= 2 * overlap:
+            word -= 1
+        far = self.depth[word] == INSIDE or self.size(word, i) > 2 * overlap or self.size(word, min(i + 1, self.n)) > limit
+        return s if far else word
+
+
+def cut_name(depth: int) -> str:
+    """What a cut of this depth stands before."""
+    return NAMES.get(depth) or ("heading" if depth <= PLAIN_HEADING else "item" if depth < LINE else "line")
 
 
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(first position with overlap, first position, end) of each piece, in order; the last two tile the text."""
+    """(first position with overlap, first position, end) of each piece; see ``split_cuts``."""
+    return [piece[:3] for piece in split_cuts(text, limit, overlap)]
+
+
+def split_cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int, int, str]]:
+    """(first position with overlap, first position, end, kind of the cut before) of each piece, in order; the stretches
+    from the second to the third tile the text."""
     cuts = Cuts(text)
     starts = {0: 0}
 
     def fits(i: int, j: int) -> bool:
         if i not in starts:
-            starts[i] = cuts.back(i, overlap)
+            starts[i] = cuts.back(i, overlap, limit)
         return cuts.size(starts[i], j) <= limit
 
     pieces: list[tuple[int, int]] = []
@@ -134,14 +152,14 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
         return b
 
     if not cuts.n:
-        return [(0, 0, len(text))]
+        return [(0, 0, len(text), "start")]
     if fits(0, cuts.n):
         pieces.append((0, cuts.n))
     else:
         rest = pack(0, 0, cuts.n)
         if rest < cuts.n:
             pieces.append((rest, cuts.n))
-    return [(cuts.at[starts.get(i, 0)] if i else 0, cuts.at[i], cuts.at[j]) for i, j in pieces]
+    return [(cuts.at[starts.get(i, 0)], cuts.at[i], cuts.at[j], cut_name(int(cuts.depth[i]))) if i else (0, 0, cuts.at[j], "start") for i, j in pieces]
 
 
 def _splitter(limit: int, overlap: int):
@@ -155,29 +173,30 @@ def _splitter(limit: int, overlap: int):
                 out.append(None)
                 continue
             rows = []
-            for k, (s, i, j) in enumerate(split_text(text, limit, overlap)):
+            for k, (s, i, j, cut) in enumerate(split_cuts(text, limit, overlap)):
                 piece = text[s:j].strip(" \t\r\n")
-                rows.append({"chunk_index": k, "text": piece, "start": i, "end": j, "size": sum(1 for _ in size.finditer(piece))})
+                rows.append({"chunk_index": k, "text": piece, "start": i, "end": j, "size": sum(1 for _ in size.finditer(piece)), "cut": cut})
             out.append(rows)
-        return pa.array(out, type=pa.list_(pa.struct([("chunk_index", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("size", pa.int32())])))
+        return pa.array(out, type=pa.list_(pa.struct([("chunk_index", pa.int32()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("size", pa.int32()), ("cut", pa.string())])))
 
     return pieces
 
 
 def split_oversized(df: DataFrame, text_col: str, limit: int, overlap: int = 0, into: str = "piece") -> DataFrame:
     """One row per piece: the columns of ``df`` and a struct ``into`` of chunk_index (from 0, without gaps), text,
-    start and end (code points; the stretches tile the text, without the overlap) and size (with it).
+    start and end (code points; the stretches tile the text, without the overlap), size (with it) and cut, what the
+    piece begins at: start, heading, paragraph, item, line, sentence, clause, word, or inside a word.
 
     A text of at most ``limit`` is its own single piece, unchanged; null and empty texts likewise (size 0). Pieces
     have at most size ``limit`` and lose white space at their ends; each but the first repeats the last ``overlap``
-    of the one before. Repeated rows are split alike. A column named like ``into`` is replaced. An empty table
+    of the one before, from the start of a word. Repeated rows are split alike. A column named like ``into`` is replaced. An empty table
     gives an empty result. Only texts over the limit reach Python, one at a time.
     """
     if limit <= 0 or overlap < 0 or overlap >= limit:
         raise ValueError("limit must be positive and overlap from 0 to less than the limit")
     text = F.col(text_col)
     size = size_of(text)
-    whole = F.array(F.struct(F.lit(0).alias("chunk_index"), text.alias("text"), F.lit(0).alias("start"), F.coalesce(F.length(text), F.lit(0)).alias("end"), size.alias("size")))
+    whole = F.array(F.struct(F.lit(0).alias("chunk_index"), text.alias("text"), F.lit(0).alias("start"), F.coalesce(F.length(text), F.lit(0)).alias("end"), size.alias("size"), F.lit("start").alias("cut")))
     pieces = _splitter(limit, overlap)(F.when(size > limit, text))
     # generated before the other columns are read back, so that unused ones are pruned from the scan
     return df.withColumn(into, F.explode(F.coalesce(pieces, whole)))
