@@ -101,3 +101,14 @@ def test_bounds_decide_containers():
     one, two = (packing.fill(lengths, 16, bounds).tolist() for bounds in ([4, 6], [16]))
     assert one == [0, 0, 1, 0]  # two of the bucket of 6, then the longest of the shorter one
     assert two == [0, 0, 0, 1]  # one bucket
+
+
+def test_bounds_of_large_capacities_are_few_steps():
+    rng = np.random.default_rng(3)
+    histogram = np.bincount(rng.integers(1, 100_000, 5000), minlength=131_073)
+    bounds = packing.bucket_bounds(histogram, 8, steps=256)
+    assert 1 < len(bounds) <= 8 and bounds[-1] >= np.flatnonzero(histogram)[-1] and all(b % 512 == 0 for b in bounds)
+
+
+def test_single_bucket_is_best_fit():
+    assert packing.filled_in_order(np.array([6, 5, 5, 4]), 16) == 2 and packing.filled_in_order(np.array([], dtype=int), 16) == 0

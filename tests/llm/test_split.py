@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from corpuskiln.llm import split
 from corpuskiln.llm.split import SIZE_PATTERN, size_of, split_oversized, split_text
 
 SIZE = re.compile(SIZE_PATTERN)
@@ -61,3 +62,19 @@ def test_size_in_the_jvm(spark):
     texts = ["", "a", "a" * 17, " \n a b ", "日本語" * 5, "😀" * 9, "a b"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(size_of(F.col("t"))).collect()
     assert [r[0] for r in got] == [size(t) for t in texts]
+
+
+def test_overlaps_begin_at_words():
+    text = "\n\n".join(" ".join(f"considerable{k}words" for k in range(n, n + 40)) + "." for n in range(0, 400, 40))
+    pieces = split.split_cuts(text, 100, 10)
+    assert len(pieces) > 5
+    for start, begin, _, cut in pieces[1:]:
+        assert text[start] in " \n" and size(text[start:begin]) >= 10 and cut in ("paragraph", "sentence", "word", "line")
+
+
+def test_cut_names(spark):
+    text = "Title\n" + "A sentence of some words here. " * 40 + "\n\n" + "x" * 3000
+    df = spark.createDataFrame([(text,), ("short",), (None,)], "text string")
+    rows = split.split_oversized(df, "text", 50, 5).select("piece.*").collect()
+    cuts = [r["cut"] for r in rows]
+    assert cuts.count("start") == 3 and "sentence" in cuts and "inside a word" in cuts

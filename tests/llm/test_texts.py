@@ -87,3 +87,17 @@ def test_residue_cases(spark):
     assert got[90] is None and got[91] is None and got[92] == "slot" and len(got) == len(rows)
     assert {got[100 + k] for k in range(6)} == {None}  # the same mark in the same place of sentences that differ
     assert residue.find_residue(df.limit(0), "kind", "text").count() == 0
+
+
+def test_long_runs_and_many_rounds(spark, docs):
+    """Runs of any length are widened whole, and a mistake made three times is undone."""
+    texts = [r["content"] for r in docs.filter("length(content) between 300 and 4000").orderBy("doc_id").limit(500).collect()]
+    model = mojibake.train([t for t in texts if not t.isascii()])
+    word = "é" * 100
+    once = mojibake.garble(word, ("utf-8", "latin-1"))
+    assert mojibake._run_begin("a" + once, len(once), 0) == 1 and mojibake._run_end(once, 3) == len(once)
+    text = "Le mémoire partagée de la clé privée reçoit déjà une requête répétée."
+    spoiled = text
+    for _ in range(3):
+        spoiled = mojibake.garble(spoiled, ("utf-8", "cp1252"))
+    assert mojibake.examine(spoiled, model)[2] == text
