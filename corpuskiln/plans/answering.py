@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import NamedTuple, Protocol
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from corpuskiln import config
 from corpuskiln.functions.text import cache_key, citation_markers, clean_question, is_refusal
 from corpuskiln.operators import confidence, retrieval
+from corpuskiln.operators.sampling import hash_sample
+from corpuskiln.plans import evaluation
 from corpuskiln.tables import written
 
 
@@ -64,6 +67,15 @@ class Extractive:
         return f"{sentence}. [1]", words | {"total_tokens": sum(words.values())}
 
 
+class NumberJudge:
+    """Offline stand-in for a judge: an answer is supported if the context has all its numbers but markers."""
+
+    def complete(self, system: str, user: str) -> tuple[str, dict[str, int]]:
+        context, _, said = user.removeprefix("CONTEXT:\n").rpartition("\n\nANSWER:\n")
+        missing = [n for n in re.findall(r"\d+", re.sub(r"\[\d+\]", "", said)) if n not in context]
+        return (f"Not in the context: {', '.join(missing)}" if missing else "NONE"), {}
+
+
 def context_blocks(chunks: DataFrame) -> DataFrame:
     """(query_id, context, chunks): texts numbered from 1 in order of ``position``, and what they are."""
     rows = F.array_sort(F.collect_list(F.struct("position", "id", "parent_doc_id", "source", "text")))
@@ -134,6 +146,17 @@ def judge(answers: DataFrame, contexts: DataFrame, model: Callable[[], LanguageM
     return open_.select("query_id", "answer").join(verdicts, "query_id")
 
 
+def check_answers(
+    queries: DataFrame, chunks: DataFrame, docs: DataFrame, as_of: Column, model: Callable[[], LanguageModel] = Extractive,
+    judged_by: Callable[[], LanguageModel] = NumberJudge, rows: int | None = config.JUDGE_SAMPLE,
+) -> DataFrame:
+    """One row: of ``rows`` queries (chosen by a hash; all for None), answered and judged, how many answers were judged and
+    flagged, and their share; see ``unsupported_rate``."""
+    chosen = queries if rows is None else written(hash_sample(queries, F.col("query_id"), rows, config.SAMPLE_SEED), "chosen")
+    answers = answer(chosen, chunks, docs, as_of, model=model).filter("answer is not null")
+    return evaluation.unsupported_rate(judge(answers, evaluation.judged_context(answers, chunks), judged_by))
+
+
 class Found(NamedTuple):
     """Hits of one query set after each stage, written out: (query_id, rank, id, ...)."""
 

@@ -331,6 +331,11 @@ def grounded_answers(spark, folder):
     return answers.select("query", "answer", F.array_join("citations.chunk_id", "|").alias("cited"))
 
 
+def answers_checked(spark, folder):
+    """All these answers judged by the offline judge."""
+    return answering.check_answers(asked(spark, folder), encoded_chunks(spark, folder), read(spark, folder, "docs"), as_of(), rows=None)
+
+
 def loaded_files(spark, folder):
     """Documents set as files, some of an unsupported type, and loaded again."""
     suffix = F.when(F.col("metadata.file_type") == "txt", "txt").when(F.col("metadata.file_type") == "md", "xyz").otherwise("TXT")
@@ -377,7 +382,7 @@ QUERIES = {
         bm25_topk, knn_topk, rrf_fusion, hybrid_search, lexical_rerank, confidence_gate, best_chunk, source_lookup, sub_scores, citation_map, refusal_flag, gate_rate, context_prompt, doc_identity,
         cache_keys, cache_lookup, cache_upsert, ttl_expire, dedup_anti, orphan_docs, healed_docs, chunk_counts, ingest_status, html_extract, title_keyword_filter, wiki_docs, fixed_window_chunks,
         recursive_chunks, longest_chunk, title_from_text, recall_at_k, threshold_sweep, threshold_recommend, weight_sweep, weight_selected, confidence_extremes, judged_context, unsupported_rate,
-        hash_sample_docs, trace_rollup, trace_stages, answer_batch, answer_traces, answer_cache, grounded_answers, adversarial_gate, loaded_files, article_filter, question_cleanup, chunk_vectors, index_postings,
+        hash_sample_docs, trace_rollup, trace_stages, answer_batch, answer_traces, answer_cache, grounded_answers, answers_checked, adversarial_gate, loaded_files, article_filter, question_cleanup, chunk_vectors, index_postings,
     )
 }
 from corpuskiln.plans.registry_sql import SQL  # noqa: E402, F401

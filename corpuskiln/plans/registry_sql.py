@@ -196,6 +196,9 @@ SQL = {
       FROM asked LEFT JOIN contexts USING (query_id) WHERE label = 'adversarial'""",
     "grounded_answers": f"""{FOUND}, {PASSED} SELECT query, CASE WHEN first IS NULL THEN '{config.REFUSAL}' ELSE rtrim(split_part(split_part({strip("text")}, chr(10), 1), '. ', 1), '.') || '. [1]' END AS answer, coalesce(first, '') AS cited
       FROM asked LEFT JOIN contexts USING (query_id) LEFT JOIN latest ON chunk_id = first""",
+    "answers_checked": rf"""{FOUND}, {PASSED}, a AS (SELECT split_part(split_part({strip("text")}, chr(10), 1), '. ', 1) AS answer, text FROM contexts JOIN latest ON chunk_id = first),
+      j AS (SELECT coalesce(list_bool_and(list_transform(regexp_extract_all(regexp_replace(answer, '\[\d+\]', '', 'g'), '\d+'), lambda n: contains(text, n))), true) AS ok FROM a)
+      SELECT count(*) AS judged, count(*) FILTER (NOT ok) AS flagged, count(*) FILTER (NOT ok) / count(*)::DOUBLE AS rate FROM j""",
     "loaded_files": f"""WITH h AS (SELECT *, CASE metadata.file_type WHEN 'txt' THEN 'txt' WHEN 'md' THEN 'xyz' ELSE 'TXT' END AS suffix FROM docs),
       i AS (SELECT doc_id AS stem, suffix, content, regexp_extract_all(hex(encode(content)), '..') AS x FROM h)
       SELECT sha256(unhex(hex(encode(stem || '.' || suffix || '::')) || array_to_string(list_transform(x, lambda b: CASE WHEN b < '8' THEN b WHEN b < 'C' THEN 'C2' || b ELSE 'C3' || translate(b[1], 'CDEF', '89AB') || b[2] END), ''))) AS doc_id,
