@@ -111,6 +111,35 @@ def refused(answer: str, text: str) -> str:
 PASSED = """passed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY confidence_score DESC, rank) AS position FROM scored WHERE confidence_score >= 0.515::DOUBLE),
 contexts AS (SELECT query_id, string_agg(id, '|' ORDER BY position) AS context, arg_min(id, position) AS first FROM passed GROUP BY query_id)"""
 
+SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def words(x: str) -> str:
+    return f"regexp_extract_all({x}, '[{SPACE}]*[^{SPACE}]+|[{SPACE}]+\\z')"
+
+
+def split_level(level: int, separator: str) -> str:
+    """Parts of the level before, those over 500 words apart at the separator."""
+    keep = f"SELECT doc_id, pos, p, n FROM l{level - 1} WHERE n <= 500"
+    cut = f"SELECT doc_id, list_append(pos, i) AS pos, p, len({words('p')}) AS n FROM (SELECT doc_id, pos, unnest(string_split(p, {separator})) AS p, generate_subscripts(string_split(p, {separator}), 1) AS i FROM l{level - 1} WHERE n > 500) WHERE p <> ''"
+    return f"l{level} AS ({keep} UNION ALL {cut})"
+
+
+RECURSIVE = f"""WITH RECURSIVE l0 AS (SELECT doc_id, []::BIGINT[] AS pos, content AS p, len({words('content')}) AS n FROM docs),
+  {split_level(1, "chr(10) || chr(10)")}, {split_level(2, "chr(10)")}, {split_level(3, "'. '")}, {split_level(4, "' '")},
+  tokens AS (SELECT doc_id, flatten(list({words('p')} ORDER BY pos)) AS t, list(n ORDER BY pos) AS sizes FROM l4 WHERE doc_id IN (SELECT doc_id FROM l0 WHERE n > 500) GROUP BY doc_id),
+  ends AS (SELECT doc_id, list_transform(sizes, lambda x, i: list_sum(sizes[1:i]))::BIGINT[] AS ends FROM tokens),
+  steps AS (
+    SELECT doc_id, 1::BIGINT AS k, 0::BIGINT AS s, 0::BIGINT AS e, NULL::BIGINT AS a, NULL::BIGINT AS b FROM ends
+    UNION ALL
+    SELECT doc_id, CASE WHEN done - s <= 500 OR greatest(s, e - 50) + 500 >= done THEN k + 1 ELSE k END, CASE WHEN done - s <= 500 THEN s ELSE greatest(s, e - 50) END,
+      CASE WHEN done - s <= 500 THEN done ELSE least(done, greatest(s, e - 50) + 500) END, CASE WHEN done - s > 500 THEN s END, CASE WHEN done - s > 500 THEN e END
+    FROM (SELECT doc_id, k, s, e, ends[k] AS done, len(ends) AS n FROM steps JOIN ends USING (doc_id)) WHERE k <= n),
+  windows AS (SELECT doc_id, a, b FROM steps WHERE b IS NOT NULL UNION ALL SELECT doc_id, s, e FROM steps JOIN ends USING (doc_id) WHERE k > len(ends)),
+  texts AS (SELECT doc_id, a, b, array_to_string(t[a + 1:b], '') AS text FROM windows JOIN tokens USING (doc_id) UNION ALL SELECT doc_id, 0, 0, p FROM l0 WHERE n <= 500),
+  numbered AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b, a) - 1 AS chunk_index, text FROM texts WHERE regexp_matches(text, '[^{SPACE}]'))
+  SELECT doc_id || ':' || chunk_index AS chunk_id, doc_id AS parent_doc_id, chunk_index::INT AS chunk_index, text FROM numbered"""
+
 SQL = {
     "bm25_topk": f"WITH {ASKED}, {LATEST_CHUNKS}, {BM25} SELECT query_id, id, score, rank::INT AS rank FROM keyword",
     "knn_topk": """WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -167,6 +196,7 @@ SQL = {
     "fixed_window_chunks": r"""WITH w AS (SELECT doc_id::VARCHAR AS parent_doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
       i AS (SELECT parent_doc_id, w, unnest(range(0, (greatest(len(w) - 6, 0) // 45) + 1))::INT AS chunk_index FROM w WHERE len(w) > 0)
       SELECT parent_doc_id || ':' || chunk_index AS chunk_id, parent_doc_id, chunk_index, array_to_string(w[chunk_index * 45 + 1 : chunk_index * 45 + 50], ' ') AS text FROM i""",
+    "recursive_chunks": RECURSIVE,
     "longest_chunk": f"""WITH {LATEST_CHUNKS} SELECT parent_doc_id, chunk_id, length(text) AS chars FROM latest WHERE {strip("text")} <> ''
       QUALIFY row_number() OVER (PARTITION BY parent_doc_id ORDER BY length(text) DESC, chunk_index) = 1""",
     "title_from_text": f"SELECT doc_id, {title('text')} AS title, CASE WHEN source IS NULL THEN NULL ELSE 'md' END AS extension FROM documents",

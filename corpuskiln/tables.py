@@ -42,16 +42,23 @@ def shared_folder(spark: SparkSession) -> str:
     if application not in _own:
         shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corpuskiln-")
         _own[application] = f"{shared.rstrip('/')}/corpuskiln-{application}"
-        atexit.register(drop_written, spark)
+        atexit.register(_drop_quietly, spark)
     return _own[application]
 
 
 def drop_written(spark: SparkSession) -> None:
-    """Deletes all that ``written`` wrote; what reads it is of no use afterwards."""
+    """Deletes all that ``written`` wrote; what reads it is of no use afterwards. Best called before the session stops: later
+    the shared folder keeps its files."""
+    if spark.sparkContext._jsc is None or spark.sparkContext.applicationId not in _own:
+        return
+    files, path = hadoop_path(spark, _own.pop(spark.sparkContext.applicationId))
+    files.delete(path, True)
+
+
+def _drop_quietly(spark: SparkSession) -> None:
     try:
-        files, path = hadoop_path(spark, _own[spark.sparkContext.applicationId])
-        files.delete(path, True)
-    except Exception:  # the session is stopped: the cluster clears its folder
+        drop_written(spark)
+    except Exception:  # no reason to fail at the end of the program
         return
 
 
