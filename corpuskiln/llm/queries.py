@@ -74,6 +74,11 @@ def p2_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.with_short(texts, neardup.grouped(*neardup.near_duplicates(texts)))
 
 
+def p2_links(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of different texts that each doc and chunk is a near-duplicate of."""
+    return p2_groups(spark, folder).select(F.col("kind").alias("item_kind"), "id", "links")
+
+
 def _bodies(spark: SparkSession, folder: str) -> DataFrame:
     return boilerplate.main_bodies(read(spark, folder, "docs").filter(F.col("metadata.file_type") == "html"), "doc_id", "content")
 
@@ -166,6 +171,6 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     return docs.join(clean, "doc_id", "left_semi")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_chunks": p1_chunks, "p1_cuts": p1_cuts, "p1_whole": p1_whole, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found,
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_chunks": p1_chunks, "p1_cuts": p1_cuts, "p1_whole": p1_whole, "p2_found": p2_found, "p2_groups": p2_groups, "p2_links": p2_links, "p3_found": p3_found, "p3_bodies": p3_bodies, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found,
            "p6_containers": p6_containers, "p6_report": p6_report, "p6_placed": p6_placed, "p6_compare": p6_compare, "p7_kept": p7_kept, "p7_mixture": p7_mixture, "p7_report": p7_report,
            "p8_found": p8_found, "p8_clean": p8_clean}
