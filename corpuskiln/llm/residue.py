@@ -211,6 +211,16 @@ def _chain_one(kind: int, parts) -> int:
     return h
 
 
+def _aligned(mark: str, left: list[int], right: list[int]) -> list[int]:
+    """Contexts of a mark to look for in other records, the lowest bit set where one record is not enough: on one side of
+    a mark, and around a gap, where only a word counts as something else."""
+    keys, wide = _around(left, right)
+    if mark.strip():
+        return [k & ~1 | (j > 1) for j, (k, w) in enumerate(zip(keys, wide)) if w]
+    a, b = [_EDGE, _EDGE, *left], [*right, _EDGE, _EDGE]
+    return [_chain_one(5, (a[-2], a[-1], b[0])) | 1, _chain_one(6, (a[-1], b[0], b[1])) | 1]
+
+
 def _around(left: list[int], right: list[int]) -> tuple[list[int], list[bool]]:
     """The four contexts of a place: two words before and one after, one and two, three before, three after; and
     for each whether it has words enough: not the ends of the unit alone."""
@@ -304,8 +314,8 @@ def _word_rows(filter_bits: int):
                 if _ODD.search(text):
                     for u in units(text):
                         for m in MARK.finditer(u) if _ODD.search(u) else ():
-                            keys, wide = _around([_hash(t) for t in tokens_of(u[: m.start()])], [_hash(t) for t in tokens_of(u[m.end() :])])
-                            bits.update(k & ((1 << filter_bits) - 1) for k, w in zip(keys, wide) if w)
+                            keys = _aligned(m[0], [_hash(t) for t in tokens_of(u[: m.start()])], [_hash(t) for t in tokens_of(u[m.end() :])])
+                            bits.update(k >> 1 & ((1 << filter_bits) - 1) for k in keys)
             words = list(n)
             count = np.array([n[w] for w in words], dtype=np.int64)
             beside = np.array([near[w] for w in words], dtype=np.int64)
@@ -347,8 +357,7 @@ def _hit_rows(number: int, unit: str, vocabulary: Vocabulary) -> list[dict]:
             if left and right:
                 row["contexts"] = _signed(_around(l, r)[0][:3])
         if kind == "slot":
-            keys, wide = _around([_hash(t) for t in left], [_hash(t) for t in right])
-            row["aligned"] = [k & ~1 | (j > 1) for j, (k, w) in enumerate(zip(_signed(keys), wide)) if w]
+            row["aligned"] = _signed(_aligned(unit[a:b], [_hash(t) for t in left], [_hash(t) for t in right]))
         out.append(row)
     return out
 
@@ -433,7 +442,7 @@ def _aligned_places(flat: list[str], sizes: np.ndarray, owner: np.ndarray, vocab
         for p in parts:
             ok = ok & (p != _SLOT)
         key = _chain(kind, *parts)
-        ok = ok & marked[(key & mask).astype(np.int64)]
+        ok = ok & marked[(key >> np.uint64(1) & mask).astype(np.int64)]
         found.append(key[ok] & ~np.uint64(1) | np.uint64(odd))
         units_.append(unit[ok])
 
@@ -441,6 +450,9 @@ def _aligned_places(flat: list[str], sizes: np.ndarray, owner: np.ndarray, vocab
     emit(2, solid, 0, before1, after1, after2)
     emit(1, solid, 0, before2, before1, h)  # nothing between
     emit(2, solid, 0, before1, h, after1)
+    word = solid & np.array([t[:1].isalnum() for t in each], dtype=bool)[index]
+    emit(5, word, 1, before2, before1, after1)  # a word where a gap may be
+    emit(6, word, 1, before1, after1, after2)
     emit(3, solid, 1, before3, before2, before1)
     emit(4, solid, 1, after1, after2, after3)
     found, text = np.concatenate(found), owner[np.concatenate(units_)]

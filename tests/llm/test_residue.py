@@ -93,6 +93,13 @@ def test_blank_slot(spark):
     assert kinds(spark, [*full, "Dear customer , your parcel ships on Friday."]) == [None] * len(full) + ["slot"]
 
 
+def test_loose_typesetting_is_no_gap(spark):
+    """A space before a comma is no slot where other records have nothing there either."""
+    full = [f"Dear customer, your parcel {word(5 * k)} ships on {d}.\nIt holds {word(7 * k + j)} and {word(11 * k + j)}." for k in range(8) for j, d in enumerate(DAYS)]
+    loose = "Dear customer , your parcel ships on Friday with much else in it."
+    assert kinds(spark, [*full, loose]) == [None] * (len(full) + 1)
+
+
 def test_repeated_pages_of_unlisted_wording(spark):
     """Lines of pages that are nothing but template are residue, also after a real beginning; lines of varied texts are not."""
     words = ["heap", "tree", "list", "ring", "map", "log", "file", "lock"]
