@@ -158,7 +158,7 @@ _MARK = (
     r"|\bTKT?K?\b|\b[Xx]{3,}\b|\bxx[x-]*xx\b|_{4,}|\b[^\W\d_]+(?:_[^\W_]+)+\b|(?<=\w) (?=[,.](?:\s|$))"
 )
 MARK = re.compile(_MARK)
-_ODD = re.compile(r"[{\[<«$#%@*~^_]|&lt;|TK|[Xx]{3}|xx[x-]| [,.](?:\s|$)")
+_ODD = re.compile(r"[{<«]|\[(?!\d+\])|[$#%@*~^_](?=[\w{(|$#%@*~^])|&lt;|TK|[Xx]{3}|xx[x-]| [,.](?:\s|$)")
 _PLAIN = r"(?<![\w<])/\w[\w./-]*|[぀-ヿ㐀-鿿]|[^\W\d_぀-ヿ㐀-鿿]+(?:['’][^\W\d_]+)?|\d+|[^\w\s]|_+"
 _TOKEN, _TOKEN_PLAIN = re.compile(_MARK + "|" + _PLAIN), re.compile(_PLAIN)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -272,7 +272,7 @@ def phrase_hits(unit: str) -> list[tuple[str, int, int]]:
     return out + ([("filler", 0, 0)] if _repeats(unit) else [])
 
 
-def hits(unit: str, vocabulary: Vocabulary) -> list[tuple[str, str, bool, int, int]]:
+def hits(unit: str) -> list[tuple[str, str, bool, int, int]]:
     """(kind, value, known, start, end) of all that may be residue in a unit: marks and known phrases."""
     out = [(k, re.sub(r"\d+", "0", unit[a:b].lower()), True, a, b) for k, a, b in phrase_hits(unit)]
     if _ODD.search(unit):
@@ -283,10 +283,6 @@ def hits(unit: str, vocabulary: Vocabulary) -> list[tuple[str, str, bool, int, i
             if not any(a < m.end() and m.start() < b for a, b in spots):
                 spots[m.span()] = False
         out += [("slot", re.sub(r"\s+", "", unit[a:b]), known, a, b) for (a, b), known in sorted(spots.items())]
-    if vocabulary.latin:
-        words = _WORD.findall(unit)
-        if len(words) >= 4 and 2 * sum(_hash(w) in vocabulary.latin for w in words) >= len(words):
-            out.append(("latin", "", True, 0, len(unit)))
     return out
 
 
@@ -342,20 +338,23 @@ def _signed(values) -> list[int]:
     return np.array(values, dtype=np.uint64).view(np.int64).tolist()
 
 
+def _hit(number: int, kind: str, value: str, known: bool) -> dict:
+    return {"unit": number, "kind": kind, "value": value, "known": known, "prose": False, "rest": 0, "contexts": [], "aligned": []}
+
+
 def _hit_rows(number: int, unit: str, vocabulary: Vocabulary) -> list[dict]:
     """The hits of a unit with their contexts: ``contexts`` in the skeleton, not at an end of the unit, to tell own text by;
     ``aligned`` in the plain words, to tell slots by (two-sided ones even, one-sided ones odd)."""
     out = []
-    for kind, value, known, a, b in hits(unit, vocabulary):
+    for kind, value, known, a, b in hits(unit):
         left, right = tokens_of(unit[:a]), tokens_of(unit[b:])
-        row = {"unit": number, "kind": kind, "value": value, "known": known, "prose": False, "rest": 0, "contexts": [], "aligned": []}
-        if kind != "latin":
-            l, r = vocabulary.skeleton(left), vocabulary.skeleton(right)
-            row["rest"] = _signed([_chain_one(9, [*l, _SLOT, *r])])[0]
-            before, after = len(_WORD.findall(unit[:a])), len(_WORD.findall(unit[b:]))
-            row["prose"] = kind != "slot" and min(before, after) >= 3 and len(_WORD.findall(unit)) >= 10
-            if left and right:
-                row["contexts"] = _signed(_around(l, r)[0][:3])
+        row = _hit(number, kind, value, known)
+        l, r = vocabulary.skeleton(left), vocabulary.skeleton(right)
+        row["rest"] = _signed([_chain_one(9, [*l, _SLOT, *r])])[0]
+        before, after = len(_WORD.findall(unit[:a])), len(_WORD.findall(unit[b:]))
+        row["prose"] = kind != "slot" and min(before, after) >= 3 and len(_WORD.findall(unit)) >= 10
+        if left and right:
+            row["contexts"] = _signed(_around(l, r)[0][:3])
         if kind == "slot":
             row["aligned"] = _signed(_aligned(unit[a:b], [_hash(t) for t in left], [_hash(t) for t in right]))
         out.append(row)
@@ -384,9 +383,12 @@ def _looker(vocabulary: Column, filter_bits: int):
                         flat += tokens
                         sizes.append(len(tokens))
                     owner.append(len(us))
-                keys, found = _aligned_places(flat, np.array(sizes, dtype=np.int64), np.repeat(np.arange(len(owner)), owner), known, marked, filter_bits)
+                keys, found, latin = _aligned_places(flat, np.array(sizes, dtype=np.int64), np.repeat(np.arange(len(owner)), owner), known, marked, filter_bits)
                 plain.append(found)
                 ends = np.cumsum(owner)
+                for u in np.flatnonzero(latin):
+                    j = int(np.searchsorted(ends, u, side="right"))
+                    rows[j][1].append(_hit(int(u - ends[j] + owner[j]), "latin", "", True))
                 last = at + 256 >= whole.num_rows
                 # what is between the words of a mark's context is only asked for up to ``least`` texts: counts of the batch, at its end
                 context, n = np.unique(np.concatenate(plain), return_counts=True) if last else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
@@ -407,9 +409,10 @@ def _looker(vocabulary: Column, filter_bits: int):
 
 
 def _aligned_places(flat: list[str], sizes: np.ndarray, owner: np.ndarray, vocabulary: Vocabulary, marked: np.ndarray, filter_bits: int):
-    """Skeleton keys of all units; and the contexts that the filter knows, once for each text (``owner`` of the units)."""
+    """Skeleton keys of all units; the contexts that the filter knows, once for each text (``owner`` of the units); and
+    whether at least half of a unit's words are filler Latin."""
     if not len(flat):
-        return [b""] * len(sizes), np.zeros(0, dtype=np.uint64)
+        return [b""] * len(sizes), np.zeros(0, dtype=np.uint64), np.zeros(len(sizes), dtype=bool)
     coded = pa.array(flat, pa.string()).dictionary_encode()
     each = coded.dictionary.to_pylist()
     index = coded.indices.to_numpy()
@@ -450,6 +453,9 @@ def _aligned_places(flat: list[str], sizes: np.ndarray, owner: np.ndarray, vocab
     emit(2, solid, 0, before1, after1, after2)
     emit(1, solid, 0, before2, before1, h)  # nothing between
     emit(2, solid, 0, before1, h, after1)
+    alpha = np.array([t[:1].isalpha() for t in each], dtype=bool)
+    words = np.bincount(unit, weights=alpha[index], minlength=len(sizes))
+    filler = np.bincount(unit, weights=(alpha & np.array([_hash(t) in vocabulary.latin for t in each], dtype=bool))[index], minlength=len(sizes))
     word = solid & np.array([t[:1].isalnum() for t in each], dtype=bool)[index]
     emit(5, word, 1, before2, before1, after1)  # a word where a gap may be
     emit(6, word, 1, before1, after1, after2)
@@ -460,7 +466,7 @@ def _aligned_places(flat: list[str], sizes: np.ndarray, owner: np.ndarray, vocab
     found, text = found[order], text[order]
     fresh = np.ones(len(found), dtype=bool)
     fresh[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
-    return skeletons, found[fresh]
+    return skeletons, found[fresh], (words >= 4) & (2 * filler >= words)
 
 
 def find_residue(
