@@ -347,7 +347,7 @@ def article_filter(spark, folder):
     """Documents as articles whose title has a wanted word."""
     titled = read(spark, folder, "docs").select("doc_id", F.col("metadata.custom")["title"].alias("title"), "content")
     words = (*config.TITLE_KEYWORDS, "kernel", "protocol", "model", "heap")
-    return files.matching_articles(titled, "doc_id", "title", "content", 10**9, 10**9, words)
+    return files.matching_articles(titled, "doc_id", "title", "content", None, None, words)
 
 
 def question_cleanup(spark, folder):

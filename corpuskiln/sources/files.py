@@ -128,12 +128,15 @@ def write_json_lines(df: DataFrame, path: str, force: bool = False, least: int =
     return True
 
 
-def matching_articles(articles: DataFrame, id_col: str, title_col: str, text_col: str, target: int = config.SEED_TARGET, max_scan: int = config.SEED_MAX_SCAN, keywords: tuple[str, ...] = config.TITLE_KEYWORDS) -> DataFrame:
+def matching_articles(articles: DataFrame, id_col: str, title_col: str, text_col: str, target: int | None = config.SEED_TARGET, max_scan: int | None = config.SEED_MAX_SCAN, keywords: tuple[str, ...] = config.TITLE_KEYWORDS) -> DataFrame:
     """(id, article): the first ``target`` articles, of the first ``max_scan`` by id, whose title has a keyword and
-    whose text is not blank, as 'Title: ...', an empty line and the text."""
-    last = articles.select(id_col).orderBy(id_col).limit(max_scan).agg(F.max(id_col)).first()[0]  # ids alone are sorted
-    scanned = articles.filter(F.col(id_col) <= F.lit(last))
-    wanted = scanned.filter(text.title_matches(F.col(title_col), keywords) & text.not_blank(F.col(text_col))).orderBy(id_col).limit(target)
+    whose text is not blank (all, for None), as 'Title: ...', an empty line and the text."""
+    if max_scan is not None:
+        last = articles.select(id_col).orderBy(id_col).limit(max_scan).agg(F.max(id_col)).first()[0]  # ids alone are sorted
+        articles = articles.filter(F.col(id_col) <= F.lit(last))
+    wanted = articles.filter(text.title_matches(F.col(title_col), keywords) & text.not_blank(F.col(text_col)))
+    if target is not None:
+        wanted = wanted.orderBy(id_col).limit(target)
     return wanted.select(F.col(id_col).alias("id"), F.concat(F.lit("Title: "), title_col, F.lit("\n\n"), text_col).alias("article"))
 
 
