@@ -95,18 +95,16 @@ def file_type(path: Column) -> Column:
 
 # What separates text nodes.
 _MARKUP = r"(?is)(?:<!--.*?-->|<!doctype[^>]*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|</?[a-z][^>]*>)+"
-_ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
 
 
 def _decoded(text: Column) -> Column:
-    """Named and numbered entities as characters. Only texts with any reach Python."""
+    """Named and numbered entities as characters."""
 
     @F.arrow_udf("string")
     def unescape(texts: pa.Array) -> pa.Array:
-        return pa.array([t if t is None else html.unescape(t) for t in texts.to_pylist()], type=pa.string())
+        return pa.array([html.unescape(t) if t and "&" in t else t for t in texts.to_pylist()], type=pa.string())
 
-    some = text.rlike(_ENTITY)
-    return F.when(some, unescape(F.when(some, text))).otherwise(text)
+    return unescape(text)
 
 
 def html_text(page: Column) -> Column:

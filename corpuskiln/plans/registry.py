@@ -15,7 +15,7 @@ from corpuskiln.operators import chunking, confidence, retrieval, store
 
 from corpuskiln.plans import answering, evaluation
 from corpuskiln.sources import files
-from corpuskiln.tables import read, written
+from corpuskiln.tables import read, spread, written
 
 AS_OF = "2024-03-01 00:00:00"
 DIMS = 64
@@ -31,7 +31,7 @@ def as_of():
 
 def stored_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """One row per chunk_id, the newest."""
-    return store.latest_of_few(read(spark, folder, "chunks"), "chunk_id", F.col("metadata.processed_at"))
+    return store.latest_of_few(spread(read(spark, folder, "chunks")), "chunk_id", F.col("metadata.processed_at"))
 
 
 def asked(spark: SparkSession, folder: str) -> DataFrame:

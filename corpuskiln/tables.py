@@ -16,6 +16,12 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read from files, over all cores if the files make fewer tasks than these (one small file is one task)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_if_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet files of a folder on any file system; no rows where it does not exist."""
     try:
