@@ -1,8 +1,7 @@
 """Keyword and vector search for whole sets of queries, and their fusion.
 
 A query set goes to every executor by broadcast after a check of its size; a larger one is searched in parts. The
-search itself never shuffles texts and vectors: only counts of asked terms and scores move, and of the scores the
-best of each task and query.
+search itself never shuffles texts and vectors: only counts of asked terms and the best scores of each task and query move.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,25 +72,86 @@ def keyword_search(
     ``queries`` has query_id and query. Scores are rounded to six places before they are compared. Texts without
     any term of the query are no hits; null texts count as empty.
     """
-    asked = F.broadcast(queries.select("query_id", F.explode(F.array_distinct(terms(F.coalesce("query", F.lit(""))))).alias("term")))
+    asked = queries.select("query_id", F.array_distinct(terms(F.coalesce("query", F.lit("")))).alias("terms")).filter(F.size("terms") > 0).toArrow()
+    of_queries = asked.column("terms").combine_chunks()
+    vocabulary = pa.array(sorted(set(of_queries.flatten().to_pylist())), pa.string())
     words = docs.select(F.col(id_col).alias("id"), terms(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
-    # Only terms that are asked for leave their task, counted there once per text, and an empty term that stands for the
-    # text itself: one pass over the texts gives frequencies, lengths and totals, as all uses share its exchange.
-    found = (
-        words.select("id", F.size("words").alias("length"), F.explode(F.array_append("words", "")).alias("term"))
-        .join(F.broadcast(asked.select("term").distinct().union(asked.sparkSession.createDataFrame([("",)], "term string"))), "term", "left_semi")
-        .groupBy("id", "length", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    totals = found.agg(F.count_if(F.col("term") == "").alias("texts"), F.avg(F.when(F.col("term") == "", F.col("length"))).alias("mean"))
-    idf = (
-        found.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(totals))
-        .select("term", "mean", F.log(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    )
-    weights = F.broadcast(asked.join(idf, "term"))
-    part = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = found.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scored, [F.desc("score"), F.asc("id")], limit)
+    idf, mean = _term_weights(words, vocabulary)
+    wanted = _padded(pc.index_in(of_queries.flatten(), vocabulary), of_queries, len(vocabulary))
+
+    def compare(batches):
+        best = _Best(len(wanted), limit, floor=np.nextafter(0, 1))  # over all batches of the task
+        step = _block(max(len(wanted), len(vocabulary)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                here = batch.slice(at, step)
+                parts = _term_scores(here.column("words"), vocabulary, idf, mean, k1, b)
+                total = parts[wanted[:, 0]]
+                for k in range(1, wanted.shape[1]):
+                    some = int((wanted[:, k] < len(vocabulary)).sum())  # those with so many terms come first
+                    total[:some] += parts[wanted[:some, k]]
+                best.add(total, here.column("id"))
+        yield from best.batches(order)
+
+    order = np.argsort(-of_queries.value_lengths().to_numpy(zero_copy_only=False), kind="stable")
+    wanted = wanted[order]
+    schema = f"query int, id {dict(docs.dtypes)[id_col]}, score double"
+    return _best_of_all(_few_tasks(words).mapInArrow(compare if len(wanted) else _nothing, schema), asked.column("query_id"), queries, limit)
+
+
+def _term_weights(words: DataFrame, vocabulary: pa.Array) -> tuple[np.ndarray, float]:
+    """Inverse document frequency of each term of the vocabulary (0 for those in no text), and the texts' mean length."""
+    spark = words.sparkSession
+    terms_ = spark.createDataFrame(pa.table({"term": pa.concat_arrays([vocabulary, pa.array([""])])}))  # the empty term stands for the text itself
+    found = words.select(F.size("words").alias("length"), F.explode(F.array_append(F.array_distinct("words"), "")).alias("term")).join(F.broadcast(terms_), "term", "left_semi")
+    counts = found.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
+    whole = F.broadcast(counts.filter("term = ''").select(F.col("df").alias("texts"), (F.col("length") / F.col("df")).alias("mean")))
+    got = counts.crossJoin(whole).select("term", "mean", F.log(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).toArrow()
+    idf = np.zeros(len(vocabulary))
+    at = pc.index_in(got.column("term").combine_chunks(), vocabulary)
+    idf[at.drop_null().to_numpy()] = got.column("idf").combine_chunks().filter(at.is_valid()).to_numpy(zero_copy_only=False)
+    return idf, (got.column("mean")[0].as_py() if got.num_rows else 0.0)
+
+
+def _padded(numbers: pa.Array, lists: pa.Array, fill: int) -> np.ndarray:
+    """Numbers of the lists' values as rows of equal length."""
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.full((len(lengths), max(1, lengths.max(initial=0))), fill)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = numbers.to_numpy(zero_copy_only=False)
+    return out
+
+
+def _term_scores(words: pa.Array, vocabulary: pa.Array, idf: np.ndarray, mean: float, k1: float, b: float) -> np.ndarray:
+    """BM25 of each term (row) in each text (column); a last row of zeros for no term."""
+    lengths = words.value_lengths().to_numpy(zero_copy_only=False)
+    term = pc.index_in(words.flatten(), vocabulary)
+    text = np.repeat(np.arange(len(words)), lengths)[term.is_valid().to_numpy(zero_copy_only=False)]
+    cell, tf = np.unique(term.drop_null().to_numpy().astype(np.int64) * len(words) + text, return_counts=True)
+    out = np.zeros((len(vocabulary) + 1, len(words)))
+    out.reshape(-1)[cell] = idf[cell // len(words)] * tf / (tf + k1 * (1 - b + b * lengths[cell % len(words)] / mean))
+    return out
+
+
+def _block(rows: int) -> int:
+    """Columns of a matrix of so many rows and 32 MB."""
+    return max(1, (1 << 22) // max(1, rows))
+
+
+def _nothing(batches):
+    return iter(())
+
+
+def _few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in no more tasks than cores: each gives back its best, so what moves depends on the cores and not on the rows."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
+def _best_of_all(scored: DataFrame, names: pa.ChunkedArray, queries: DataFrame, limit: int) -> DataFrame:
+    """(query_id, id, score, rank) from the best of each task, which name a query by its number in ``names``."""
+    kind = queries.schema["query_id"].dataType
+    names = queries.sparkSession.createDataFrame(pa.table({"query": pa.array(range(len(names)), pa.int32()), "query_id": names})).select("query", F.col("query_id").cast(kind))
+    best = ranked(scored.withColumn("score", F.round("score", 6)), [F.desc("score"), F.asc("id")], limit, by="query")
+    return best.join(F.broadcast(names), "query").select("query_id", "id", "score", "rank")
 
 
 @in_parts
@@ -109,48 +170,55 @@ def vector_search(
     products of matrices in Arrow batches; of each task only possible hits come back.
     """
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter(_usable("vector")).toArrow()
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(docs.dtypes)[id_col]}, score double"
+    schema = f"query int, id {dict(docs.dtypes)[id_col]}, score double"
     vectors = docs.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter(_usable("v"))
     if dims is not None:
         vectors = vectors.filter(F.size("v") == dims)
     sizes = asked.column("vector").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if asked.num_rows else np.zeros(0, dtype=int)
     sets = {int(n): _rows(asked.filter(pa.array(sizes == n)).column("vector"), int(n)) for n in np.unique(sizes)}
-    names = {n: asked.column("query_id").filter(pa.array(sizes == n)).combine_chunks() for n in sets}
+    numbers = {n: np.flatnonzero(sizes == n) for n in sets}
 
     def compare(batches):
         best = {n: _Best(len(q), limit) for n, q in sets.items()}  # over all batches of the task
         for batch in batches:
             lengths = batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
             for n, q in sets.items():
-                here = batch.filter(pa.array(lengths == n))
-                if here.num_rows:
+                same = batch.filter(pa.array(lengths == n))
+                for at in range(0, same.num_rows, step := _block(len(q))):
+                    here = same.slice(at, step)
                     best[n].add(q @ _rows(here.column("v"), n).T, here.column("id"))
         for n, kept in best.items():
-            row, ids, score = kept.result()
-            if len(row):
-                yield pa.RecordBatch.from_arrays([names[n].take(pa.array(row)), ids, pa.array(score)], names=["query_id", "id", "score"])
+            yield from kept.batches(numbers[n])
 
-    scored = vectors.mapInArrow(compare, schema).withColumn("score", F.round("score", 6))
-    return ranked(scored, [F.desc("score"), F.asc("id")], limit)
+    return _best_of_all(_few_tasks(vectors).mapInArrow(compare, schema), asked.column("query_id"), queries, limit)
 
 
 class _Best:
-    """The best ``limit`` scores of each of ``queries`` queries so far, with all that equal the last at six places."""
+    """The best ``limit`` scores of each of ``queries`` queries so far, with all that equal the last at six places; none under ``floor``."""
 
-    def __init__(self, queries: int, limit: int):
-        self.limit, self.least = limit, np.full(queries, -np.inf)
+    def __init__(self, queries: int, limit: int, floor: float = -np.inf):
+        self.limit, self.least, self.floor = limit, np.full(queries, -np.inf), floor
         self.row, self.score, self.ids = [], [], []
 
     def add(self, s: np.ndarray, ids: pa.Array) -> None:
-        if s.shape[1] >= self.limit:
+        keep = s >= np.maximum(self.least - 2e-6, self.floor)[:, None]
+        if s.shape[1] >= self.limit and np.count_nonzero(keep) > self.limit * len(self.least):
             self.least = np.maximum(self.least, np.partition(s, -self.limit, axis=1)[:, -self.limit])
-        row, col = np.nonzero(s >= self.least[:, None] - 2e-6)
+            keep = s >= np.maximum(self.least - 2e-6, self.floor)[:, None]
+        row, col = np.nonzero(keep)
         self.row.append(row)
         self.score.append(s[row, col])
         self.ids.append(ids.take(pa.array(col)))
         if sum(map(len, self.row)) > 4 * self.limit * len(self.least):
             self.result()
 
+    def batches(self, numbers: np.ndarray):
+        """What is left, in batches of (query, id, score); ``numbers`` are those of the queries."""
+        row, ids, score = self.result()
+        for at in range(0, len(row), 100_000):
+            here = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[row[here]], pa.int32()), ids[here], pa.array(score[here])], names=["query", "id", "score"])
+
     def result(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
         if not self.row:
             return np.zeros(0, dtype=np.int64), pa.array([], pa.null()), np.zeros(0)

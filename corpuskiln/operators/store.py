@@ -74,10 +74,9 @@ def cached_answers(queries: DataFrame, cache: DataFrame, as_of: Column, ttl_seco
     result is a miss."""
     newest = latest(alive(cache, "created_at", as_of, ttl_seconds), "cache_key", F.col("created_at"), F.col("query"))
     asked = queries.withColumn("cache_key", cache_key(F.col("query")))
-    # One key may be asked by a third of all queries: these go to SALTS tasks each, and each living answer to all of them.
+    # One key may be asked by a third of all queries: these go to SALTS tasks each, and each living answer to those of them that ask for it.
     salted = asked.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(SALTS)))
-    wanted = newest.join(asked.select("cache_key").distinct(), "cache_key", "left_semi")
-    answers = wanted.select("cache_key", "result").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    answers = newest.select("cache_key", "result").join(salted.select("cache_key", "_salt").distinct(), "cache_key")
     return salted.join(answers, ["cache_key", "_salt"], "left").drop("_salt").withColumn("hit", F.col("result").isNotNull())
 
 

@@ -79,8 +79,12 @@ class NumberJudge:
 def context_blocks(chunks: DataFrame) -> DataFrame:
     """(query_id, context, chunks): texts numbered from 1 in order of ``position``, and what they are."""
     rows = F.array_sort(F.collect_list(F.struct("position", "id", "parent_doc_id", "source", "text")))
-    block = F.array_join(F.transform("chunks", lambda c: F.concat(F.lit("["), c["position"].cast("string"), F.lit("] "), F.coalesce(c["text"], F.lit("")))), "\n")
-    return chunks.groupBy("query_id").agg(rows.alias("chunks")).withColumn("context", block)
+    return chunks.groupBy("query_id").agg(rows.alias("chunks")).withColumn("context", numbered(F.col("chunks")))
+
+
+def numbered(chunks: Column) -> Column:
+    """The texts of an array of chunks, each after its position."""
+    return F.array_join(F.transform(chunks, lambda c: F.concat(F.lit("["), c["position"].cast("string"), F.lit("] "), F.coalesce(c["text"], F.lit("")))), "\n")
 
 
 def user_prompt(context: Column, query: Column) -> Column:
@@ -127,7 +131,8 @@ def generate(prompts: DataFrame, model: Callable[[], LanguageModel] = Extractive
 
 
 USAGE = "struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>"
-CHUNKS = "array<struct<position:int,id:string,parent_doc_id:string,source:string,text:string>>"
+CHUNK_IDS = "array<struct<id:string,parent_doc_id:string,source:string>>"
+CONTEXT = "array<struct<chunk_id:string,text:string>>"
 CITATIONS = "array<struct<marker:int,chunk_id:string,parent_doc_id:string,source:string>>"
 SCORES = "array<struct<chunk_id:string,score:double>>"
 
@@ -158,7 +163,7 @@ def check_answers(
 
 
 class Found(NamedTuple):
-    """Hits of one query set after each stage, written out: (query_id, rank, id, ...)."""
+    """Hits of one query set after each stage, written out: (query_id, rank, id, ...), without their texts."""
 
     fused: DataFrame
     scored: DataFrame
@@ -172,20 +177,30 @@ def find(queries: DataFrame, chunks: DataFrame, docs: DataFrame, as_of: Column,
     ``MAX_QUERIES`` queries they are broadcast, so that texts and documents are looked up where they are read.
     """
     fused = written(retrieval.hybrid_search(queries, chunks, "chunk_id", "text", "embedding"), "fused")
-    few = fused.limit(config.FUSED_TOP_K * retrieval.MAX_QUERIES + 1).count() <= config.FUSED_TOP_K * retrieval.MAX_QUERIES
-    sent = F.broadcast if few else (lambda df: df)
-    texts = chunks.select(F.col("chunk_id").alias("id"), "parent_doc_id", "text")
-    hits = written(texts.join(sent(fused), "id").join(queries.select("query_id", "query"), "query_id"), "texts")
-    docs = docs.join(sent(hits.select(F.col("parent_doc_id").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    reranked = retrieval.rerank(hits, retrieval.lexical_logit(F.col("query"), F.col("text")) if logit is None else logit)
+    hits = _looked_up(fused.join(queries.select("query_id", "query"), "query_id"), chunks, "parent_doc_id", "text")
+    logit = retrieval.lexical_logit(F.col("query"), F.col("text")) if logit is None else logit
+    hits = written(hits.withColumn("rerank_score", logit).drop("query", "text"), "hits")  # scored where the texts are read; these stay there
+    wanted = hits.select(F.col("parent_doc_id").alias("doc_id")).distinct()
+    docs = docs.join(F.broadcast(wanted) if _few(hits) else wanted, "doc_id", "left_semi")
+    reranked = retrieval.rerank(hits, F.col("rerank_score"))
     found = confidence.with_source(reranked, docs)
     found = found.withColumns(confidence.parts(as_of, found))
     return Found(fused, written(confidence.with_confidence(found, as_of), "scored"))
 
 
+def _few(hits: DataFrame) -> bool:
+    most = config.FUSED_TOP_K * retrieval.MAX_QUERIES
+    return hits.limit(most + 1).count() <= most
+
+
+def _looked_up(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+    """``hits`` with columns of their chunks, broadcast if they are few."""
+    return chunks.select(F.col("chunk_id").alias("id"), *columns).join(F.broadcast(hits) if _few(hits) else hits, "id")
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, docs: DataFrame, as_of: Column, logit: Column | None = None) -> DataFrame:
     """The reranked hits of every query with source, sub-scores and confidence: (query_id, rank, id, text, ...); see ``find``."""
-    return find(queries, chunks, docs, as_of, logit).scored
+    return _looked_up(find(queries, chunks, docs, as_of, logit).scored, chunks, "text")
 
 
 class Answered(NamedTuple):
@@ -215,23 +230,25 @@ def answer_and_record(queries: DataFrame, chunks: DataFrame, docs: DataFrame, as
         asked = queries.join(hits.select("query_id"), "query_id", "left_anti")
     fused, scored = find(asked, chunks, docs, as_of)
     passed = written(confidence.gate(scored, threshold), "passed")
-    blocks = written(context_blocks(passed).join(asked.select("query_id", "query"), "query_id").withColumn("prompt", user_prompt(F.col("context"), F.col("query"))), "prompts")
-    replies = generate(blocks, model)
+    # The texts of these are written once, here; what follows carries ids, until the answers are put together.
+    blocks = written(context_blocks(_looked_up(passed, chunks, "text")).drop("context").join(asked.select("query_id", "query"), "query_id"), "blocks")
+    replies = generate(blocks.withColumn("prompt", user_prompt(numbered(F.col("chunks")), F.col("query"))), model)
     made = written(
         asked.select("query_id", "query")
-        .join(blocks.select("query_id", "chunks"), "query_id", "left")
+        .join(blocks.select("query_id", F.transform("chunks", lambda c: F.struct(c["id"].alias("id"), c["parent_doc_id"].alias("parent_doc_id"), c["source"].alias("source"))).alias("chunks")), "query_id", "left")
         .join(replies, "query_id", "left")
         .withColumn("answer", F.when(F.col("chunks").isNull(), F.lit(config.REFUSAL)).otherwise(F.col("answer")))
-        .withColumn("chunks", F.coalesce("chunks", F.array().cast(CHUNKS)))
+        .withColumn("chunks", F.coalesce("chunks", F.array().cast(CHUNK_IDS)))
         .select(
             "query_id", "query", F.lit(False).alias("from_cache"), "answer",
             map_citations(F.col("answer"), F.col("chunks")).alias("citations"),
-            F.transform("chunks", lambda c: F.struct(c["id"].alias("chunk_id"), c["text"].alias("text"))).alias("context_chunks"),
             "usage", "error", "ms", (F.size("chunks") == 0).alias("gated"),
         ),
         "answers",
     )
-    out = made.drop("ms", "gated")
+    contexts = blocks.select("query_id", F.transform("chunks", lambda c: F.struct(c["id"].alias("chunk_id"), c["text"].alias("text"))).alias("context_chunks"))
+    full = made.join(contexts, "query_id", "left").withColumn("context_chunks", F.coalesce("context_chunks", F.array().cast(CONTEXT)))
+    out = full.select("query_id", "query", "from_cache", "answer", "citations", "context_chunks", "usage", "error")
     if hits is not None:
         out = out.unionByName(
             queries.select("query_id", "query").join(hits, "query_id").select(
@@ -241,7 +258,7 @@ def answer_and_record(queries: DataFrame, chunks: DataFrame, docs: DataFrame, as
                 F.lit(None).cast(USAGE).alias("usage"), F.lit(None).cast("string").alias("error"),
             )
         )
-    cache = made.filter("error is null").select(
+    cache = full.filter("error is null").select(
         cache_key(F.col("query")).alias("cache_key"), "query",
         F.struct("answer", F.transform("citations", lambda c: F.struct(c["marker"].alias("marker"), c["chunk_id"].alias("chunk_id"))).alias("citations"), "context_chunks").alias("result"),
         as_of.alias("created_at"),

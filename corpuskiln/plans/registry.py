@@ -73,7 +73,7 @@ def rrf_fusion(spark, folder):
 
 
 def _found(spark, folder) -> DataFrame:
-    return answering.retrieve(asked(spark, folder), encoded_chunks(spark, folder), read(spark, folder, "docs"), as_of())
+    return answering.find(asked(spark, folder), encoded_chunks(spark, folder), read(spark, folder, "docs"), as_of()).scored
 
 
 def lexical_rerank(spark, folder):
@@ -228,7 +228,7 @@ def title_from_text(spark, folder):
 
 def recall_at_k(spark, folder):
     queries = asked(spark, folder).filter("label = 'genuine'")
-    found = answering.retrieve(queries, encoded_chunks(spark, folder), read(spark, folder, "docs"), as_of())
+    found = answering.find(queries, encoded_chunks(spark, folder), read(spark, folder, "docs"), as_of()).scored
     return evaluation.recall_at(found, queries).withColumn("recall", F.round("recall", 9))
 
 

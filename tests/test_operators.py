@@ -244,3 +244,22 @@ def test_context_for_a_judge(spark):
     rows = [(1, [(1, "a"), (2, "b")], []), (2, [], [("x", " t "), ("y", "")]), (3, [(1, "gone")], [("x", "t")]), (4, None, None)]
     got = {r["query_id"]: r["context"] for r in evaluation.judged_context(spark.createDataFrame(rows, kind), chunks).collect()}
     assert got == {1: "one", 2: "t", 3: config.NO_CHUNKS, 4: config.NO_CHUNKS}
+
+
+def shuffled_rows(spark):
+    sc, jvm = spark.sparkContext._jsc.sc(), spark._jvm
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_searches_move_the_best_only(spark):
+    """200 queries that share words with all of 1,000 texts: what moves follows tasks, queries and the limit, not the pairs."""
+    docs = spark.range(1000).selectExpr("printf('%04d', id) as id", "concat('heap tree ', repeat('list ', int(id % 7)), 'w', id % 200) as text", "array(1.0, id % 7) as embedding")
+    queries = spark.range(200).selectExpr("id as query_id", "concat('the heap tree w', id) as query", "array(1.0, id % 5) as vector")
+    before = shuffled_rows(spark)
+    got = {(r["query_id"], r["rank"]): r["id"] for r in retrieval.keyword_search(queries, docs, "id", limit=3).collect()}
+    assert len(got) == 600 and all(int(i) % 200 == q for (q, _), i in got.items())
+    between = shuffled_rows(spark)
+    assert retrieval.vector_search(queries, docs, "id", limit=3).count() == 600
+    assert between - before < 20_000 and shuffled_rows(spark) - between < 120_000  # of 200,000 pairs; equal vectors tie
