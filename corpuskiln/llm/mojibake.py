@@ -2,7 +2,7 @@
 
 A hidden Markov model labels the characters of a text: one clean state, one state per pair of encodings
 (the true one, and the one it was read in). A state emits each non-ASCII character given the one before it;
-these probabilities are counted in a bounded sample of clean texts, and in the same sample read wrongly on
+these probabilities are counted in all clean texts of the collection, and in the same texts read wrongly on
 purpose. ASCII characters look alike in all states and are skipped. Every span labelled with a pair is
 encoded and decoded back; a span counts only if that gives proper text.
 """
@@ -13,14 +13,13 @@ import functools
 import html
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuskiln.operators.sampling import hash_sample
-
 # Pairs of encodings (true, read as); "twice" stands for the same mistake made twice.
 PAIRS = [
     ("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "cp437"), ("utf-8", "cp850"), ("utf-8", "mac_roman"),
@@ -40,6 +39,7 @@ QUOTING = re.compile(
 LOST = "�"
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _LED = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
+_CONTROL = re.compile("[\x80-\x9f]")
 _ENTITY = re.compile(r"&[A-Za-z]{2,8};")
 _GARBLED_ENTITY = re.compile(r"&(?:Atilde|Acirc|acirc|ETH|Ntilde|Auml|Aring|radic);")
 LEAVE, LEAST, MARGIN = 3.0, 4, 8.0
@@ -64,8 +64,9 @@ def _maps(wrong: str):
 def garble(text: str, pair: tuple[str, str]) -> str:
     forth, _ = _maps(pair[1])
     true, _, twice = pair[0].partition(" ")
+    codes = np.array([ord(c) for c in forth], dtype="<u4")
     for _ in range(2 if twice else 1):
-        text = "".join(forth[b] for b in text.encode(true, "ignore"))
+        text = codes[np.frombuffer(text.encode(true, "ignore"), dtype=np.uint8)].tobytes().decode("utf-32-le")
     return text
 
 
@@ -105,29 +106,34 @@ def _log_probabilities(keys: np.ndarray, counts: np.ndarray, all_keys: np.ndarra
     return np.log(both), np.log(alone)
 
 
-def _counted(runs: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the observations in weighted runs, each run led by the character before it, and their counts."""
-    starts = np.cumsum([0, *(len(r) + 1 for r in runs)])
-    at, keys = _observations("\n".join(runs))
+def _counted(text: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the observations in weighted runs, one a line, each led by the character before it, and their counts."""
+    at, keys = _observations(text)
+    lines = np.cumsum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) == 10)
     known, inverse = np.unique(keys, return_inverse=True)
-    counts = np.zeros(len(known))
-    np.add.at(counts, inverse, weights[np.searchsorted(starts, at, side="right") - 1])
+    counts = np.zeros(len(known), dtype=np.int64)
+    np.add.at(counts, inverse, weights[lines[at]])
     return known, counts
 
 
+def _count_states(runs: Counter) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of runs as they are, then of each pair's: the runs read wrongly."""
+    text, weights = "\n".join(runs), np.array([*runs.values(), 0], dtype=np.int64)
+    return [_counted(text, weights), *(_counted(garble(text, p), weights) for p in PAIRS)]
+
+
 class Model:
     """Log-likelihood ratios of the pairs' states against the clean one, by key and by character."""
 
-    def __init__(self, clean: Counter):
-        runs, weights = list(clean), np.array(list(clean.values()), dtype=float)
-        counted = [_counted(runs, weights), *(_counted([garble(r, p) for r in runs], weights) for p in PAIRS)]
+    def __init__(self, counted: list[tuple[np.ndarray, np.ndarray]]):
+        """From keys and counts of each state, the clean one first."""
         self.keys = np.unique(np.concatenate([k for k, _ in counted]))
         self.chars = np.unique(self.keys & 0x1FFFFF)
         logs = [_log_probabilities(k, n, self.keys, self.chars) for k, n in counted]
         self.clean, self.clean_alone = logs[0]
         self.both = np.stack([b - logs[0][0] for b, _ in logs[1:]], axis=1).astype(np.float32)
         self.alone = np.stack([a - logs[0][1] for _, a in logs[1:]], axis=1).astype(np.float32)
-        self.proper = {c for r in runs for c in r}
+        self.proper = {chr(c) for c in np.unique(counted[0][0] & 0x1FFFFF).tolist()}
 
     def likelihood(self, text: str) -> float:
         """Log-likelihood of the non-ASCII characters of a text in the clean state."""
@@ -156,14 +162,21 @@ class Model:
         return out
 
 
-def _path(r: np.ndarray) -> np.ndarray:
+def _worthwhile(r: np.ndarray) -> np.ndarray:
+    """Pairs with a stretch that pays for entering and leaving their state; no others are on the most likely path."""
+    c = np.cumsum(r, axis=0, dtype=np.float64)
+    before = np.minimum.accumulate(np.vstack([np.zeros((1, c.shape[1])), c[:-1]]), axis=0)
+    return np.flatnonzero((c - before).max(axis=0) - ENTER >= LEAVE - 0.01)
+
+
+def _path(r: np.ndarray, enter_cost: np.ndarray) -> np.ndarray:
     """Most likely states: -1 clean, else the pair's number."""
     n, s = r.shape
     came = np.empty((n, s), dtype=bool)  # True: stayed in the pair's state
     left = np.empty(n, dtype=np.int64)  # where clean came from
     clean, pair = 0.0, np.full(s, -np.inf)
     for t in range(n):
-        enter = clean - ENTER
+        enter = clean - enter_cost
         stay = pair >= enter
         best = int(pair.argmax())
         came[t] = stay
@@ -231,9 +244,11 @@ def _once(text: str, model: Model) -> tuple[int, str]:
     if not len(at):
         return 0, text
     r = model.ratios(keys)
-    if (np.maximum(r, 0).sum(axis=0) - ENTER).max() < LEAVE:
+    some = _worthwhile(r)
+    if not len(some):
         return 0, text
-    labels = _path(r)
+    labels = _path(r[:, some], ENTER[some])
+    labels = np.where(labels < 0, -1, some[labels])
     found, out, done = 0, [], 0
     edges = np.flatnonzero(np.diff(labels)) + 1
     for first, last in zip(np.r_[0, edges], np.r_[edges, len(labels)]):
@@ -291,30 +306,118 @@ def _readable(run: str, common: set[str]) -> bool:
     return False
 
 
+def _garbled_run(run: str, common: set[str]) -> bool:
+    return LOST in run or _CONTROL.search(run) is not None or _readable(run, common)
+
+
+def _plain_runs(text: str, common: set[str], known: dict[str, bool]) -> list[str] | None:
+    """The runs of a text, led by a sign of the kind of the character before; None for texts that look garbled. ``known``
+    keeps what was found about runs."""
+    if _ENTITY.search(text):
+        return None
+    out = []
+    for run in _runs(text):
+        if run not in known:
+            known[run] = _garbled_run(run, common)
+        if known[run]:
+            return None
+        lead = run[0]
+        kind = "" if not lead.isascii() else "a" if lead.isalpha() else "0" if lead.isdigit() else " "
+        out.append((kind + run[1:]) if kind else " " + run)
+    return out
+
+
+def _common(seen: dict[str, int], texts: int) -> set[str]:
+    return {c for c, n in seen.items() if n * 200 >= texts}
+
+
+def _characters(texts: Iterable[str]) -> Counter:
+    """In how many texts each character of a run is; under the empty one, the number of texts."""
+    seen = Counter()
+    for t in texts:
+        seen.update({c for r in _runs(t) for c in r})
+        seen[""] += 1
+    return seen
+
+
+def _gather(texts: Iterable[str], common: set[str], first: Model | None) -> Iterator[Counter]:
+    """Runs of the texts that do not look garbled, in parts; with a first model, only of those that it finds all the same."""
+    known, runs = {}, Counter()
+    for t in texts:
+        own = _plain_runs(t, common, known)
+        if own and (first is None or examine(t, first)[0]):
+            runs.update(own)
+        if max(len(runs), len(known)) > 200_000:
+            yield runs
+            known, runs = {}, Counter()
+    yield runs
+
+
+def _summed(parts: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts by state of (state, keys, counts), without keys whose counts come to 0."""
+    by = [([np.zeros(0, np.int64)], [np.zeros(0, np.int64)]) for _ in range(len(PAIRS) + 1)]
+    for state, keys, counts in parts:
+        by[state][0].append(keys)
+        by[state][1].append(counts)
+    out = []
+    for keys, counts in by:
+        known, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(known), dtype=np.int64)
+        np.add.at(total, inverse, np.concatenate(counts))
+        out.append((known[total != 0], total[total != 0]))
+    return out
+
+
+def _parts(runs: Counter, sign: int = 1) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return [(k, keys, sign * counts) for k, (keys, counts) in enumerate(_count_states(runs))]
+
+
 def train(texts: list[str]) -> Model:
-    """From a sample that is mostly clean: texts that look garbled, then those the first model finds, are left out."""
-    seen = Counter(c for t in texts for c in {c for r in _runs(t) for c in r})
-    common = {c for c, n in seen.items() if n * 200 >= len(texts)}
-    each = [Counter(_runs(t)) for t in texts]
-    odd = {r for r in set().union(*each) if LOST in r or re.search("[\x80-\x9f]", r) or _readable(r, common)}
-    clean = [(t, n) for t, n in zip(texts, each) if not _ENTITY.search(t) and odd.isdisjoint(n)]
-    first = Model(sum((n for _, n in clean), Counter()))
-    return Model(sum((n for t, n in clean if not examine(t, first)[0]), Counter()))
+    """From texts that are mostly clean: those that look garbled, then those the first model finds, are left out."""
+    seen = _characters(texts)
+    common = _common(seen, seen.pop("", 0))
+    all_ = [p for runs in _gather(texts, common, None) for p in _parts(runs)]
+    found = [p for runs in _gather(texts, common, Model(_summed(all_))) for p in _parts(runs, -1)]
+    return Model(_summed(all_ + found))
+
+
+def train_on(texts: DataFrame) -> Model:
+    """The model that ``train`` makes of all of ``texts`` (text): each task counts characters, then pairs of characters by state, in
+    its own; the counts, as many as there are different ones, are summed up and collected."""
+
+    def count(batches):
+        seen = _characters(t for batch in batches for t in batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["sign", "n"])
+
+    seen = {r["sign"]: r["n"] for r in texts.mapInArrow(count, "sign string, n bigint").groupBy("sign").agg(F.sum("n").alias("n")).collect()}
+    common = _common(seen, seen.pop("", 0))
+
+    def states(first: Model | None, sign: int):
+        def run(batches):
+            for runs in _gather((t for batch in batches for t in batch.column("text").to_pylist()), common, first):
+                for state, keys, counts in _parts(runs, sign):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), state), pa.int32()), pa.array(keys), pa.array(counts)], names=["state", "key", "n"])
+
+        got = texts.mapInArrow(run, "state int, key bigint, n bigint").groupBy("state", "key").agg(F.sum("n").alias("n")).toArrow()
+        state, keys, counts = (got.column(c).to_numpy() for c in ("state", "key", "n"))
+        return [(k, keys[state == k], counts[state == k]) for k in range(len(PAIRS) + 1)]
+
+    all_ = states(None, 1)
+    return Model(_summed(all_ + states(Model(_summed(all_)), -1)))
 
 
-def restore_encoding(df: DataFrame, id_col: str, text_col: str, sample_rows: int = 1500, sample_length: int = 20000) -> DataFrame:
+def restore_encoding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, garbled, lost, restored) for every row of ``df``.
 
     ``garbled`` counts the stretches read in a wrong encoding (one for all characters replaced by U+FFFD, whose
     number is ``lost``), ``restored`` is the text with them put right as far as possible; a row without any, with a
     null or an empty text has 0 and its text unchanged. Sequences that a text only shows as examples do not count.
-    The model is trained on ``sample_rows`` texts, chosen by a hash of the text, without those over ``sample_length`` characters; every text is examined as a whole.
+    The model is trained on all texts with non-ASCII characters or entities, of any length; every text is examined as a whole.
     Repeated rows give equal results; an empty table gives an empty result. Other columns of ``df`` are dropped.
     """
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     odd = F.coalesce(F.col("text").rlike(r"[^\x00-\x7F]|&[A-Za-z]+;"), F.lit(False))
-    sample = hash_sample(texts, F.col("text"), sample_rows).filter(odd & (F.length("text") <= sample_length)).select("text")
-    model = train([r["text"] for r in sample.collect()])
+    model = train_on(texts.filter(odd).select("text"))
 
     @F.arrow_udf("struct<garbled:int,lost:int,restored:string>")
     def look(column: pa.Array) -> pa.Array:

@@ -101,3 +101,15 @@ def test_long_runs_and_many_rounds(spark, docs):
     for _ in range(3):
         spoiled = mojibake.garble(spoiled, ("utf-8", "cp1252"))
     assert mojibake.examine(spoiled, model)[2] == text
+
+
+def test_model_of_all_texts(spark, docs):
+    """The model counts every text, however many and long: here of signs that only one long text has right."""
+    words = "ქარი ბარდნის ზღვაში და ცაში "
+    rows = [("long", words * 1000), ("bad", "Title: " + mojibake.garble(words, ("utf-8", "cp1252")))]
+    df = docs.selectExpr("doc_id as id", "content as text").unionByName(spark.createDataFrame(rows, "id string, text string"))
+    got = {r["id"]: r for r in mojibake.restore_encoding(df, "id", "text").filter("id in ('long', 'bad')").collect()}
+    assert got["long"]["garbled"] == 0 and got["bad"]["garbled"] > 0 and got["bad"]["restored"] == "Title: " + words
+    texts = [r["text"] for r in df.collect() if r["text"] and not (r["text"].isascii() and "&" not in r["text"])]
+    one, all_ = mojibake.train(texts), mojibake.train_on(spark.createDataFrame([(t,) for t in texts], "text string").repartition(7))
+    assert one.proper == all_.proper and (one.keys == all_.keys).all() and (one.both == all_.both).all()
