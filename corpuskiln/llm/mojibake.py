@@ -38,7 +38,6 @@ QUOTING = re.compile(
 )
 LOST = "�"
 _RUN = re.compile(r"[^\x00-\x7f]+")
-_LED = re.compile(r"[\x00-\x7f]?[^\x00-\x7f]+")
 _CONTROL = re.compile("[\x80-\x9f]")
 _ENTITY = re.compile(r"&[A-Za-z]{2,8};")
 _GARBLED_ENTITY = re.compile(r"&(?:Atilde|Acirc|acirc|ETH|Ntilde|Auml|Aring|radic);")
@@ -70,6 +69,7 @@ def garble(text: str, pair: tuple[str, str]) -> str:
     return text
 
 
+@functools.lru_cache(100_000)
 def restore(run: str, pair: tuple[str, str]) -> str | None:
     """The original of a run of garbled characters, None if it can't be."""
     _, back = _maps(pair[1])
@@ -247,8 +247,11 @@ def _once(text: str, model: Model) -> tuple[int, str]:
     some = _worthwhile(r)
     if not len(some):
         return 0, text
-    labels = _path(r[:, some], ENTER[some])
-    labels = np.where(labels < 0, -1, some[labels])
+    r = r[:, some]
+    begin, end = int((r >= 0).any(axis=1).argmax()), len(r) - int((r > 0).any(axis=1)[::-1].argmax())  # no pair is worth entering before or staying in after
+    path = _path(r[begin:end], ENTER[some])
+    labels = np.full(len(r), -1)
+    labels[begin:end] = np.where(path < 0, -1, some[path])
     found, out, done = 0, [], 0
     edges = np.flatnonzero(np.diff(labels)) + 1
     for first, last in zip(np.r_[0, edges], np.r_[edges, len(labels)]):
@@ -292,7 +295,8 @@ def examine(text: str, model: Model) -> tuple[int, int, str]:
 
 
 def _runs(text: str) -> list[str]:
-    return _LED.findall(text)
+    """Runs of non-ASCII characters, each with the character before it."""
+    return [text[max(0, m.start() - 1) : m.end()] for m in _RUN.finditer(text)]
 
 
 def _readable(run: str, common: set[str]) -> bool:
@@ -332,10 +336,10 @@ def _common(seen: dict[str, int], texts: int) -> set[str]:
 
 
 def _characters(texts: Iterable[str]) -> Counter:
-    """In how many texts each character of a run is; under the empty one, the number of texts."""
+    """In how many texts each non-ASCII character is; under the empty one, the number of texts."""
     seen = Counter()
     for t in texts:
-        seen.update({c for r in _runs(t) for c in r})
+        seen.update(c for c in set(t) if c > "\x7f")
         seen[""] += 1
     return seen
 
@@ -345,7 +349,7 @@ def _gather(texts: Iterable[str], common: set[str], first: Model | None) -> Iter
     known, runs = {}, Counter()
     for t in texts:
         own = _plain_runs(t, common, known)
-        if own and (first is None or examine(t, first)[0]):
+        if own and (first is None or _once(t, first)[0]):
             runs.update(own)
         if max(len(runs), len(known)) > 200_000:
             yield runs
